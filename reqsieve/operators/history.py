@@ -5,13 +5,14 @@ The store is a Parquet table with a ``ts`` column, partitioned by day in ``dt``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.operators.normalize import with_scoring_text
-from reqsieve.operators.scoring import rethreshold, score_requests
+from reqsieve.operators.normalize import with_training_text
+from reqsieve.operators.scoring import score_requests
 from reqsieve.session import ensure_checkpoint_dir
 
 REQUEST_SCHEMA = (
@@ -320,13 +321,14 @@ def replay(
     now: str | float | datetime,
     salt: str = "",
     max_length: int | None = None,
+    compose: Callable[[DataFrame], DataFrame] = with_training_text,
 ) -> DataFrame:
     """Rescore stored requests with the current model, as new records.
 
     The new id ends in eight hex digits taken from the old id, the version and the time,
     so a retried task writes the same id again.
     """
-    texts = with_scoring_text(unpack_requests(records))
+    texts = compose(unpack_requests(records))
     scores = score_requests(texts, model, "request_id", threshold, max_length=max_length)
     at = parse_time_bound(now)
     again = (

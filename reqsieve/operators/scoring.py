@@ -321,9 +321,15 @@ def score_requests(
 # --- splits, updates, versions ---------------------------------------------------------
 
 
-def split_train_validation(df: DataFrame, key: str, tenths: int = 8) -> tuple[DataFrame, DataFrame]:
-    """A split that depends on the key alone, so reruns and retries agree."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(10))
+def split_train_validation(
+    df: DataFrame, key: str, tenths: int = 8, bucket: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A split that depends on the key alone, so reruns and retries agree.
+
+    ``bucket`` is a number from 0 to 9, by default a hash of the key.
+    """
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(key), F.lit(10))
     return df.where(bucket < tenths), df.where(bucket >= tenths)
 
 

@@ -75,15 +75,30 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines_of(events: DataFrame) -> DataFrame:
+def _request_line() -> Column:
+    s = lambda c: c.cast("string")
+    e = F.col("event_id")
+    line = F.concat(
+        F.lit("GET /"), F.col("event_type"), F.lit("/"), s(e), F.lit("?k="),
+        s(F.pmod(e, F.lit(97))), F.lit("&u="), s(F.col("user_id")), F.lit(" HTTP/1.1"),
+    )
+    return _by(e, 19, {3: F.lit(""), 5: F.concat(F.lit("POST  /"), F.col("event_type"))}, line)
+
+
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("line_id"), _request_line().alias("request")
+    )
+
+
+def log_lines_of(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(line_id, value): combined lines, every 10th as JSON, every 17th malformed."""
     e, user = F.col("event_id"), F.col("user_id")
     s = lambda c: c.cast("string")
     when = F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))
     ip = F.concat(F.lit("10.0."), s(F.floor(user / 256)), F.lit("."), s(F.pmod(user, F.lit(256))))
     size = s(F.floor(F.col("value") * 100))
-    line = F.concat(F.lit("GET /"), F.col("event_type"), F.lit("/"), s(e), F.lit("?k="), s(F.pmod(e, F.lit(97))), F.lit("&u="), s(user), F.lit(" HTTP/1.1"))
-    line = _by(e, 19, {3: F.lit(""), 5: F.concat(F.lit("POST  /"), F.col("event_type"))}, line)
+    line = _request_line()
     combined = F.concat(
         ip,
         F.lit(" - - ["),
@@ -128,7 +143,7 @@ def log_lines_of(events: DataFrame) -> DataFrame:
         F.concat(ip, F.lit(' - - ['), when, F.lit('] "'), line, F.lit('" 200 5')),
     )
     value = F.when(F.pmod(e, F.lit(17)) == 16, broken).when(F.pmod(e, F.lit(10)) == 0, json).otherwise(combined)
-    return events.select(e.alias("line_id"), value.alias("value"))
+    return events.select(*(keep or []), e.alias("line_id"), value.alias("value"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
