@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
 
+# The same set of blanks, written out for trim.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 PAIR_TYPE = "array<struct<k:string,v:string>>"
 
 
@@ -29,7 +35,7 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -105,7 +111,8 @@ def last_wins(pairs: Column) -> Column:
 
     def choose(e: Column) -> Column:
         keys = F.transform(e, lambda x: x["k"])
-        return F.when(F.size(F.array_distinct(keys)) == F.size(e), e).otherwise(fold(e))
+        unique = (F.size(e) < 2) | (F.size(F.array_distinct(keys)) == F.size(e))
+        return F.when(unique, e).otherwise(fold(e))
 
     return let(pairs, choose)
 

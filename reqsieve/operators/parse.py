@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,8 @@ def with_safe_int(df: DataFrame, source: str, out: str) -> DataFrame:
 
 
 def _combined_groups(line: Column) -> Column:
-    """The eight groups of a combined line as an array, null when it does not match.
+    """The eight groups of a combined line behind a mark: nine items, or fewer when the
+    line does not match.
 
     One regex pass writes the groups out with a mark between them and a split takes them
     apart. A line that holds the mark itself takes eight extracts instead.
@@ -97,10 +100,9 @@ def _combined_groups(line: Column) -> Column:
     marked = F.regexp_replace(
         line, COMBINED, _FIELD_MARK.join(["!"] + [f"${i}" for i in range(1, 9)])
     )
-    fast = let(marked, lambda m: F.when(F.instr(m, _FIELD_MARK) > 0, F.split(m, _FIELD_MARK)))
     slow = F.array(F.lit("!"), *[F.regexp_extract(line, COMBINED, i) for i in range(1, 9)])
-    return F.when(F.instr(line, _FIELD_MARK) == 0, fast).otherwise(
-        F.when(line.rlike(COMBINED), slow)
+    return F.when(F.instr(line, _FIELD_MARK) == 0, F.split(marked, _FIELD_MARK)).when(
+        line.rlike(COMBINED), slow
     )
 
 
@@ -152,56 +154,56 @@ def _looks_like_object(line: Column) -> Column:
     return line.startswith("{") & line.endswith("}")
 
 
-def _raw_fields(json_texts: Column | None, groups: Column | None) -> Column:
-    """Raw text fields of a line from whichever form it has, null when it has none."""
-    from_group = {
-        "ip": 1, "timestamp": 2, "request": 3, "status": 4,
-        "response_size": 5, "referer": 6, "user_agent": 7, "body": 8,
+# Positions of the fields among the groups of a combined line.
+_GROUP = {
+    "ip": 1,
+    "timestamp": 2,
+    "request": 3,
+    "status": 4,
+    "response_size": 5,
+    "referer": 6,
+    "user_agent": 7,
+    "body": 8,
+}
+
+
+def _typed(df: DataFrame, raw: Callable[[str], Column]) -> DataFrame:
+    """Raw text fields to the ten typed log fields."""
+    df = df.withColumn("_words", ws_split(raw("request")))
+    word = lambda i: F.coalesce(F.get(F.col("_words"), F.lit(i)), F.lit(""))
+    computed = {
+        "method": word(0),
+        "path": before_first(word(1), "?"),
+        "query": after_first(word(1), "?"),
+        "status": safe_int(raw("status")),
+        "response_size": safe_int(raw("response_size")),
     }
-    row = F.lit(None)
-    if groups is not None:
-        row = F.when(
-            groups.isNotNull(),
-            F.struct(*[F.get(groups, F.lit(i)).alias(f) for f, i in from_group.items()]),
-        )
-    if json_texts is not None:
-        pick = lambda f: F.coalesce(
-            *[F.try_element_at(json_texts, F.lit(n)) for n in JSON_ALIASES[f]], F.lit("")
-        )
-        row = F.when(
-            json_texts.isNotNull(), F.struct(*[pick(f).alias(f) for f in from_group])
-        ).otherwise(row)
-    return row
+    keep = [c for c in df.columns if not c.startswith("_")]
+    return df.select(*keep, *[computed.get(f, raw(f) if f in _GROUP else None).alias(f) for f in LOG_FIELDS])
 
 
-def _finish(df: DataFrame, raw: Column) -> DataFrame:
-    """Raw fields to the ten typed log fields; a line without any is dropped.
+def _from_json(name: str) -> Column:
+    texts = F.col("_json")
+    return F.coalesce(*[F.try_element_at(texts, F.lit(n)) for n in JSON_ALIASES[name]], F.lit(""))
 
-    The inline both drops such lines and keeps later filters from being pushed below the
-    parse, which would run it twice.
-    """
 
-    def typed(r: Column) -> Column:
-        line = request_line_parts(r["request"])
-        return let(
-            line,
-            lambda q: F.struct(
-                r["timestamp"].alias("timestamp"),
-                r["ip"].alias("ip"),
-                q["method"].alias("method"),
-                before_first(q["path"], "?").alias("path"),
-                after_first(q["path"], "?").alias("query"),
-                r["user_agent"].alias("user_agent"),
-                safe_int(r["status"]).alias("status"),
-                safe_int(r["response_size"]).alias("response_size"),
-                r["referer"].alias("referer"),
-                r["body"].alias("body"),
-            ),
-        )
+def _from_groups(name: str) -> Column:
+    # A size of "-" needs no case of its own: it is no number and becomes 0.
+    return F.get(F.col("_groups"), F.lit(_GROUP[name]))
 
-    keep = [c for c in df.columns if not c.startswith("_")]
-    rows = F.transform(F.array_compact(F.array(raw)), typed)
-    return df.select(*keep, F.inline(rows))
+
+def _barrier(c: Column, name: str) -> Column:
+    """The column as the only row of an explode: filters on it stay above, where they
+    would otherwise be pushed below the parse and run it a second time."""
+    return F.explode(F.array(c)).alias(name)
+
+
+def _lines(df: DataFrame, value: str) -> DataFrame:
+    return df.withColumn("_line", strip(F.col(value))).drop(value)
+
+
+def _json_of(line: Column) -> Column:
+    return _json_texts(F.when(_looks_like_object(line), F.try_parse_json(line)))
 
 
 def parse_json_lines(df: DataFrame, value: str = "value") -> DataFrame:
@@ -210,35 +212,27 @@ def parse_json_lines(df: DataFrame, value: str = "value") -> DataFrame:
     Differs from a lenient reader in that NaN literals and duplicate keys make the line
     invalid.
     """
-    line = F.col("_line")
-    staged = (
-        df.withColumn("_line", strip(F.col(value)))
-        .drop(value)
-        .withColumn("_json", _json_texts(F.when(_looks_like_object(line), F.try_parse_json(line))))
-    )
-    return _finish(staged, _raw_fields(F.col("_json"), None))
+    staged = _lines(df, value).select("*", _barrier(_json_of(F.col("_line")), "_json"))
+    return _typed(staged.where(F.col("_json").isNotNull()), _from_json)
 
 
 def parse_combined_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Combined log lines to rows; other lines are dropped. ``value`` is consumed."""
-    staged = (
-        df.withColumn("_line", strip(F.col(value)))
-        .drop(value)
-        .withColumn("_groups", _combined_groups(F.col("_line")))
-    )
-    return _finish(staged, _raw_fields(None, F.col("_groups")))
+    staged = _lines(df, value).select("*", _barrier(_combined_groups(F.col("_line")), "_groups"))
+    return _typed(staged.where(F.size("_groups") == 9), _from_groups)
 
 
 def parse_log_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Mixed log lines to rows: JSON objects first, then combined; the rest is dropped."""
-    line = F.col("_line")
+    is_json = F.col("_json").isNotNull()
+    groups = F.when(~is_json, _combined_groups(F.col("_line")))
     staged = (
-        df.withColumn("_line", strip(F.col(value)))
-        .drop(value)
-        .withColumn("_json", _json_texts(F.when(_looks_like_object(line), F.try_parse_json(line))))
-        .withColumn("_groups", F.when(F.col("_json").isNull(), _combined_groups(line)))
+        _lines(df, value)
+        .withColumn("_json", _json_of(F.col("_line")))
+        .select("*", _barrier(groups, "_groups"))
+        .where(is_json | (F.size("_groups") == 9))
     )
-    return _finish(staged, _raw_fields(F.col("_json"), F.col("_groups")))
+    return _typed(staged, lambda f: F.when(is_json, _from_json(f)).otherwise(_from_groups(f)))
 
 
 def with_event_ts(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
@@ -252,24 +246,17 @@ def with_event_ts(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
 
 
 def _light_request(df: DataFrame, request: Column, value: str) -> DataFrame:
-    def row(r: Column) -> Column:
-        parts = F.struct(
-            F.coalesce(F.get(r, F.lit(0)), F.lit("GET")).alias("method"),
-            F.coalesce(F.get(r, F.lit(1)), F.lit("/")).alias("target"),
-        )
-        return let(
-            parts,
-            lambda p: F.struct(
-                p["method"].alias("method"),
-                before_first(p["target"], "?").alias("path"),
-                last_wins(split_pairs(after_first(p["target"], "?"))).alias("query_params"),
-                F.lit("").alias("body"),
-            ),
-        )
-
     keep = [c for c in df.columns if c != value and not c.startswith("_")]
-    found = F.transform(F.array_compact(F.array(request)), lambda r: ws_split(r))
-    return df.select(*keep, F.inline(F.transform(found, row)))
+    found = df.select(*keep, _barrier(request, "_request")).where(F.col("_request").isNotNull())
+    found = found.withColumn("_words", ws_split(F.col("_request")))
+    target = F.coalesce(F.get(F.col("_words"), F.lit(1)), F.lit("/"))
+    return found.select(
+        *keep,
+        F.coalesce(F.get(F.col("_words"), F.lit(0)), F.lit("GET")).alias("method"),
+        before_first(target, "?").alias("path"),
+        last_wins(split_pairs(after_first(target, "?"))).alias("query_params"),
+        F.lit("").alias("body"),
+    )
 
 
 def light_requests_json_or_quoted(df: DataFrame, value: str = "value") -> DataFrame:

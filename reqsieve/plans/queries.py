@@ -147,7 +147,7 @@ FROM (SELECT event_type, count(*) FILTER (is_json) AS j,
 )
 def s2_log_format_profile(spark, sf):
     events = views.table(spark, sf, "events")
-    lines = views.log_lines_of(events, keep=["event_type"])
+    lines = views.log_lines_of(views.spread(events, "event_id"), keep=["event_type"])
     return logs.log_format_profile(lines, by=["event_type"])
 
 
@@ -952,7 +952,9 @@ SELECT CAST(o.request_id AS VARCHAR) AS request_id, round(o.anomaly_score, 6) AS
 FROM old_scores o JOIN s_scores n ON o.request_id = n.request_id""",
 )
 def d6_replay(spark, sf):
-    records = _old_records(spark, sf)
+    store = scratch_dir(spark, "records")
+    sinks.append_records(_old_records(spark, sf), store)
+    records = spark.read.parquet(store)
     model = scoring.fit_unigram(texts(spark, sf), vocab_size=VOCAB)
     again = history.replay(records, model, 2, THRESHOLD, NOW)
     return history.compare_replay(records, again).select(

@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy text work all cores where the scan has fewer partitions than that.
+
+    A small file is one task. A large input has many more partitions than there are cores
+    and stays as it is, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _by(number: Column, mod: int, cases: dict[int, Column], default: Column) -> Column:
     out = F
     for k, v in cases.items():
@@ -66,7 +78,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         F.lit(""),
     )
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         page.alias("request_id"),
         F.when(F.pmod(page, F.lit(4)) == 3, "post").otherwise("GET").alias("method"),
         path.alias("path"),
@@ -147,7 +159,7 @@ def log_lines_of(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_of(table(spark, sf_dir, "events"))
+    return log_lines_of(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +179,8 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" from 10.1.2."),
         F.pmod(d, F.lit(300)).cast("string"),
     )
-    return table(spark, sf_dir, "documents").select(d.alias("doc_id"), body.alias("body"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select(d.alias("doc_id"), body.alias("body"))
 
 
 def detections(spark: SparkSession, sf_dir: str, threshold: float = 100.0) -> DataFrame:

@@ -17,10 +17,11 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-_BLOCK = 1 << 16
+_BLOCK = 1 << 20
 
 
 @dataclass
@@ -115,7 +116,7 @@ class _TailReader(DataSourceStreamReader):
                 ranges.append(ByteRange(path, at if at == begin else -at, min(at + self.piece, stop)))
         return ranges or [ByteRange("", 0, 0)]
 
-    def read(self, part: ByteRange) -> Iterator[tuple[str, str]]:
+    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         """Lines that begin in the range; the last one may reach past its end.
 
         A negative start marks a range cut inside a file: it begins behind the first
@@ -128,10 +129,13 @@ class _TailReader(DataSourceStreamReader):
             at = abs(part.start)
             if part.start < 0:
                 at = _next_line(raw, at - 1)
-            for line in _lines(raw, at, part.end):
-                text = line.decode("utf-8", errors="replace").rstrip("\r\n")
-                if text.strip():
-                    yield (part.path, text)
+            for lines in _line_blocks(raw, at, part.end):
+                texts = (b.decode("utf-8", errors="replace").rstrip("\r") for b in lines)
+                texts = [t for t in texts if t.strip()]
+                if texts:
+                    yield pa.record_batch(
+                        [pa.array([part.path] * len(texts)), pa.array(texts)], ["path", "value"]
+                    )
 
     def commit(self, end: dict) -> None:
         pass
@@ -150,20 +154,22 @@ def _next_line(raw, at: int) -> int:
         at += len(block)
 
 
-def _lines(raw, at: int, end: int) -> Iterator[bytes]:
+def _line_blocks(raw, at: int, end: int) -> Iterator[list[bytes]]:
     raw.seek(at)
     rest = b""
     while at < end:
         block = raw.read(_BLOCK)
         if not block:
             break
-        parts = (rest + block).split(b"\n")
-        rest = parts.pop()
-        for line in parts:
+        lines = (rest + block).split(b"\n")
+        rest = lines.pop()
+        taken = 0
+        for line in lines:
             if at >= end:
-                return
-            yield line
+                break
             at += len(line) + 1
+            taken += 1
+        yield lines[:taken]
 
 
 class TailSource(DataSource):

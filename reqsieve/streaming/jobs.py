@@ -99,10 +99,10 @@ def detect_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         if "line_id" not in batch.columns:
             batch = batch.withColumn("line_id", F.monotonically_increasing_id())
-        # Two uses, the text for scoring and the fields for the record.
-        batch = batch.select("line_id", "value").persist()
+        parsed = with_training_text(light_requests_json_or_quoted(batch.select("line_id", "value")))
+        # Two uses: the text for the score, the fields for the record.
+        parsed = parsed.persist()
         try:
-            parsed = with_training_text(light_requests_json_or_quoted(batch))
             scores = score_requests(parsed, model, "line_id", threshold, max_length=max_length)
             scored = parsed.drop("text").join(scores, "line_id")
             scored = scored.withColumn(
@@ -113,7 +113,7 @@ def detect_stream(
             target = f"{out.rstrip('/')}/batch_id={batch_id}"
             with_day(records).write.mode("overwrite").parquet(target)
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     return for_each_batch(lines, run, checkpoint, interval_seconds)
 
