@@ -4,16 +4,18 @@ A request is accepted when fewer than ``limit`` accepted requests of its client
 the last ``window_seconds``, both ends included. Rejected requests leave no entry.
 Requests are taken in (time, id) order.
 
-The rule is sequential, but only where a client is busy:
-
-* requests are first counted per (client, microsecond), before any shuffle;
-* time is cut into buckets that carry the end of the bucket before, so window counts run
-  per (client, bucket) and a hot client is spread over many tasks;
-* a tick is *busy* when the client sent more than ``limit`` requests in the two windows up
-  to it. Everything in the last window before any other tick was accepted, so those ticks
-  need no scan and every busy stretch starts from a known log;
-* only busy stretches are scanned, each on its own, over a sorted partition that streams
-  through with a state of at most ``limit`` entries.
+The rule is sequential, but only where a client is busy. Time is cut into cells one
+window wide, and requests are counted per (client, cell):
+
+* where a cell and the one before it hold at most ``limit`` requests together, the cell is
+  calm: no window that ends in it can be full, so all of it is accepted;
+* a run of busy cells is a stretch. The cell before it is calm, so the log a stretch starts
+  from is known, and stretches do not depend on each other;
+* only the busy stretches are walked, as counts per microsecond, over sorted partitions
+  that stream through with a state of at most ``limit`` entries.
+
+A hot client is thus spread over its cells. What stays sequential is one unbroken
+overload of one client.
 """
 
 from __future__ import annotations
@@ -22,30 +24,25 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqsieve.operators.history import micros_of
 
 
+def _client(name: str) -> Column:
+    """Requests without a client share one log."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("unknown"))
+
+
 def _ticks(df: DataFrame, client: str, ts: str) -> DataFrame:
     return (
-        df.select(F.col(client).alias("client"), micros_of(df, ts).alias("us"))
+        df.select(_client(client).alias("client"), micros_of(df, ts).alias("us"))
         .groupBy("client", "us")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _bucketed(ticks: DataFrame, width: int, back: int, ahead: int = 0) -> DataFrame:
-    """Ticks per time bucket, copied into a neighbour that must see them."""
-    us = F.col("us")
-    home = F.floor(us / F.lit(width)).cast("bigint")
-    into_next = F.when(us >= (home + 1) * F.lit(width) - F.lit(back), home + 1)
-    into_last = F.when(us < home * F.lit(width) + F.lit(ahead), home - 1)
-    buckets = F.array_compact(F.array(home, into_next, into_last))
-    return ticks.select("client", "us", "n", home.alias("home"), F.explode(buckets).alias("bucket"))
-
-
 def window_counts(
     df: DataFrame,
     window_seconds: int = 60,
@@ -56,14 +53,40 @@ def window_counts(
     """(client, us, n, in_window): requests in the window that ends at each tick.
 
     An upper bound of the accepted log: where it stays within the limit, all is accepted.
+
+    The count is a difference of two running sums, at the tick and before its window. A
+    sliding frame would add the whole window up again for every row. Running sums are per
+    (client, bucket), with the ticks the bucket looks back on copied into it, so a hot
+    client is many groups.
     """
     w = window_seconds * 1_000_000
     width = max((bucket_seconds or 0) * 1_000_000, 4 * w)
-    back = Window.partitionBy("client", "bucket").orderBy("us").rangeBetween(-w, 0)
+    ticks = _ticks(df, client, ts)
+    us = F.col("us")
+    home = us - F.pmod(us, F.lit(width))
+    tick = lambda bucket: F.struct(
+        bucket.alias("bucket"), us.alias("at"), F.lit(1).alias("kind"), F.col("n").alias("add")
+    )
+    probe = F.struct(
+        home.alias("bucket"), (us - w).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("add")
+    )
+    copied = F.when(us >= home + (width - w), tick(home + width))
+    marks = ticks.select(
+        "client", "us", "n", home.alias("home"),
+        F.inline(F.array_compact(F.array(tick(home), probe, copied))),
+    )
+    # At the same time the probe comes first: the window includes its own start.
+    so_far = Window.partitionBy("client", "bucket").orderBy("at", "kind").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
     return (
-        _bucketed(_ticks(df, client, ts), width, w)
-        .withColumn("in_window", F.sum("n").over(back))
+        marks.withColumn("run", F.sum("add").over(so_far))
         .where(F.col("bucket") == F.col("home"))
+        .groupBy("client", "bucket", "us")
+        .agg(
+            F.max("n").alias("n"),
+            F.sum(F.when(F.col("kind") == 1, F.col("run")).otherwise(-F.col("run"))).alias("in_window"),
+        )
         .select("client", "us", "n", "in_window")
     )
 
@@ -74,7 +97,7 @@ def with_window_count(
     counts = window_counts(df, window_seconds, client, ts).select(
         F.col("client").alias("_c"), F.col("us").alias("_us"), "in_window"
     )
-    keyed = df.withColumns({"_c": F.col(client), "_us": micros_of(df, ts)})
+    keyed = df.withColumns({"_c": _client(client), "_us": micros_of(df, ts)})
     return keyed.join(counts, ["_c", "_us"]).drop("_c", "_us")
 
 
@@ -102,6 +125,31 @@ def _scan(limit: int, window: int):
     return run
 
 
+def _stretches(cells: DataFrame, limit: int, w: int) -> DataFrame:
+    """(client, cell, stretch, warm) of the busy cells and the cell before each run.
+
+    A client has one row per window of time here, whatever its number of requests.
+    """
+    order = Window.partitionBy("client").orderBy("cell")
+    follows = F.coalesce(F.lag("cell").over(order) == F.col("cell") - w, F.lit(False))
+    before = F.when(follows, F.lag("n").over(order)).otherwise(0)
+    marked = cells.withColumns({"follows": follows, "busy": F.col("n") + before > limit})
+    opens = F.col("busy") & ~(F.col("follows") & F.coalesce(F.lag("busy").over(order), F.lit(False)))
+    marked = marked.withColumn("opens", opens)
+    number = F.sum(F.col("opens").cast("int")).over(order)
+    next_opens = F.coalesce(F.lead("opens").over(order) & F.lead("follows").over(order), F.lit(False))
+    return (
+        marked.withColumns({"number": number, "next_opens": next_opens})
+        .where(F.col("busy") | F.col("next_opens"))
+        .select(
+            "client",
+            "cell",
+            (F.col("number") + F.when(F.col("busy"), 0).otherwise(1)).alias("stretch"),
+            (~F.col("busy")).alias("warm"),
+        )
+    )
+
+
 def audit(
     df: DataFrame,
     limit: int = 1000,
@@ -109,73 +157,42 @@ def audit(
     client: str = "client",
     ts: str = "ts",
     tie: str = "id",
-    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Every input row with an exact ``accepted`` flag."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
     w = window_seconds * 1_000_000
-    width = max((bucket_seconds or 0) * 1_000_000, 4 * w)
-    ticks = _ticks(df, client, ts)
-
-    # A tick is busy when its last two windows hold over ``limit`` requests. A stretch runs
-    # until a whole window went by without a busy tick, so two stretches never start
-    # within the same window. Looking back three windows decides all of that.
-    order = Window.partitionBy("client", "bucket").orderBy("us")
-    seen = _bucketed(ticks, width, 3 * w, w)
-    seen = seen.withColumn("busy", F.sum("n").over(order.rangeBetween(-2 * w, 0)) > limit)
-    seen = seen.withColumns(
-        {
-            "in_stretch": F.bool_or("busy").over(order.rangeBetween(-w, 0)),
-            "after_busy": F.coalesce(F.bool_or("busy").over(order.rangeBetween(-w, -1)), F.lit(False)),
-        }
-    ).withColumn("opens", F.col("busy") & ~F.col("after_busy"))
-    seen = seen.withColumn(
-        "warms", F.coalesce(F.bool_or("opens").over(order.rangeBetween(1, w)), F.lit(False))
-    )
-    own = seen.where(F.col("bucket") == F.col("home"))
-    calm = own.where(~F.col("in_stretch")).select("client", "us", "n", F.col("n").alias("taken"))
-
-    # Number the stretches of a client: openings of earlier buckets plus those so far.
-    walked = own.where(F.col("in_stretch") | F.col("warms"))
-    by_bucket = walked.groupBy("client", "bucket").agg(F.count_if("opens").alias("k"))
-    earlier = Window.partitionBy("client").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = by_bucket.select(
-        "client", "bucket", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("base")
-    )
-    so_far = F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    number = F.col("base") + F.col("so_far")
-    # A tick may belong to one stretch and also be in the known log before the next one.
-    roles = F.array_compact(
-        F.array(
-            F.when(F.col("in_stretch"), F.struct(number.alias("stretch"), F.lit(False).alias("warm"))),
-            F.when(F.col("warms"), F.struct((number + 1).alias("stretch"), F.lit(True).alias("warm"))),
-        )
-    )
-    client_type = dict(ticks.dtypes)["client"]
-    scanned = (
-        walked.withColumn("so_far", so_far)
-        .join(before, ["client", "bucket"])
-        .select("client", "us", "n", F.inline(roles))
+    us = micros_of(df, ts)
+    cell = us - F.pmod(us, F.lit(w))  # start of the cell
+    who = _client(client)
+    times = df.select(who.alias("client"), us.alias("us"), cell.alias("cell"))
+    cells = times.groupBy("client", "cell").agg(F.count(F.lit(1)).alias("n"))
+    stretches = _stretches(cells, limit, w)
+
+    ticks = times.groupBy("client", "cell", "us").agg(F.count(F.lit(1)).alias("n"))
+    decided = (
+        ticks.join(stretches, ["client", "cell"])
         .repartition("client", "stretch")
         .sortWithinPartitions("client", "stretch", "us")
-        .mapInPandas(_scan(limit, w), f"client {client_type}, us bigint, n bigint, taken bigint")
+        .select("client", "stretch", "us", "n", "warm")
+        .mapInPandas(_scan(limit, w), "client string, us bigint, n bigint, taken bigint")
+        .select(F.col("client").alias("_c"), F.col("us").alias("_us"), "taken")
     )
-    decided = calm.unionByName(scanned)
 
-    keyed = df.withColumns({"_c": F.col(client), "_us": micros_of(df, ts)})
-    joined = keyed.join(
-        decided.select(F.col("client").alias("_c"), F.col("us").alias("_us"), "taken", "n"),
-        ["_c", "_us"],
-    )
-    # Ranks within one tick are only needed where a tick is accepted in part.
-    whole = joined.where((F.col("taken") == F.col("n")) | (F.col("taken") == 0)).withColumn(
-        "accepted", F.col("taken") > 0
+    keyed = df.withColumns({"_c": who, "_us": us, "_cell": cell}).join(
+        stretches.where(~F.col("warm")).select(
+            F.col("client").alias("_c"), F.col("cell").alias("_cell"), F.lit(True).alias("_busy")
+        ),
+        ["_c", "_cell"],
+        "left",
     )
+    calm = keyed.where(F.col("_busy").isNull()).withColumn("accepted", F.lit(True))
+    # Of the requests of one tick the first ``taken`` by id are accepted.
     rank = F.row_number().over(Window.partitionBy("_c", "_us").orderBy(tie))
-    part = joined.where((F.col("taken") < F.col("n")) & (F.col("taken") > 0)).withColumn(
-        "accepted", rank <= F.col("taken")
+    busy = (
+        keyed.where(F.col("_busy"))
+        .join(decided, ["_c", "_us"])
+        .withColumn("accepted", rank <= F.col("taken"))
+        .drop("taken")
     )
-    return whole.unionByName(part).drop("_c", "_us", "taken", "n")
+    return calm.unionByName(busy).drop("_c", "_us", "_cell", "_busy")

@@ -15,7 +15,7 @@ from reqsieve.functions.text import join_pairs
 from reqsieve.operators import evaluate, history, normalize, parse, rate_audit, scoring, tokens
 from reqsieve.plans import sql as q
 from reqsieve.plans import views
-from reqsieve.session import materialize, scratch_dir
+from reqsieve.session import materialize, scratch_dir, spread
 from reqsieve.sources import logs, sinks, vocab_io
 from reqsieve.streaming import jobs
 
@@ -147,7 +147,7 @@ FROM (SELECT event_type, count(*) FILTER (is_json) AS j,
 )
 def s2_log_format_profile(spark, sf):
     events = views.table(spark, sf, "events")
-    lines = views.log_lines_of(views.spread(events, "event_id"), keep=["event_type"])
+    lines = views.log_lines_of(spread(events, "event_id"), keep=["event_type"])
     return logs.log_format_profile(lines, by=["event_type"])
 
 

@@ -8,23 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqsieve.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy text work all cores where the scan has fewer partitions than that.
-
-    A small file is one task. A large input has many more partitions than there are cores
-    and stays as it is, without a shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _by(number: Column, mod: int, cases: dict[int, Column], default: Column) -> Column:
     out = F
     for k, v in cases.items():

@@ -48,3 +48,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute a small result once (a model, a vocabulary) and reread it from then on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy text work all cores where the scan has fewer partitions than that.
+
+    A small file is one task. A large input has many more partitions than there are cores
+    and stays as it is, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
