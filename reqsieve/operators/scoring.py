@@ -113,11 +113,13 @@ def fit_unigram(
     return materialize(unigram_model(unigram_counts(normal, text, vocab_size, max_length), alpha))
 
 
-def _unigram_losses(df: DataFrame, model: DataFrame, key: list[str], text: str, max_length) -> DataFrame:
+def _unigram_losses(df: DataFrame, model: DataFrame, key: str | None, text: str, max_length) -> DataFrame:
+    """(_key, loss) per position; without a key just the losses."""
+    keys = [F.col(key).alias("_key")] if key else []
     unknown = model.where(F.col("token") == UNK_TOKEN).select("log_p").scalar()
-    exploded = df.select(*key, F.explode(_sequence(F.col(text), max_length)).alias("token"))
+    exploded = df.select(*keys, F.explode(_sequence(F.col(text), max_length)).alias("token"))
     return exploded.join(F.broadcast(model.select("token", "log_p")), "token", "left").select(
-        *key, (-F.coalesce("log_p", unknown)).alias("loss")
+        *(["_key"] if key else []), (-F.coalesce("log_p", unknown)).alias("loss")
     )
 
 
@@ -130,9 +132,10 @@ def score_unigram(
 ) -> DataFrame:
     """(key, anomaly_score). The tokens of a request shrink to one row before the shuffle."""
     return (
-        _unigram_losses(df, model, [key], text, max_length)
-        .groupBy(key)
+        _unigram_losses(df, model, key, text, max_length)
+        .groupBy("_key")
         .agg(F.avg("loss").alias("anomaly_score"))
+        .withColumnRenamed("_key", key)
     )
 
 
@@ -140,7 +143,7 @@ def held_out_loss(
     df: DataFrame, model: DataFrame, text: str = "text", max_length: int | None = None
 ) -> DataFrame:
     """One row: token-weighted mean loss, and the number of positions it covers."""
-    return _unigram_losses(df, model, [], text, max_length).agg(
+    return _unigram_losses(df, model, None, text, max_length).agg(
         F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("positions")
     )
 
@@ -161,11 +164,13 @@ class BigramModel:
     vocab_size: int
 
 
-def _with_pair_ids(df: DataFrame, key: list[str], text: str, vocab: DataFrame, max_length) -> DataFrame:
-    """(key, at, prev_id, id) per position; both lookups use one broadcast."""
+def _with_pair_ids(df: DataFrame, key: str | None, text: str, vocab: DataFrame, max_length) -> DataFrame:
+    """(_key, at, prev_id, id) per position; both lookups use one broadcast."""
     ids = vocab.select("token", "id")
+    keys = [F.col(key).alias("_key")] if key else []
+    kept = ["_key"] if key else []
     at = F.posexplode(_pairs(F.col(text), max_length)).alias("at", "p")
-    flat = df.select(*key, at).select(*key, "at", "p.prev", "p.token")
+    flat = df.select(*keys, at).select(*kept, "at", "p.prev", "p.token")
     named = flat.join(F.broadcast(ids), "token", "left").join(
         F.broadcast(ids.select(F.col("token").alias("prev"), F.col("id").alias("prev_id"))),
         "prev",
@@ -174,7 +179,7 @@ def _with_pair_ids(df: DataFrame, key: list[str], text: str, vocab: DataFrame, m
     prev = F.when(F.col("prev") == CLS_TOKEN, F.lit(CLS)).otherwise(
         F.coalesce("prev_id", F.lit(UNK))
     )
-    return named.select(*key, "at", prev.alias("prev_id"), F.coalesce("id", F.lit(UNK)).alias("id"))
+    return named.select(*kept, "at", prev.alias("prev_id"), F.coalesce("id", F.lit(UNK)).alias("id"))
 
 
 def fit_bigram(
@@ -187,7 +192,7 @@ def fit_bigram(
 ) -> BigramModel:
     unigram = fit_unigram(normal, text, vocab_size, alpha, max_length)
     counts = (
-        _with_pair_ids(normal, [], text, unigram, max_length)
+        _with_pair_ids(normal, None, text, unigram, max_length)
         .groupBy("prev_id", "id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -215,7 +220,7 @@ def score_bigram(
     they miss go through a salted shuffle join, so that one pair unseen in training
     cannot fill a partition. Both ways give the same result.
     """
-    positions = _with_pair_ids(df, [key], text, model.unigram, max_length)
+    positions = _with_pair_ids(df, key, text, model.unigram, max_length)
     base = F.broadcast(model.unigram.select("id", "log_p"))
     on = ["prev_id", "id"]
     weight = F.lit(model.weight)
@@ -227,8 +232,9 @@ def score_bigram(
         return (
             positions.join(lookup, on, "left")
             .join(base, "id")
-            .groupBy(key)
+            .groupBy("_key")
             .agg(F.avg(loss).alias("anomaly_score"))
+            .withColumnRenamed("_key", key)
         )
 
     ranked = model.pairs.orderBy(F.desc("n"), F.asc("prev_id"), F.asc("id"))
@@ -240,26 +246,27 @@ def score_bigram(
     first = (
         positions.join(hot, on, "left")
         .join(base, "id")
-        .groupBy(key)
+        .groupBy("_key")
         .agg(
             F.sum(F.when(F.col("share").isNotNull(), loss).otherwise(0.0)).alias("found"),
             F.count(F.lit(1)).alias("n"),
             F.collect_list(miss).alias("missed"),
         )
     )
-    salt = F.pmod(F.xxhash64(key, "at"), F.lit(salts)).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("_key", "at"), F.lit(salts)).cast("int").alias("salt")
     spread = cold.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     missing = F.col("id").isNotNull()
     return (
-        first.select(key, "found", "n", F.inline_outer(F.filter("missed", lambda m: m["id"].isNotNull())))
+        first.select("_key", "found", "n", F.inline_outer(F.filter("missed", lambda m: m["id"].isNotNull())))
         .select("*", salt)
         .join(spread.hint("shuffle_hash"), [*on, "salt"], "left")
-        .groupBy(key)
+        .groupBy("_key")
         .agg(
             (
                 (F.max("found") + F.coalesce(F.sum(F.when(missing, loss)), F.lit(0.0))) / F.max("n")
             ).alias("anomaly_score")
         )
+        .withColumnRenamed("_key", key)
     )
 
 

@@ -75,13 +75,13 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: Column) -> Data
     explode keeps requests without tokens and, unlike the inner one, makes Spark infer no
     filter that would tokenise every text twice.
     """
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("at", "token"))
+    exploded = df.select(F.col(key).alias("_key"), F.posexplode_outer(tokens).alias("at", "token"))
     entry = F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id"))
     return (
         exploded.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-        .groupBy(key)
+        .groupBy("_key")
         .agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), entry))).alias("_e"))
-        .select(key, F.col("_e.id").alias("token_ids"))
+        .select(F.col("_key").alias(key), F.col("_e.id").alias("token_ids"))
     )
 
 
@@ -127,13 +127,13 @@ def encode(
 def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
     """(key, text): marks are glued on, two words get a blank between them."""
     words = F.filter(F.col(ids), lambda i: ~i.isin(PAD, CLS, SEP))
-    exploded = df.select(key, F.posexplode_outer(words).alias("at", "id"))
+    exploded = df.select(F.col(key).alias("_key"), F.posexplode_outer(words).alias("at", "id"))
     entry = F.struct("at", F.coalesce("token", F.lit("")).alias("token"))
     return (
         exploded.join(F.broadcast(vocab.select("id", "token")), "id", "left")
-        .groupBy(key)
+        .groupBy("_key")
         .agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), entry))).alias("_e"))
-        .select(key, _spaced(F.col("_e.token")).alias("text"))
+        .select(F.col("_key").alias(key), _spaced(F.col("_e.token")).alias("text"))
     )
 
 
