@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqsieve.operators.normalize import with_training_text
@@ -237,10 +237,10 @@ def history_page(
 ) -> DataFrame:
     """One page as shown: score band, rounded score, hash prefix, more-pages flag.
 
-    The flag counts rows of the page only, at most ``limit`` of them.
+    The flag says whether the page is full; its window sees at most ``limit`` rows.
     """
     shown = page(df, limit, offset, ts=ts, tie=tie)
-    full = shown.agg((F.count(F.lit(1)) == limit).alias("full")).scalar()
+    full = F.count(F.lit(1)).over(Window.partitionBy()) == limit
     score = F.col("anomaly_score")
     return shown.select(
         tie,
@@ -384,6 +384,12 @@ def expired_count(df: DataFrame, now, retention_days: int = 30, ts: str = "ts")
     return old.agg(F.count(F.lit(1)).alias("deleted_records"))
 
 
+def retention_counts(df: DataFrame, now, retention_days: int = 30, ts: str = "ts") -> DataFrame:
+    """One row: records a cleanup would delete and keep."""
+    old = F.col(ts) < _bound(df, ts, cutoff(now, retention_days))
+    return df.agg(F.count_if(old).alias("deleted_records"), F.count_if(~old).alias("kept_records"))
+
+
 def cleanup(spark: SparkSession, table: str, now, retention_days: int = 30) -> int:
     """Delete old records from a managed table partitioned by ``dt``; returns how many.
 

@@ -379,7 +379,7 @@ def merge_counts(
 def newest_versions(versions: DataFrame, keep: int = 5) -> DataFrame:
     """The ``keep`` highest versions; the highest is current."""
     top = versions.orderBy(F.desc("version")).limit(keep)
-    latest = versions.agg(F.max("version").alias("v")).scalar()
+    latest = F.max("version").over(Window.partitionBy())  # over ``keep`` rows
     return top.withColumn("is_current", F.col("version") == latest)
 
 

@@ -17,6 +17,7 @@ from reqsieve.plans import sql as q
 from reqsieve.plans import views
 from reqsieve.session import materialize, scratch_dir, spread
 from reqsieve.sources import logs, sinks, vocab_io
+from reqsieve.sources.tail import rotate_files
 from reqsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +46,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 # --- shared stages ---------------------------------------------------------------------
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    raw = views.requests(spark, sf)
+def parsed_from(raw: DataFrame) -> DataFrame:
     blank = F.lit("")
     return parse.parse_requests(
         raw.select("*", blank.alias("user_agent"), blank.alias("referer"),
@@ -54,8 +54,16 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return parsed_from(views.requests(spark, sf))
+
+
+def texts_from(raw: DataFrame) -> DataFrame:
+    return normalize.with_training_text(parsed_from(raw)).select("request_id", "text")
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.with_training_text(parsed(spark, sf)).select("request_id", "text")
+    return texts_from(views.requests(spark, sf))
 
 
 def ts_text(c: Column) -> Column:
@@ -112,13 +120,17 @@ ORDER BY round(anomaly_score, 9) DESC, t.request_id LIMIT 100""",
 def top_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """Hundred least likely requests under a model of all requests.
 
-    The top is taken from (id, score) rows, so texts are joined to hundred rows only.
+    The top is taken from (id, score) rows. Its hundred ids then pick the raw requests, so
+    in the second pass only those are parsed and composed.
     """
-    rows = texts(spark, sf)
+    raw = views.requests(spark, sf)
+    rows = texts_from(raw)
     model = scoring.fit_unigram(rows, vocab_size=VOCAB)
     scores = scoring.score_requests(rows, model, "request_id", THRESHOLD)
     top = scores.orderBy(F.desc(F.round("anomaly_score", 9)), F.asc("request_id")).limit(100)
-    return rows.join(F.broadcast(top), "request_id").select(
+    top = materialize(top)
+    chosen = texts_from(raw.join(F.broadcast(top.select("request_id")), "request_id", "left_semi"))
+    return chosen.join(F.broadcast(top), "request_id").select(
         "request_id", "text", r6("anomaly_score").alias("anomaly_score"), "is_anomaly",
         r6("confidence").alias("confidence"),
     )
@@ -315,8 +327,7 @@ def s12_evaluation_csv(spark, sf):
 @register("s13_tail_source", "SELECT value FROM log_lines WHERE trim(value) <> ''")
 def s13_tail_source(spark, sf):
     out = scratch_dir(spark, "tailed")
-    lines = jobs.tail_logs(spark, [log_files(spark, sf)]).where(~F.col("path").endswith(".crc"))
-    lines = lines.where(~F.col("path").contains("/_SUCCESS"))
+    lines = jobs.tail_logs(spark, [log_files(spark, sf)])
     run_now(jobs.write_stream(lines.select("value"), out, out + "-progress", interval_seconds=None))
     return spark.read.schema("value string").parquet(out)
 
@@ -986,9 +997,7 @@ SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-18 00:00:00') AS deleted_records
   count(*) FILTER (ts >= TIMESTAMP '2024-01-18 00:00:00') AS kept_records FROM detections""",
 )
 def d8_retention(spark, sf):
-    rows = views.detections(spark, sf)
-    kept = history.kept_records(rows, NOW, 14).agg(F.count(F.lit(1)).alias("kept_records"))
-    return history.expired_count(rows, NOW, 14).select("deleted_records", kept.scalar().alias("kept_records"))
+    return history.retention_counts(views.detections(spark, sf), NOW, 14)
 
 
 @register(
@@ -1129,10 +1138,27 @@ def w1_follow_files(spark, sf):
     return collected(spark, jobs.follow_files(spark, log_files(spark, sf)), "followed")
 
 
-@register("w2_parse_stream", "SELECT * FROM log_rows")
-def w2_parse_stream(spark, sf):
+@register("w2_rotated_logs", "SELECT value FROM log_lines WHERE trim(value) <> ''")
+def w2_rotated_logs(spark, sf):
+    """Tail, rotate every file, tail again: nothing is lost and nothing comes twice."""
+    folder, out = log_files(spark, sf), scratch_dir(spark, "rotated")
+    for _ in range(2):
+        lines = jobs.tail_logs(spark, [folder]).select("value")
+        run_now(jobs.write_stream(lines, out, out + "-progress", interval_seconds=None))
+        rotate_files(folder)
+    return spark.read.schema("value string").parquet(out)
+
+
+@register("w3_parse_batches", "SELECT * FROM log_rows")
+def w3_parse_batches(spark, sf):
+    out = scratch_dir(spark, "parsed-batches")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        parse.parse_log_lines(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
     lines = views.log_lines_of(event_stream(spark, sf))
-    return collected(spark, parse.parse_log_lines(lines), "parsed-stream")
+    run_now(jobs.for_each_batch(lines, keep, out + "-progress", interval_seconds=None))
+    return spark.read.parquet(out).drop("batch_id")
 
 
 q.view("light_lines", ["json_docs"], """
@@ -1154,14 +1180,14 @@ def w4_detect_stream(spark, sf):
 
 
 @register(
-    "w5_windowed_counters",
+    "d9_windowed_counters",
     f"""
 SELECT {q.text_ts("date_trunc('hour', ts)")} AS window_start, count(*) AS requests,
   count(*) FILTER (value > 100) AS anomalies FROM events
 GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR
   <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 10 MINUTE""",
 )
-def w5_windowed_counters(spark, sf):
+def d9_windowed_counters(spark, sf):
     stream = event_stream(spark, sf).select(
         F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp").alias("ts"),
         (F.col("value") > 100).alias("is_anomaly"),
@@ -1172,6 +1198,17 @@ def w5_windowed_counters(spark, sf):
     return out.withColumn("window_start", ts_text(local))
 
 
+@register("w5_timed_batches", "SELECT * FROM log_rows")
+def w5_timed_batches(spark, sf):
+    """Batches on a timer, here of one second; stopped once all input is through."""
+    out = scratch_dir(spark, "timed")
+    rows = parse.parse_log_lines(views.log_lines_of(event_stream(spark, sf)))
+    query = jobs.write_stream(rows, out, out + "-progress", interval_seconds=1)
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 @register("d10_rate_audit_stream")
 def d10_rate_audit_stream(spark, sf):
     stream = event_stream(spark, sf).select(

@@ -77,6 +77,8 @@ class _TailReader(DataSourceStreamReader):
             info = filesystem.get_file_info(path)
             if info.type == pafs.FileType.Directory:
                 infos = [] if named_only else filesystem.get_file_info(pafs.FileSelector(path))
+                # As in batch scans, names that start with a dot or underscore are hidden.
+                infos = [i for i in infos if not i.base_name.startswith((".", "_"))]
             else:
                 infos = [info]
             for i in infos:
@@ -185,3 +187,16 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _TailReader(self.options)
+
+
+def rotate_files(folder: str) -> None:
+    """Rename every local log file of a folder the way log rotation does.
+
+    Does nothing on other file systems, where files are tracked by path.
+    """
+    filesystem, path = _open_fs(folder)
+    if not isinstance(filesystem, pafs.LocalFileSystem):
+        return
+    for info in filesystem.get_file_info(pafs.FileSelector(path)):
+        if info.type == pafs.FileType.File and not info.base_name.startswith((".", "_")):
+            filesystem.move(info.path, info.path + ".1")
