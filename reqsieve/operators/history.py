@@ -39,6 +39,9 @@ RECORD_FIELDS = [
 
 BATCH_NOTE = "batch_request"
 
+# Rows a sort with a limit may bring together.
+SHALLOW_ROWS = 100_000
+
 
 # --- time ------------------------------------------------------------------------------
 
@@ -204,19 +207,53 @@ def page(
     after: tuple[str | float | datetime, int] | None = None,
     ts: str = "ts",
     tie: str = "id",
+    shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """Most recent first. ``after`` is the (time, id) of the last row already seen: it
-    reaches deep pages with a pushed-down filter, where ``offset`` must sort past all
-    earlier rows."""
+    reaches deep pages with a pushed-down filter, where ``offset`` must pass all earlier
+    rows. A sort with a limit brings offset + limit rows to one place, so beyond
+    ``shallow_rows`` the page is found by counts per second instead."""
     if after is not None:
         seen = _bound(df, ts, parse_time_bound(after[0]))
         df = df.where(
             (F.col(ts) < seen) | ((F.col(ts) == seen) & (F.col(tie) < F.lit(after[1])))
         )
+    if offset + limit > shallow_rows:
+        return _deep_page(df, limit, offset, ts, tie)
     ordered = df.orderBy(F.desc(ts), F.desc(tie))
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def _deep_page(df: DataFrame, limit: int, offset: int, ts: str, tie: str) -> DataFrame:
+    """Count rows per second, per day and in total, to find the seconds the page covers;
+    only their rows are ranked."""
+    us = micros_of(df, ts)
+    keyed = df.withColumn("_second", us - F.pmod(us, F.lit(1_000_000)))
+    day = F.col("_second") - F.pmod(F.col("_second"), F.lit(86_400_000_000))
+    seconds = keyed.groupBy("_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", day)
+    to_here = (Window.unboundedPreceding, 0)
+    # One row per day in the unpartitioned window.
+    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_of_day"))
+    by_day = Window.orderBy(F.desc("_day")).rowsBetween(*to_here)
+    days = days.select("_day", (F.sum("_of_day").over(by_day) - F.col("_of_day")).alias("_newer"))
+    in_day = Window.partitionBy("_day").orderBy(F.desc("_second")).rowsBetween(*to_here)
+    placed = seconds.join(days, "_day").withColumn(
+        "_before", F.col("_newer") + F.sum("_n").over(in_day) - F.col("_n")
+    )
+    covered = placed.where(
+        (F.col("_before") + F.col("_n") > offset) & (F.col("_before") < offset + limit)
+    ).select("_second", "_before")
+    rank = F.row_number().over(Window.partitionBy("_second").orderBy(F.desc(ts), F.desc(tie)))
+    place = F.col("_before") + rank
+    return (
+        keyed.join(covered, "_second")
+        .withColumn("_place", place)
+        .where((F.col("_place") > offset) & (F.col("_place") <= offset + limit))
+        .orderBy("_place")
+        .select(*df.columns)
+    )
+
+
 def lookup(df: DataFrame, request_id: str) -> DataFrame:
     return df.where(F.col("request_id") == request_id)
 

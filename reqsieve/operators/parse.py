@@ -54,7 +54,7 @@ JSON_ALIASES = {
     "body": ["request_body", "body"],
 }
 
-# Combined log format with an optional trailing quoted body.
+# Fixed value: combined log format with an optional trailing quoted body.
 COMBINED = (
     rf"(?U)^({NOT_WS}+){WS}+{NOT_WS}+{WS}+{NOT_WS}+{WS}+\[([^\]]+)\]{WS}+"
     rf'"([^"]*)"{WS}+(\d{{3}}){WS}+({NOT_WS}+){WS}+"([^"]*)"{WS}+"([^"]*)"(?:{WS}+"([^"]*)")?{WS}*\z'

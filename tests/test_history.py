@@ -58,6 +58,12 @@ def test_pages_by_offset_and_by_key_agree(spark):
     assert ids(history.page(df, 5, 38)) == [1, 0]
 
 
+def test_deep_pages_equal_shallow_ones(spark):
+    df = records(spark, 400).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") / 3) * 40000))
+    for limit, offset in ((5, 0), (7, 11), (50, 333), (100, 350), (10, 400)):
+        assert ids(history.page(df, limit, offset, shallow_rows=0)) == ids(history.page(df, limit, offset))
+
+
 def test_history_page(spark):
     df = history.with_client_hash(records(spark).withColumn("client", F.lit("1.2.3.4")), "s")
     rows = history.history_page(df, 4, high=9, medium=7).collect()
