@@ -365,25 +365,32 @@ def with_cookies(df: DataFrame, headers: str = "headers", out: str = "cookies")
     return df.withColumn(out, F.map_from_entries(cookies(F.col(headers))))
 
 
-def parse_requests(df: DataFrame) -> DataFrame:
-    """Parsed log rows to full requests.
-
-    Reads method, path, query, user_agent, referer, body, status, response_size and,
-    where there, a ``headers`` map. A status that is no number becomes 0.
-    """
-    number = lambda n: (
-        F.coalesce(F.col(n).cast("bigint"), F.lit(0)).cast("bigint")
-        if dict(df.dtypes)[n] != "string"
-        else safe_int(text_or_empty(F.col(n)))
-    )
-    out = with_merged_headers(df).withColumns(
+def with_text_fields(df: DataFrame) -> DataFrame:
+    """The fields a request's text is made of: method, path, query_params and body."""
+    return df.withColumns(
         {
             "method": F.upper(text_or_empty(F.col("method"))),
             "path": decode_url(F.col("path")),
             "query_params": query_params(F.col("query")),
             "body": text_or_empty(F.col("body")),
-            "status": number("status"),
-            "response_size": number("response_size"),
         }
     )
+
+
+def parse_requests(df: DataFrame) -> DataFrame:
+    """Parsed log rows to full requests.
+
+    Reads method, path, query, user_agent, referer, body, status, response_size and,
+    where there, a ``headers`` map. A status that is no number becomes 0.
+    """
+    kinds = dict(df.dtypes)
+
+    def number(name: str) -> Column:
+        if kinds[name] == "string":
+            return safe_int(text_or_empty(F.col(name)))
+        return F.coalesce(F.col(name).cast("bigint"), F.lit(0)).cast("bigint")
+
+    out = with_merged_headers(with_text_fields(df)).withColumns(
+        {"status": number("status"), "response_size": number("response_size")}
+    )
     return with_cookies(out)

@@ -259,7 +259,7 @@ def score_bigram(
     return (
         first.select("_key", "found", "n", F.inline_outer(F.filter("missed", lambda m: m["id"].isNotNull())))
         .select("*", salt)
-        .join(spread.hint("shuffle_hash"), [*on, "salt"], "left")
+        .join(spread, [*on, "salt"], "left")
         .groupBy("_key")
         .agg(
             (

@@ -47,11 +47,8 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def parsed_from(raw: DataFrame) -> DataFrame:
-    blank = F.lit("")
-    return parse.parse_requests(
-        raw.select("*", blank.alias("user_agent"), blank.alias("referer"),
-                   F.lit(0).alias("status"), F.lit(0).alias("response_size"))
-    )
+    """Requests without headers: what their texts are made of."""
+    return parse.with_text_fields(raw)
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +182,8 @@ def s4_scan_labelled(spark, sf):
     )
     rows = parsed(spark, sf).select(
         F.struct(
-            "method", "path", F.map_from_entries("query_params").alias("query_params"), "headers", "body"
+            "method", "path", F.map_from_entries("query_params").alias("query_params"),
+            F.expr("cast(map() as map<string,string>)").alias("headers"), "body",
         ).alias("request"),
         F.when(F.col("request_id") % 5 == 1, "attack").otherwise("benign").alias("label"),
     )

@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", app_name: str = "reqsieve") -> SparkSe
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Expressions here have many nodes; noting the Python line of each is costly.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
