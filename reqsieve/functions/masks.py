@@ -25,8 +25,8 @@ UUID = "(?U)" + _UUID
 LONG_HEX = "(?U)" + _LONG_HEX
 IPV4 = r"(?U)(?=\d)\b(?=\d{1,3}\.\d)" + _IPV4.removeprefix(r"\b")
 ID_SEGMENT = "(?U)" + _ID_SEGMENT
-# The class holds every character that matches s, t, a or j when case is ignored.
-SESSION = "(?=[sStTaAjJſ])(?Ui)" + _SESSION
+# The classes hold every character that can be first or second when case is ignored.
+SESSION = "(?=[sStTaAjJſ][eEoOuUiIİıwW])(?Ui)" + _SESSION
 TIMESTAMP = "(?U)(?=20)" + _TIMESTAMP
 
 
