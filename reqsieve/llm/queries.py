@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import exact_dedup, mixing, warc
+from reqsieve.llm import decontaminate, exact_dedup, mixing, token_files, warc
 from reqsieve.llm.common import table
 from reqsieve.session import scratch_dir
 
@@ -104,3 +104,48 @@ SELECT page_id, size AS payload_bytes, digest AS payload_digest,
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN original END AS refers_to
 FROM r"""
+
+
+@register
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Words of A-Z in lower case only; lower() would change letters beyond ASCII too.
+_SQL_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op3_decontaminate"] = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item_id, {_SQL_WORDS} AS words FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, least(13, len(words)) AS size,
+    list_aggregate(words[k : k + least(13, len(words)) - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 12, 1))) AS k FROM i WHERE len(words) > 0)),
+d AS (SELECT doc_id, row_number() OVER () AS row, {_SQL_WORDS} AS words FROM documents),
+n AS (SELECT DISTINCT size FROM w),
+h AS (
+  SELECT row, k, size, item_id
+  FROM (
+    SELECT row, size, k, list_aggregate(words[k : k + size - 1], 'string_agg', ' ') AS phrase
+    FROM (SELECT row, words, size, unnest(generate_series(1, len(words) - size + 1)) AS k
+          FROM d, n WHERE len(words) >= size))
+  JOIN w USING (size, phrase)),
+c AS (
+  SELECT row, count(DISTINCT p) AS n_hit
+  FROM (SELECT row, unnest(generate_series(k, k + size - 1)) AS p FROM (SELECT DISTINCT row, k, size FROM h))
+  GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+      FROM (SELECT DISTINCT row, item_id FROM h) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)"""
+
+
+@register
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path, with_ids=False)
