@@ -26,7 +26,12 @@ BUDGET = 1.5
 MAX_REPEAT = 2
 SEED = "mix"
 
-SIZE = r"CAST(regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+') AS BIGINT)"
+_PARTS = r"split(coalesce(text, ''), r'[\x20\x09-\x0D]+')"
+# Words of a text: the parts between white space, less the empty one at either end.
+SIZE = (
+    f"CAST(size({_PARTS}) - IF({_PARTS}[0] = '', 1, 0) "
+    f"- IF(size({_PARTS}) > 1 AND element_at({_PARTS}, -1) = '', 1, 0) AS BIGINT)"
+)
 
 
 def source_targets(

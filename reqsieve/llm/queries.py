@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import decontaminate, exact_dedup, mixing, token_files, warc
+from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, token_files, warc
 from reqsieve.llm.common import table
 from reqsieve.session import scratch_dir
 
@@ -149,3 +149,43 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
     return token_files.read_token_files(spark, path, with_ids=False)
+
+
+@register
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same by brute force: every block against every template, no filters."""
+    sets = ", ".join(
+        f"({i}, '{label}', {sorted(set(text.split()))})" for i, (text, label) in enumerate(licenses.TEMPLATES)
+    )
+    phrases = ", ".join(f"('{text}', {len(text.split())}, '{label}')" for text, label in licenses.PHRASES)
+    step = max(len(text.split()) for text, _ in licenses.TEMPLATES)
+    return f"""
+WITH t(template, label, tokens) AS (VALUES {sets}),
+p(phrase, size, label) AS (VALUES {phrases}),
+d AS (SELECT doc_id, row_number() OVER () AS row, {_SQL_WORDS} AS words FROM documents),
+b AS (
+  SELECT row, words[k : k + {2 * step - 1}] AS held
+  FROM (SELECT row, words, unnest(generate_series(1, len(words), {step})) AS k FROM d WHERE len(words) > 0)),
+m AS (
+  SELECT row, label, len(list_intersect(held, tokens))::DOUBLE / len(tokens) AS share
+  FROM b, t WHERE len(list_intersect(held, tokens)) >= {licenses.CONTAINMENT} * len(tokens) - 1e-9),
+h AS (
+  SELECT row, k - 1 AS place, label
+  FROM (SELECT row, words, unnest(generate_series(1, len(words))) AS k FROM d WHERE len(words) > 0), p
+  WHERE list_aggregate(words[k : k + size - 1], 'string_agg', ' ') = phrase),
+x AS (SELECT row, count(*) AS n, min(place) AS lo, max(place) AS hi,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS base FROM h GROUP BY row),
+y AS (SELECT row, max(share) AS share FROM m GROUP BY row),
+z AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT row, label FROM m UNION SELECT row, label FROM h) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word,
+  hi::BIGINT AS last_word, coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN x USING (row) LEFT JOIN y USING (row) LEFT JOIN z USING (row)"""
+
+
+ORACLES["op4_license_scan"] = _license_sql()
