@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, secret_scan, token_files, warc
+from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, pii, secret_scan, token_files, warc
 from reqsieve.llm.common import table
 from reqsieve.session import scratch_dir
 
@@ -194,3 +194,8 @@ ORACLES["op4_license_scan"] = _license_sql()
 @register
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@register
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
