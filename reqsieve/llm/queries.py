@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, pii, secret_scan, token_files, warc
+from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality, secret_scan, token_files, warc
 from reqsieve.llm.common import table
 from reqsieve.session import scratch_dir
 
@@ -199,3 +199,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+@register
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
