@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqsieve.llm import decontaminate, exact_dedup, licenses, mixing, pii, quality, secret_scan, token_files, warc
+from reqsieve.llm import (
+    decontaminate,
+    exact_dedup,
+    licenses,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    secret_scan,
+    token_files,
+    warc,
+)
 from reqsieve.llm.common import table
 from reqsieve.session import scratch_dir
 
@@ -205,3 +216,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
