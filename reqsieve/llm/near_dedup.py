@@ -183,8 +183,9 @@ def _run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node binary, runs binary").groupBy("node").agg(F.first("runs").alias("runs"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, b_runs) whose sets of runs are similar enough, with the similarity."""
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, extras: bool = False) -> DataFrame:
+    """The pairs (a, b) with their exact similarity, the number of runs they share and, if
+    asked for, the runs that b has beyond a."""
     wanted = pairs.selectExpr("explode(array(a, b)) AS node").distinct().join(nodes, "node")
     wanted = stored(wanted.select("node", "first.doc_id", "first.body"), "near-candidates")
     sets = stored(_run_sets(docs, wanted), "near-sets")
@@ -199,21 +200,21 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: fl
     def compare(group: pa.Table) -> pa.Table:
         names, sets = group["b"].to_pylist(), group["runs"].to_pylist()
         hub = np.frombuffer(sets[names.index(None)], np.uint64)
-        a, found = group["a"][0].as_py(), []
+        found: dict[str, list] = {"a": [], "b": [], "similarity": [], "shared": [], "extra": []}
         for b, runs in zip(names, sets):
             if b is not None:
                 other = np.frombuffer(runs, np.uint64)
-                shared = len(np.intersect1d(hub, other, assume_unique=True))
-                share = shared / max(len(hub) + len(other) - shared, 1)
-                if share >= similarity:
-                    found.append((a, b, share))
-        return pa.table(
-            {"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary()),
-             "similarity": pa.array([f[2] for f in found], pa.float64())}
-        )
+                in_hub = np.isin(other, hub, assume_unique=True)
+                shared = int(in_hub.sum())
+                row = (group["a"][0].as_py(), b, shared / max(len(hub) + len(other) - shared, 1), shared,
+                       other[~in_hub].view(np.int64) if extras else [])
+                for column, value in zip(found.values(), row):
+                    column.append(value)
+        types = (pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(found.items(), types)})
 
     return partners.unionByName(hubs).groupBy("a", "chunk").applyInArrow(
-        compare, "a binary, b binary, similarity double"
+        compare, "a binary, b binary, similarity double, shared bigint, extra array<bigint>"
     )
 
 
@@ -235,25 +236,39 @@ def _links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
         .selectExpr("hub AS a", "node AS b", "n_runs AS b_runs").distinct(),
         "near-pairs",
     )
-    links = stored(verified(docs, pairs, nodes, similarity), "near-links")
+    compared = stored(verified(docs, pairs, nodes, True), "near-links")
+    links = compared.where(f"similarity >= {similarity}").select("a", "b")
 
-    # What hubs did not join: pairs across the components of a bucket.
+    # What hubs did not join: pairs across the components of a bucket. Two members share at most
+    # the runs that both have in common with the hub, plus those that both have beyond it; a
+    # member too unlike the hub in size to be compared is bounded by its size alone. What the
+    # bound rules out is no link, and only the rest is paired and counted.
     roots = components(links)
     rest = members.join(roots, "node", "left").selectExpr(
         "bucket", "node", "n_runs", "hub", "coalesce(root, node) AS root"
     )
     open_buckets = rest.groupBy("bucket").agg(F.expr("min(root) <> max(root) AS open")).where("open").select("bucket")
-    rest = stored(rest.join(open_buckets, "bucket").where("node <> hub"), "near-rest")
-    other = rest.selectExpr("bucket", "node AS b", "n_runs AS b_runs", "root AS b_root")
+    rest = stored(
+        rest.join(open_buckets, "bucket").where("node <> hub")
+        .join(compared.selectExpr("a AS hub", "b AS node", "shared", "extra"), ["hub", "node"], "left")
+        .selectExpr("bucket", "node", "n_runs", "root", "coalesce(shared, n_runs) AS shared", "extra"),
+        "near-rest",
+    )
+    other = rest.selectExpr(*[f"{c} AS {c}_b" for c in rest.columns])
+    needed = f"{similarity / (1 + similarity)!r} * (n_runs + n_runs_b) - 1e-6"
     cross = (
-        rest.withColumnRenamed("node", "a").join(other, "bucket")
-        .where("root < b_root AND " + near.format(x="n_runs", y="b_runs")).select("a", "b", "b_runs").distinct()
+        rest.join(other, F.expr(
+            f"bucket = bucket_b AND root < root_b AND {near.format(x='n_runs', y='n_runs_b')} AND "
+            f"least(shared, shared_b) + coalesce(array_size(array_intersect(extra, extra_b)), least(n_runs, n_runs_b)) >= {needed}"
+        ))
+        .selectExpr("node AS a", "node_b AS b", "n_runs_b AS b_runs").distinct()
     )
     known = pairs.select("a", "b").unionByName(pairs.selectExpr("b AS a", "a AS b"))
     cross = stored(cross.join(known, ["a", "b"], "left_anti"), "near-pairs")
     if cross.isEmpty():
         return links
-    return stored(links.unionByName(verified(docs, cross, nodes, similarity)), "near-links")
+    more = verified(docs, cross, nodes).where(f"similarity >= {similarity}").select("a", "b")
+    return stored(links.unionByName(more), "near-links")
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
