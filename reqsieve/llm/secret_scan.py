@@ -33,6 +33,8 @@ MIN_SECRET = 6
 MIN_RUN = 20
 MIN_RATIO = 12.0
 MIN_MEAN = 0.8
+# Weight, in pairs, of a character's overall frequency within each row of a model.
+BACKOFF = 8.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 _SIZE = len(ALPHABET) + 1
@@ -115,13 +117,17 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
 def fit_ratios(docs: DataFrame) -> list[float]:
     """log P(b | a) under random strings less that under identifiers, for each pair (a, b)."""
-    counts = {True: [1.0] * _SIZE**2, False: [1.0] * _SIZE**2}
+    counts = {True: [0.0] * _SIZE**2, False: [0.0] * _SIZE**2}
     for r in pair_counts(docs).collect():
         counts[r.random][_place(r.first) * _SIZE + _place(r.second)] += r.n
     logs = {}
     for kind, flat in counts.items():
+        # A character that was seldom followed by others falls back on how common those are.
         totals = [sum(flat[a * _SIZE : (a + 1) * _SIZE]) for a in range(_SIZE)]
-        logs[kind] = [math.log(n / totals[i // _SIZE]) for i, n in enumerate(flat)]
+        common = [(sum(flat[b::_SIZE]) + 0.5) / (sum(totals) + 0.5 * _SIZE) for b in range(_SIZE)]
+        logs[kind] = [
+            math.log((n + BACKOFF * common[i % _SIZE]) / (totals[i // _SIZE] + BACKOFF)) for i, n in enumerate(flat)
+        ]
     return [a - b for a, b in zip(logs[True], logs[False])]
 
 
