@@ -44,13 +44,13 @@ def evaluation_set(
     payloads: DataFrame,
     terms: list[str],
     iterations: int,
-    payload_limit: int | None = 10,
+    payload_limit: int | None = None,
 ) -> DataFrame:
     """Benign routes and attack payloads, repeated.
 
     ``routes`` is (method, path, params MAP); a ``/search`` route gets the term of its
     iteration in ``q``. ``payloads`` is (position, payload); each goes into ``q`` of
-    ``GET /search``. The first ``payload_limit`` by position are used, all when None.
+    ``GET /search``. All are used, or the first ``payload_limit`` by position if that is given.
     """
     rounds = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
     words = F.array(*[F.lit(t) for t in terms])

@@ -39,9 +39,6 @@ RECORD_FIELDS = [
 
 BATCH_NOTE = "batch_request"
 
-# Rows a sort with a limit may bring together.
-SHALLOW_ROWS = 100_000
-
 
 # --- time ------------------------------------------------------------------------------
 
@@ -142,9 +139,10 @@ def build_records(
     """
     micros = micros_of(df)
     rid = F.col("request_id").cast("string") if "request_id" in df.columns else F.uuid()
-    day_text = F.date_format(
-        F.timestamp_seconds(F.floor(micros / 1_000_000)), "yyyy-MM-dd HH:mm:ss"
-    ) if dict(df.dtypes)["ts"] != "timestamp_ntz" else F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    wall = F.col("ts")
+    if dict(df.dtypes)["ts"] != "timestamp_ntz":
+        wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall.cast("timestamp_ntz"))
+    day_text = F.substring(wall.cast("string"), 1, 19)
     values = {
         "request_id": rid,
         "ts": F.col("ts"),
@@ -207,28 +205,26 @@ def page(
     after: tuple[str | float | datetime, int] | None = None,
     ts: str = "ts",
     tie: str = "id",
-    shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """Most recent first. ``after`` is the (time, id) of the last row already seen: it
     reaches deep pages with a pushed-down filter, where ``offset`` must pass all earlier
-    rows. A sort with a limit brings offset + limit rows to one place, so beyond
-    ``shallow_rows`` the page is found by counts per second instead."""
+    rows. The page is found by counts per second, so no long prefix is brought to one
+    place. Records without a time come last."""
     if after is not None:
         seen = _bound(df, ts, parse_time_bound(after[0]))
         df = df.where(
             (F.col(ts) < seen) | ((F.col(ts) == seen) & (F.col(tie) < F.lit(after[1])))
         )
-    if offset + limit > shallow_rows:
-        return _deep_page(df, limit, offset, ts, tie)
-    ordered = df.orderBy(F.desc(ts), F.desc(tie))
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    return _located_page(df, limit, offset, ts, tie)
 
 
-def _deep_page(df: DataFrame, limit: int, offset: int, ts: str, tie: str) -> DataFrame:
+def _located_page(df: DataFrame, limit: int, offset: int, ts: str, tie: str) -> DataFrame:
     """Count rows per second, per day and in total, to find the seconds the page covers;
     only their rows are ranked."""
     us = micros_of(df, ts)
-    keyed = df.withColumn("_second", us - F.pmod(us, F.lit(1_000_000)))
+    # No time sorts below all times.
+    second = F.coalesce(us - F.pmod(us, F.lit(1_000_000)), F.lit(-(2**62)))
+    keyed = df.withColumn("_second", second)
     day = F.col("_second") - F.pmod(F.col("_second"), F.lit(86_400_000_000))
     seconds = keyed.groupBy("_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", day)
     to_here = (Window.unboundedPreceding, 0)

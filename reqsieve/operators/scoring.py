@@ -75,8 +75,13 @@ def unigram_counts(
             F.array(F.struct(F.lit(UNK_TOKEN).alias("token"), F.size(s).alias("w"))),
         ),
     )
+    # Without any request the model still has its two marks, so that every score is defined.
+    marks = normal.sparkSession.range(2).select(
+        F.when(F.col("id") == 0, UNK_TOKEN).otherwise(SEP_TOKEN).alias("token"), F.lit(0).alias("w")
+    )
     counts = (
-        normal.select(F.inline(weighted)).groupBy("token").agg(F.sum("w").cast("bigint").alias("n"))
+        normal.select(F.inline(weighted)).unionByName(marks)
+        .groupBy("token").agg(F.sum("w").cast("bigint").alias("n"))
     )
     fixed = F.col("token").isin(UNK_TOKEN, SEP_TOKEN)
     order = [F.desc(fixed), F.desc("n"), F.asc("token")]
@@ -345,12 +350,10 @@ def merge_counts(
     delta: DataFrame,
     text: str = "text",
     max_length: int | None = None,
-    min_new_samples: int = 0,
 ) -> DataFrame:
     """Add new normal requests to a count table, keeping its vocabulary.
 
-    Tokens it does not know count as [UNK]. With fewer than ``min_new_samples`` new
-    requests the counts stay as they are.
+    Tokens it does not know count as [UNK].
     """
     ids = counts.select("token", "id")
     fresh = (
@@ -364,10 +367,6 @@ def merge_counts(
             "n",
         )
     )
-    if min_new_samples > 0:
-        # The end marks count the requests.
-        enough = delta.agg((F.count(F.lit(1)) >= min_new_samples).alias("ok")).scalar()
-        fresh = fresh.where(enough)
     return (
         counts.select("token", "id", "n")
         .unionByName(fresh)

@@ -15,7 +15,7 @@ from reqsieve.functions.text import join_pairs
 from reqsieve.operators import evaluate, history, normalize, parse, rate_audit, scoring, tokens
 from reqsieve.plans import sql as q
 from reqsieve.plans import views
-from reqsieve.session import materialize, scratch_dir, spread
+from reqsieve.session import materialize, scratch_dir
 from reqsieve.sources import logs, sinks, vocab_io
 from reqsieve.sources.tail import rotate_files
 from reqsieve.streaming import jobs
@@ -25,9 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-VOCAB = 1000
-BIGRAM_VOCAB = 400
-MAX_LENGTH = 128
+VOCAB = 10_000
+BIGRAM_VOCAB = 10_000
+MAX_LENGTH = 512
 THRESHOLD = 4.5
 NOW = "2024-02-01T00:00:00Z"
 SALT = "pepper"
@@ -156,7 +156,7 @@ FROM (SELECT event_type, count(*) FILTER (is_json) AS j,
 )
 def s2_log_format_profile(spark, sf):
     events = views.table(spark, sf, "events")
-    lines = views.log_lines_of(spread(events, "event_id"), keep=["event_type"])
+    lines = views.log_lines_of(events, keep=["event_type"])
     return logs.log_format_profile(lines, by=["event_type"])
 
 
@@ -236,7 +236,7 @@ def s6_scan_encoded(spark, sf):
     rows = texts(spark, sf)
     enc = tokens.encode(rows, tokens.build_vocab(rows, vocab_size=VOCAB), "request_id", max_length=MAX_LENGTH)
     enc.select("input_ids", "attention_mask").write.json(path)
-    back = spark.read.schema(logs.ENCODED_SCHEMA).json(path)
+    back = logs.read_encoded_samples(spark, path)
     return back.select(ints("input_ids").alias("input_ids"), ints("attention_mask").alias("attention_mask"))
 
 
@@ -251,10 +251,7 @@ def s7_sink_jsonl(spark, sf):
 def s8_sink_csv(spark, sf):
     path = scratch_dir(spark, "rows") + ".csv"
     sinks.write_parsed(parse.parse_log_lines(views.log_lines(spark, sf)), path)
-    return (
-        spark.read.schema(parse.LOG_SCHEMA).option("header", True).option("escape", '"')
-        .option("nullValue", "\x00").csv(path).na.fill("")
-    )
+    return logs.read_log_csv(spark, path)
 
 
 @register("s9_vocab_roundtrip", "SELECT token, id FROM vocab")

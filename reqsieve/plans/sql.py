@@ -131,7 +131,7 @@ SELECT page_id AS request_id, CASE WHEN page_id % 4 = 3 THEN 'post' ELSE 'GET' E
       6: "'u=%C3%A9&at=2024-01-0' || CAST(page_id % 9 AS VARCHAR) || 'T10:00:00Z'",
       7: "'ip=192.168.1.' || n || '&h=deadbeefdeadbeef' || n",
     }, "''")}, '')) AS query,
-  {case('page_id', 5, {1: "'user=u' || n || '&session=ab.c-' || n", 2: "html"}, "''")} AS body
+  coalesce(html, '') || {case('page_id', 5, {1: "'user=u' || n || '&session=ab.c-' || n"}, "''")} AS body
 FROM requests_0""",
 )
 view("decoded_once", ["requests"], f"SELECT *, {decode_pairs(pairs('query'))} AS e1 FROM requests")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,16 +58,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         F.lit(""),
     )
-    body = _by(
-        page,
-        5,
-        {
-            1: F.concat(F.lit("user=u"), n, F.lit("&session=ab.c-"), n),
-            2: F.col("html"),
-        },
-        F.lit(""),
-    )
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    session = _by(page, 5, {1: F.concat(F.lit("user=u"), n, F.lit("&session=ab.c-"), n)}, F.lit(""))
+    body = F.concat(F.coalesce("html", F.lit("")), session)
+    return table(spark, sf_dir, "pages").select(
         page.alias("request_id"),
         F.when(F.pmod(page, F.lit(4)) == 3, "post").otherwise("GET").alias("method"),
         path.alias("path"),
@@ -149,7 +141,7 @@ def log_lines_of(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_of(spread(table(spark, sf_dir, "events"), "event_id"))
+    return log_lines_of(table(spark, sf_dir, "events"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +161,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" from 10.1.2."),
         F.pmod(d, F.lit(300)).cast("string"),
     )
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(d.alias("doc_id"), body.alias("body"))
 
 

@@ -30,12 +30,17 @@ def local_session(cores: int | str = "*", app_name: str = "reqsieve") -> SparkSe
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, local runs) is a temporary folder used instead.
+    The cluster names its shared folder in ``spark.checkpoint.dir``, or has set a checkpoint
+    folder on the context. Only a local session without either uses a temporary folder: on a
+    cluster each machine would write to its own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="reqsieve-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -50,15 +55,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute a small result once (a model, a vocabulary) and reread it from then on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy text work all cores where the scan has fewer partitions than that.
-
-    A small file is one task. A large input has many more partitions than there are cores
-    and stays as it is, without a shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

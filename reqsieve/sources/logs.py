@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from reqsieve.functions.text import is_blank, strip
 from reqsieve.operators.parse import COMBINED, LOG_SCHEMA
 
-SAMPLE_LINES = 50
-
 # Fields that mark a JSON line as a log line.
 JSON_MARKERS = ["ip", "timestamp", "request", "status"]
 
@@ -69,8 +67,8 @@ def log_format_profile(df: DataFrame, by: list[str] | None = None, value: str =
 
 
 def detect_log_format(df: DataFrame, value: str = "value") -> DataFrame:
-    """One row with the format of the first 50 lines; an empty input counts as json."""
-    return log_format_profile(df.where(~is_blank(F.col(value))).limit(SAMPLE_LINES), value=value)
+    """One row with the format of all lines; an empty input counts as json."""
+    return log_format_profile(df.where(~is_blank(F.col(value))), value=value)
 
 
 def read_structured_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -104,12 +102,21 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_encoded_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Encoded samples of one file, or of every ``.jsonl`` in a folder."""
+    """Encoded samples of one file, or of every ``.jsonl`` and ``.json`` in a folder."""
     reader = spark.read.schema(ENCODED_SCHEMA)
     if not path.endswith((".jsonl", ".json")):
-        reader = reader.option("pathGlobFilter", "*.jsonl")
+        reader = reader.option("pathGlobFilter", "*.{jsonl,json}")
     return reader.json(path).where(F.col("input_ids").isNotNull())
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL_SCHEMA).option("header", True).option("escape", '"').csv(path)
+    """Evaluation rows; quoted fields may hold line breaks."""
+    reader = spark.read.schema(EVAL_SCHEMA).option("header", True)
+    return reader.option("escape", '"').option("multiLine", True).csv(path)
+
+
+def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed rows as ``write_log_csv`` wrote them, line breaks in fields included."""
+    reader = spark.read.schema(LOG_SCHEMA).option("header", True).option("escape", '"')
+    reader = reader.option("nullValue", "\x00").option("multiLine", True)
+    return reader.csv(path).na.fill("")

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reqsieve.operators.history import micros_of
 from reqsieve.operators.parse import LOG_FIELDS
 
 EVAL_FIELDS = ["ts", "label", "method", "path", "query", "anomaly_score", "is_anomaly"]
@@ -45,7 +46,9 @@ def append_detection_log(df: DataFrame, path: str, batch: bool = False) -> None:
 
 
 def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.withColumn("dt", F.to_date(ts))
+    """The day in UTC, whatever the session's zone; history bounds are UTC days too."""
+    days = F.floor(micros_of(df, ts) / F.lit(86_400_000_000)).cast("int")
+    return df.withColumn("dt", F.date_from_unix_date(days))
 
 
 def append_records(df: DataFrame, path: str) -> None:

@@ -15,7 +15,6 @@ from reqsieve.operators.history import build_records
 from reqsieve.operators.parse import light_requests_json_or_quoted
 from reqsieve.operators.normalize import with_training_text
 from reqsieve.operators.scoring import score_requests
-from reqsieve.session import spread
 from reqsieve.sources.sinks import with_day
 from reqsieve.sources.tail import TailSource
 
@@ -100,7 +99,6 @@ def detect_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         if "line_id" not in batch.columns:
             batch = batch.withColumn("line_id", F.monotonically_increasing_id())
-        batch = spread(batch, "line_id")
         parsed = with_training_text(light_requests_json_or_quoted(batch.select("line_id", "value")))
         # Two uses: the text for the score, the fields for the record.
         parsed = parsed.persist()

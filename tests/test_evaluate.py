@@ -29,8 +29,8 @@ def test_evaluation_set(spark):
     )
     payloads = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "position int, payload string")
     rows = evaluate.evaluation_set(routes, payloads, ["t0", "t1"], 3).collect()
-    assert len(rows) == 3 * (2 + 10)
+    assert len(rows) == 3 * (2 + 12)
     terms = {r.iteration: r.params["q"] for r in rows if r.label == "benign" and r.path == "/search"}
     assert terms == {0: "t0", 1: "t1", 2: "t0"}
-    assert {r.params["q"] for r in rows if r.label == "attack"} == {f"p{i}" for i in range(10)}
-    assert evaluate.evaluation_set(routes, payloads, ["t"], 2, None).count() == 2 * 14
+    assert {r.params["q"] for r in rows if r.label == "attack"} == {f"p{i}" for i in range(12)}
+    assert evaluate.evaluation_set(routes, payloads, ["t"], 2, payload_limit=10).count() == 2 * 12

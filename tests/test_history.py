@@ -58,10 +58,29 @@ def test_pages_by_offset_and_by_key_agree(spark):
     assert ids(history.page(df, 5, 38)) == [1, 0]
 
 
-def test_deep_pages_equal_shallow_ones(spark):
+def test_pages_equal_a_sort(spark):
     df = records(spark, 400).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") / 3) * 40000))
-    for limit, offset in ((5, 0), (7, 11), (50, 333), (100, 350), (10, 400)):
-        assert ids(history.page(df, limit, offset, shallow_rows=0)) == ids(history.page(df, limit, offset))
+    df = df.withColumn("ts", F.when(F.col("id") % 50 != 0, F.col("ts")))
+    for limit, offset in ((5, 0), (7, 11), (50, 333), (100, 350), (10, 400), (500, 0)):
+        want = ids(df.orderBy(F.desc("ts"), F.desc("id")))[offset : offset + limit]
+        assert ids(history.page(df, limit, offset)) == want
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_days_are_utc_in_every_zone(spark, tmp_path, zone):
+    start = 1704412800  # 2024-01-05T00:00:00Z
+    df = records(spark, 48).withColumn("ts", F.timestamp_seconds(F.lit(start) + (F.col("id") - 24) * 3600))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        sinks.append_records(df, str(tmp_path / "store"))
+        stored = spark.read.parquet(str(tmp_path / "store"))
+        assert {str(r.dt) for r in stored.select("dt").distinct().collect()} == {"2024-01-04", "2024-01-05"}
+        assert history.filter_history(stored, from_time="2024-01-05T00:00:00Z").count() == 24
+        assert history.kept_records(stored, "2024-01-05T00:30:00Z", 0).count() == 23
+        assert history.expired_count(stored, "2024-01-05T00:30:00Z", 0).first()[0] == 25
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_history_page(spark):

@@ -104,8 +104,12 @@ def test_merge_equals_fit_on_all_when_vocabulary_is_shared(spark):
     known = {t for x in old for t in seq(x)}
     want = {t: n[t] for t in known} | {"[UNK]": sum(v for t, v in n.items() if t not in known)}
     assert merged == want
-    kept = scoring.merge_counts(counts, frame(spark, new), min_new_samples=1000)
-    assert {r.token: r.n for r in kept.collect()} == {r.token: r.n for r in counts.collect()}
+
+
+def test_model_of_no_requests_scores_everything(spark):
+    model = scoring.fit_unigram(frame(spark, TEXTS).where("false"))
+    df = frame(spark, TEXTS).withColumn("id", F.monotonically_increasing_id())
+    assert all(r.anomaly_score is not None for r in scoring.score_unigram(df, model, "id").collect())
 
 
 def test_split_is_complete_and_repeatable(spark):
