@@ -21,6 +21,7 @@ table gives no segments; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -38,9 +39,9 @@ END_ID = 1
 MAX_BITS = 18
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
-# Rows of a batch tokenised at once, and entries of the word cache of a task.
+# Rows of a batch tokenised at once, and entries of the word cache of a worker.
 SLICE = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -57,8 +58,9 @@ class WordCache(dict):
 
     Up to U+024F composition changes nothing and lower-casing goes letter by letter, so the
     library's ids of a text are those of its words, put together. Each new word is cut into
-    the library's pieces, and the library's model encodes each piece. Other texts, and those
-    that may hold a special token, go to the library whole.
+    the library's pieces, and the library's model encodes each piece. A piece is a word of one
+    piece, so both are kept together. Other texts, and those that may hold a special token, go
+    to the library whole.
     """
 
     def __init__(self, tokenizer, dtype, limit: int = CACHE_WORDS):
@@ -68,32 +70,33 @@ class WordCache(dict):
         letters, numbers = ("".join(re.escape(c) for c in low if unicodedata.category(c)[0] == k) for k in "LN")
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
         self.other = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]").search
-        self.tokenizer, self.model, self.dtype, self.limit = tokenizer, tokenizer.model, dtype, limit
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows U+0100.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.bytes = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def piece(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            plain = text.isascii() and text.isprintable()
-            coded = text if plain else "".join(self.bytes[b] for b in text.encode())
-            found = np.array([t.id for t in self.model.tokenize(coded)], self.dtype).tobytes()
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[text] = found
-        return found
+        plain = text.isascii() and text.isprintable()
+        coded = text if plain else "".join(self.bytes[b] for b in text.encode())
+        return self.packed([t.id for t in self.model.tokenize(coded)])
 
     def __missing__(self, word: str) -> bytes:
-        found = b"".join(map(self.piece, self.pieces(word)))
+        parts = self.pieces(word)
+        if len(parts) == 1:
+            found = self.piece(parts[0])
+        else:
+            found = b"".join([self[p] for p in parts])
         self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or self.other(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self) >= self.limit:
             self.clear()
         return b"".join(map(self.__getitem__, text.lower().split()))
@@ -113,9 +116,14 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        cache = WordCache(Tokenizer.from_file(path), width)
+        import tokenizers
+
+        # A worker runs many tasks, each with its own copy of this code; the library's module
+        # is what they share, so the tokenizer and its cache stay there for the next task.
+        kept = vars(tokenizers).setdefault("_word_caches", {})
+        if (path, width) not in kept:
+            kept[path, width] = WordCache(tokenizers.Tokenizer.from_file(path), width)
+        cache = kept[path, width]
         end, size = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
         part, before = TaskContext.get().partitionId(), 0
         for whole in batches:
