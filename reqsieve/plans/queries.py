@@ -1003,7 +1003,21 @@ def d9_counters(spark, sf):
     return history.counters(views.detections(spark, sf))
 
 
-@register("d10_rate_audit")
+# Requests of a client in order, each carrying the log of accepted times before it.
+_AUDIT_SQL = """
+WITH RECURSIVE numbered AS (
+  SELECT event_id AS id, CAST(user_id AS VARCHAR) AS client, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walk AS (
+  SELECT id, client, k, true AS accepted, [us] AS held FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT id, client, k, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END
+  FROM (SELECT n.id, n.client, n.k, n.us, list_filter(w.held, lambda t: t >= n.us - 86400000000) AS live
+        FROM walk w JOIN numbered n ON n.client = w.client AND n.k = w.k + 1))
+SELECT id, client, accepted FROM walk"""
+
+
+@register("d10_rate_audit", _AUDIT_SQL)
 def d10_rate_audit(spark, sf):
     rows = views.detections(spark, sf).select("id", "client", "ts")
     audited = rate_audit.audit(rows, limit=3, window_seconds=86_400)
@@ -1204,7 +1218,7 @@ def w5_timed_batches(spark, sf):
     return spark.read.schema(rows.schema).parquet(out)
 
 
-@register("d10_rate_audit_stream")
+@register("d10_rate_audit_stream", _AUDIT_SQL)
 def d10_rate_audit_stream(spark, sf):
     stream = event_stream(spark, sf).select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("client"),
