@@ -4,8 +4,8 @@ The normalised test items are packed into blocks of a bounded number of words. E
 becomes one automaton on the driver, which the tasks receive as a broadcast variable; a
 document streams its words through it and tracks the longest suffix that some item contains.
 Where that reaches the window length, the last ``window`` words are a window of an item. An
-item shorter than the window is one window as a whole. More items mean more blocks, passed one
-after another over the same rows, so memory stays bounded and nothing is left out.
+item shorter than the window is one window as a whole. More items mean more blocks, and nothing
+is left out. A task holds all blocks, so its memory grows with the items, not with documents.
 
 Defined results: null and empty texts have no words, no hits and are clean; items without
 words never occur; items with equal ids count once, and items without id cover words but are
