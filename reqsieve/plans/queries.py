@@ -837,10 +837,7 @@ def m12_versions(spark, sf):
 
 
 def _load_mark_share():
-    import re
-
-    marks = re.compile(r"[^A-Za-z0-9]")
-    return lambda texts: [len(marks.findall(t)) / max(len(t), 1) for t in texts]
+    return lambda texts: texts.str.count(r"[^A-Za-z0-9]") / texts.str.len().clip(lower=1)
 
 
 @register(
