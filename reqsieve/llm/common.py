@@ -25,6 +25,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: no name of the caller's can clash with those that an
+    operator adds, and none needs quoting. :func:`named` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The numbered columns of ``df`` under the names that ``like`` has."""
+    return df.select([F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a text as UTF-8."""
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()

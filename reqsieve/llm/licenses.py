@@ -117,7 +117,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     places, labels = [], []
     for phrase, label in phrases:
         words = phrase.split()
-        same = " AND ".join(f"words[i + {k}] = {w!r}" for k, w in enumerate(words))
+        same = " AND ".join(f"get(words, i + {k}) = {w!r}" for k, w in enumerate(words))
         starts = f"filter(sequence(0, greatest(size(words) - {len(words)}, 0)), i -> coalesce({same}, false))"
         places.append(starts)
         labels.append(f"IF(size({{}}) > 0, {label!r}, NULL)")

@@ -10,16 +10,18 @@ running sums in that order give the final shares at once.
 
 Defined results: a null text has size 0; null is a source of its own and comes last; a source
 without words has target 0 and is not taken; rows that share a doc_id share their draw; an
-empty table gives no rows. Sources are joined without a broadcast hint: few are broadcast by
+empty table gives no rows; ``mix`` keeps all columns, whatever their names. Sources are joined without a broadcast hint: few are broadcast by
 Spark, many go through a join whose skewed partitions Spark splits.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import running_sums, stored
+from reqsieve.llm.common import named, numbered, running_sums, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -55,13 +57,17 @@ def source_targets(
         F.lit(whole["weights"] or 0) - F.col("weights_before")
     )
     flagged = sums.withColumn("level", level).withColumn("full", F.expr("ratio <= level"))
-    # The level at the first source that is not full holds for all that are not.
-    share = flagged.where("NOT full").agg(F.min("level")).first()[0]
+    # The level at the first source that is not full holds for all that are not. It is the
+    # greatest of theirs: each of them stands further above the level than the one before.
+    share = flagged.where("NOT full").agg(F.max("level")).first()[0]
+    # Rates above the limit or below zero would be an error of the shares, so they raise.
+    checked = "IF(target BETWEEN 0D AND cap, {}, raise_error(concat('target out of range: ', target)))"
     return flagged.withColumn("share", F.lit(share or 0.0)).selectExpr(
-        "source", "source_size",
-        "CASE WHEN full THEN CAST(cap AS DOUBLE) ELSE share * weight END AS target",
-        "CASE WHEN source_size = 0 THEN 0D WHEN full THEN CAST(cap AS DOUBLE) / source_size "
-        "ELSE share * weight / source_size END AS rate",
+        "source", "source_size", "cap",
+        "CASE WHEN full THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), share * weight) END AS target",
+    ).selectExpr(
+        "source", "source_size", f"{checked.format('target')} AS target",
+        "CASE WHEN source_size = 0 THEN 0D ELSE target / source_size END AS rate",
     )
 
 
@@ -86,8 +92,8 @@ def mix_plan(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     targets = source_targets(docs.selectExpr("source", f"{SIZE} AS size"), **shares)
-    rates = stored(targets, "targets").selectExpr("source AS _source", "rate AS _rate")
-    taken = docs.join(rates, F.expr("source <=> _source")).withColumn(
-        "_copies", F.expr(copies(seed).replace("rate", "_rate"))
-    )
-    return taken.selectExpr("*", "explode(array_repeat(0, CAST(_copies AS INT))) AS _copy").select(docs.columns)
+    rates = stored(targets, "targets").select("source", "rate")
+    id_at, source_at = (f"c{docs.columns.index(c)}" for c in ("doc_id", "source"))
+    taken = numbered(docs).join(rates, F.expr(f"{source_at} <=> source"))
+    times = re.sub(r"\bdoc_id\b", id_at, copies(seed))
+    return named(taken.selectExpr("*", f"explode(array_repeat(0, CAST({times} AS INT))) AS copy"), docs)

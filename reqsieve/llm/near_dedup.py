@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import WORD_BYTES, stored
+from reqsieve.llm.common import WORD_BYTES, named, numbered, stored
 from reqsieve.llm.components import components
 
 RUN = 5
@@ -313,11 +313,12 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = rows.where("node IS NOT NULL").groupBy("node", "doc_id", "body").agg(F.count("*").alias("n"))
     stays = copies.join(classes, "node").where("doc_id <=> keep.doc_id AND body = keep.body")
     kept = stored(kept.distinct().unionByName(stays.selectExpr("doc_id", "body", "n > 1 AS repeated")), "near-kept")
-    found = docs.withColumn("_body", F.expr("md5(coalesce(text, ''))")).join(
-        kept.selectExpr("doc_id AS _id", "body AS _kept", "repeated AS _repeated"), F.expr("doc_id <=> _id AND _body = _kept")
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    found = numbered(docs).withColumn("digest", F.expr(f"md5(coalesce({text_at}, ''))")).join(
+        kept, F.expr(f"{id_at} <=> doc_id AND digest = body")
     )
     if kept.where("repeated").isEmpty():
-        return found.select(docs.columns)
+        return named(found, docs)
     # Rows that repeat id and text: one of them stays.
-    once = found.where("_repeated").dropDuplicates(["doc_id", "_body"])
-    return found.where("NOT _repeated").unionByName(once).select(docs.columns)
+    once = found.where("repeated").dropDuplicates([id_at, "digest"])
+    return named(found.where("NOT repeated").unionByName(once), docs)

@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import stored
+from reqsieve.llm.common import named, numbered, stored
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
@@ -64,13 +64,13 @@ class RuleModel:
         return f"1D / (1D + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))"
 
 
-def with_statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
+def with_statistics(docs: DataFrame, name: str = "stats", text: str = "text") -> DataFrame:
     """Add a struct of statistics. The explode of one item keeps Spark from moving later
     filters below it, where every mention of a statistic would be computed again."""
     parts = (
         "struct(coalesce({t}, '') AS t, split(coalesce({t}, ''), r'[\\x20\\x09-\\x0D]+') AS w, "
         "split(coalesce({t}, ''), '\\n') AS l)"
-    ).format(t="text")
+    ).format(t=text)
     fields = ", ".join(
         f"CAST({re.sub(r'\b([twl])\b(?=[,)])', r'p.\1', e)} AS DOUBLE) AS {k}" for k, e in STATISTICS.items()
     )
@@ -141,5 +141,5 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> Da
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
     model = fit(docs.select("doc_id", "text"), labels)
-    scored = with_statistics(docs, "_stats").where(f"{model.score('_stats')} >= {threshold}")
-    return scored.select(docs.columns)
+    scored = with_statistics(numbered(docs), text=f"c{docs.columns.index('text')}")
+    return named(scored.where(f"{model.score('stats')} >= {threshold}"), docs)

@@ -35,32 +35,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mix_sources"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+    [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
   FROM d GROUP BY source),
-w AS (
-  SELECT *, [3, 1, 2][(place % 3) + 1] AS weight, 2 * source_size AS cap,
-    (2 * source_size)::DOUBLE / [3, 1, 2][(place % 3) + 1] AS ratio
-  FROM s),
-r AS (
-  SELECT *,
-    coalesce(sum(cap) OVER before, 0)::DOUBLE AS caps_before,
-    (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER before, 0) AS left_weight,
-    (SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE FROM w) AS total
-  FROM w
-  WINDOW before AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, (total - caps_before) / left_weight::DOUBLE AS level FROM r),
-f AS (SELECT *, ratio <= level AS filled FROM l),
+-- Share by weight, stop the sources that are above their limit, share the rest again.
+g(step, level) AS (
+  SELECT 0, sum(source_size)::DOUBLE * 1.5::DOUBLE / sum(weight)::DOUBLE FROM s
+  UNION ALL
+  SELECT step + 1,
+    ((SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE FROM s)
+      - (SELECT coalesce(sum(2 * source_size), 0)::DOUBLE FROM s WHERE 2 * source_size <= level * weight))
+    / (SELECT sum(weight)::DOUBLE FROM s WHERE 2 * source_size > level * weight)
+  FROM g WHERE step < (SELECT count(*) FROM s)),
 t AS (
   SELECT source, source_size,
-    CASE WHEN filled THEN cap::DOUBLE
-      ELSE (SELECT min(level) FROM f WHERE NOT filled) * weight END AS target
-  FROM f),
+    least((2 * source_size)::DOUBLE, (SELECT max(level) FROM g) * weight) AS target
+  FROM s),
 j AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
@@ -101,7 +96,7 @@ def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "response.payload_digest AS payload_digest",
         "response.type AS record_type",
         "CAST(metadata.fields['refers-to-page'] AS BIGINT) AS refers_to",
-        "explode(sequence(1L, records)) AS nth",
+        "explode(array_repeat(0, CAST(records AS INT))) AS nth",
     ).drop("nth")
 
 

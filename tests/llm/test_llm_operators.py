@@ -25,12 +25,16 @@ from reqsieve.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use inside.
-CLASH = ", node string, row string, size string, rate string, run string, digest string, stats string, c0 string, _body string, words string"
+CLASH = [
+    "node", "row", "size", "rate", "run", "digest", "stats", "c0", "_body", "words", "_source", "_rate", "_copy", "_stats",
+    "_id", "_kept", "_repeated", "copy", "body", "repeated", "target", "part", "block", "n", "phrase", "chunk", "a.b", "x y",
+]
 
 
 def docs_of(spark, rows, clash=True):
-    full = [(i, t, "en", s, None, *["x"] * 10 * clash) for i, t, s in rows]
-    return spark.createDataFrame(full, DOCS + CLASH * clash)
+    more = CLASH * clash
+    full = [(i, t, "en", s, None, *["x"] * len(more)) for i, t, s in rows]
+    return spark.createDataFrame(full, DOCS + "".join(f", `{c}` string" for c in more))
 
 
 def prose(seed, n):
@@ -82,11 +86,45 @@ def test_mixing(spark, mixed, empty):
     assert sum({r.source: r.target for r in plan}.values()) == pytest.approx(1.5 * total)
     out = mixing.mix(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in plan)
+    assert all(r["x"] == "x" for r in out.selectExpr("`a.b` AS x").limit(5).collect())
     sizes = {r.doc_id: r["size"] for r in mixing.mix_plan(mixed).collect()}
     assert sizes == {None: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 60000, 6: 60001, 7: 3}
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def water_filled(sizes, weights, budget, most=2):
+    """Targets by sharing again and again what is above a limit."""
+    left, open_, target = budget, set(sizes), {}
+    while open_:
+        level = left / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] >= most * sizes[s]}
+        if not over:
+            return target | {s: level * weights[s] for s in open_}
+        target |= {s: most * sizes[s] for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        open_ -= over
+    return target
+
+
+def test_mix_of_many_sources(spark, sf_dir):
+    """All sources of the given table, and sizes that fill sources in many steps."""
+    r = random.Random(8)
+    steps = docs_of(spark, [(i, "w " * r.choice([0, 1, 4, 30, 200]) * (i % 23), f"s{i % 23:02d}") for i in range(400)])
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), steps):
+        plan = mixing.mix_plan(docs).collect()
+        sizes = {}
+        for row in docs.collect():
+            sizes[row.source] = sizes.get(row.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", row.text or ""))
+        order = sorted(sizes, key=lambda s: (s is None, s))
+        weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        want = water_filled(sizes, weights, 1.5 * sum(sizes.values()))
+        got = {x.source: x.target for x in plan}
+        assert got == pytest.approx(want) and len(got) >= 20
+        assert all(0 <= x.copies <= 2 for x in plan)
+        kept = {x.source for x in mixing.mix(docs).select("source").distinct().collect()}
+        assert kept == {x.source for x in plan if x.copies}
+
+
 def test_contamination_against_brute_force(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(12)]
@@ -214,6 +252,13 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["under the mit", "apache license version", "cc by", "mit", "under the mit license"])
+def test_license_phrase_cut_short(spark, text):
+    """A text that ends inside a phrase, alone in its table so that its words are the rare ones."""
+    (row,) = licenses.scan(docs_of(spark, [(1, text, "a")])).collect()
+    assert row.n_base == (text == "under the mit license")
+
+
 def test_quality(spark, mixed, empty):
     r = random.Random(3)
     rows = [(i, prose(i, 80).upper() + "!!" if i % 2 else prose(i, 80) + ".", "a") for i in range(400)]

@@ -19,7 +19,7 @@ def test_query(spark, sf_dir, name):
 
 def test_pipeline_stages(spark, sf_dir):
     """Each stage by a plainer path: rules scored, brute-force classes, contamination, rates."""
-    from test_operators import brute_classes
+    from test_llm_operators import brute_classes
 
     from reqsieve.llm import decontaminate, mixing, quality
     from reqsieve.llm.common import table
