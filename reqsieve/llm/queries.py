@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reqsieve.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     licenses,
     mixing,
     near_dedup,
@@ -216,3 +217,34 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=relabel)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT ar, anchor_id, br AS pr, id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS k FROM s WHERE same AND ar <> br)
+  WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, pr ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT same
+  WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5"""
