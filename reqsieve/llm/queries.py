@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reqsieve.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     hard_negatives,
@@ -248,3 +249,37 @@ n AS (
   WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
 FROM n WHERE rank <= 5"""
+
+
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# By plain n-grams of every piece, all lengths at once.
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+s AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, list_aggregate(words[i : i + k - 1], 'string_agg', ' ') AS phrase, k
+  FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS i
+        FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(words) >= k)),
+f AS (SELECT lang, phrase, k, count(*)::BIGINT AS f FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+x AS (
+  SELECT c.lang, c.phrase, c.size, a, j, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = list_aggregate(words[1 : j], 'string_agg', ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = size - j AND r.phrase = list_aggregate(words[j + 1 : size], 'string_agg', ' ')
+  JOIN s ON s.lang = c.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM x) WHERE best = 1),
+d AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND t.size > s.size AND 100 * t.a >= 100 * s.a
+    AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+k AS (SELECT b.* FROM b LEFT JOIN d ON b.lang = d.lang AND b.phrase = d.phrase WHERE d.phrase IS NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
