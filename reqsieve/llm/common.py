@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,15 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], purpose:
     return local.join(F.broadcast(offsets), "_part").selectExpr(
         *df.columns, *[f"_o_{n} + _l_{n} AS {n}" for n in sums]
     )
+
+
+def worker_memo() -> dict:
+    """What a Python worker keeps from one task to the next.
+
+    Functions travel to the workers by value, so their module's globals are new in every
+    task; a module registered under a name of its own is not.
+    """
+    name = "_reqsieve_worker"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+    return vars(sys.modules[name]).setdefault("memo", {})

@@ -1,11 +1,13 @@
 """Token-id files: canonical length-limited Huffman codes, decoded by table in blocks.
 
-Writing: documents are dealt out by range of doc_id and encoded (``tokenize``); the ids of all
-documents are counted; package-merge turns the counts into code lengths of at most
-``MAX_BITS``; each partition then packs runs of whole documents into segments. A segment is
-one row of a Parquet file: where its ids start among all ids, its documents and their lengths,
-the bits, and the bit offset of every ``BLOCK``-th id. The code table is stored beside them as
-(id, length): canonical codes follow from the lengths.
+Writing: documents are encoded where they are read, and each task counts its ids meanwhile.
+The ids, not the texts, are then dealt out by range of doc_id. Package-merge turns the counts of
+all ids into code lengths of at most ``MAX_BITS``; each range packs runs of whole documents into
+segments. A segment is one row of a Parquet file: its range and the ids of the range before it,
+its documents and their lengths, the bits, and the bit offset of every ``BLOCK``-th id. File
+numbers follow the ranges, and segments within a file follow each other, so the files hold the
+ids in ascending order of doc_id. The code table is stored beside them as (id, length):
+canonical codes follow from the lengths.
 
 Reading: the blocks of a segment are independent, so all of them are decoded side by side,
 one id of each per step, by one lookup in a table of 2^MAX_BITS entries.
@@ -20,9 +22,6 @@ table gives no segments; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-import struct
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,120 +32,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.llm.common import stored
+from reqsieve.llm.encoders import encoder, id_width, tokenizer_path
 
-TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MAX_BITS = 18
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
-# Rows of a batch tokenised at once, and entries of the word cache of a worker.
+# Rows of a batch tokenised at once.
 SLICE = 256
-CACHE_WORDS = 600_000
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
 
 
 # --- ids of texts -----------------------------------------------------------------------
 
 
-class WordCache(dict):
-    """Ids of words between white space, for texts of Latin letters.
-
-    Up to U+024F composition changes nothing and lower-casing goes letter by letter, so the
-    library's ids of a text are those of its words, put together. Each new word is cut into
-    the library's pieces, and the library's model encodes each piece. A piece is a word of one
-    piece, so both are kept together. Other texts, and those that may hold a special token, go
-    to the library whole.
-    """
-
-    def __init__(self, tokenizer, dtype, limit: int = CACHE_WORDS):
-        super().__init__()
-        # Some capitals of this range have their small letter beyond it.
-        low = sorted({c for i in range(0x250) if i != 0x130 for c in chr(i).lower()})
-        letters, numbers = ("".join(re.escape(c) for c in low if unicodedata.category(c)[0] == k) for k in "LN")
-        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
-        self.other = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]").search
-        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-        # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows U+0100.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.bytes = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-
-    def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def piece(self, text: str) -> bytes:
-        plain = text.isascii() and text.isprintable()
-        coded = text if plain else "".join(self.bytes[b] for b in text.encode())
-        return self.packed([t.id for t in self.model.tokenize(coded)])
-
-    def __missing__(self, word: str) -> bytes:
-        parts = self.pieces(word)
-        if len(parts) == 1:
-            found = self.piece(parts[0])
-        else:
-            found = b"".join([self[p] for p in parts])
-        self[word] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text or self.other(text):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= self.limit:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
-
-
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian, end id last), and the place of each document.
+    """doc_id, row, n_tokens, ids (little-endian, end id last) of each document.
 
-    ``part`` and ``before`` tell the range and the ids before the document within it.
+    Each task adds one row of its own, which has no ids but the different ids that it met in
+    ``seen`` and how often in ``times``.
     """
-    from tokenizers import Tokenizer
-
     path = path or tokenizer_path()
-    width = "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    width = id_width(path, end_id)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
-
-        # A worker runs many tasks, each with its own copy of this code; the library's module
-        # is what they share, so the tokenizer and its cache stay there for the next task.
-        kept = vars(tokenizers).setdefault("_word_caches", {})
-        if (path, width) not in kept:
-            kept[path, width] = WordCache(tokenizers.Tokenizer.from_file(path), width)
-        cache = kept[path, width]
-        end, size = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
-        part, before = TaskContext.get().partitionId(), 0
+        ids_of, size = encoder(path, width).ids, np.dtype(width).itemsize
+        end = np.array([end_id], width).tobytes()
+        total = np.zeros(0, np.int64)
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
-                ids = [cache.ids(t or "") + end for t in batch["text"].to_pylist()]
-                counts = np.array([len(b) // size for b in ids], np.int64)
-                places = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
+                ids = [ids_of(t or "") + end for t in batch["text"].to_pylist()]
+                found = np.bincount(np.frombuffer(b"".join(ids), width), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(counts), pa.array([part] * len(ids), pa.int32()), pa.array(places), pa.array(ids, pa.binary())],
-                    names=["doc_id", "n_tokens", "part", "before", "ids"],
-                )
-
-    key = dict(docs.dtypes)["doc_id"]
-    dealt = (
-        docs.selectExpr("doc_id", "text", "monotonically_increasing_id() AS row")
-        .repartitionByRange("doc_id", "row")
-        .sortWithinPartitions("doc_id", "row")
-        .select("doc_id", "text")
-    )
-    return dealt.mapInArrow(encode, f"doc_id {key}, n_tokens bigint, part int, before bigint, ids binary").withColumn(
-        "width", F.lit(width)
+                    [batch["doc_id"], batch["row"], pa.array([len(b) // size for b in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))],
+                    names=["doc_id", "row", "n_tokens", "ids", "seen", "times"],
+                )
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+             pa.array([seen], pa.list_(pa.int32())), pa.array([total[seen]], pa.list_(pa.int64()))],
+            names=["doc_id", "row", "n_tokens", "ids", "seen", "times"],
+        )
+
+    texts = docs.selectExpr("doc_id", "text", "monotonically_increasing_id() AS row")
+    key = texts.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
+    return texts.mapInArrow(
+        encode,
+        f"doc_id {dict(docs.dtypes)['doc_id']}, row bigint, n_tokens bigint, ids binary, seen array<int>, times array<bigint>",
     )
 
 
@@ -228,95 +164,80 @@ class Codec:
 
 # --- files ------------------------------------------------------------------------------
 
-_SEGMENT = "start bigint, n_tokens bigint, doc_ids array<{key}>, doc_tokens array<bigint>, checkpoints array<bigint>, bits binary"
-
-
-def count_ids(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs; the vocabulary bounds what reaches the driver."""
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, width in zip(batch["ids"], batch["width"]):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), width.as_py()))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
-    counted = tokens.select("ids", "width").mapInArrow(count, "id bigint, n bigint")
-    return {r.id: r.n for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+_SEGMENT = "part int, before bigint, n_tokens bigint, doc_ids array<{key}>, doc_tokens array<bigint>, checkpoints array<bigint>, bits binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Tokenise and write ``<path>/codes`` and ``<path>/segments``."""
     spark = docs.sparkSession
     tokens = stored(tokenize(docs, tokenizer, end_id), "token-ids")
-    counts = count_ids(tokens)
-    ids = np.array(sorted(counts), np.int64)
-    lengths = code_lengths(np.array([counts[i] for i in ids], np.int64))
-    codec = Codec(ids, lengths)
-    rows = list(zip(ids.tolist(), lengths.tolist()))
-    spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
-
-    # One total per range: as many rows as partitions.
-    sizes = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    start_of, at = {}, 0
-    for r in sizes:
-        start_of[r.part] = at
-        at += r.n
-    key = dict(docs.dtypes)["doc_id"]
-    codec_var = spark.sparkContext.broadcast(codec)
-
-    def pack(batches):
-        codec = codec_var.value
-        pieces, doc_ids, doc_tokens, start, held = [], [], [], None, 0
-
-        def segment():
-            ids = np.concatenate(pieces)
-            bits, checkpoints = codec.encode(ids)
+    width = id_width(tokenizer or tokenizer_path(), end_id)
+    # The vocabulary bounds what reaches the driver.
+    counts = tokens.where("seen IS NOT NULL").selectExpr("inline(arrays_zip(seen, times))").groupBy("seen").agg(F.sum("times").alias("n"))
+    rows = counts.orderBy("seen").toArrow()
+    ids = rows["seen"].to_numpy()
+    lengths = code_lengths(rows["n"].to_numpy())
+    pairs = list(zip(ids.tolist(), lengths.tolist()))
+    spark.createDataFrame(pairs, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, part = Codec(ids, lengths), TaskContext.get().partitionId()
+        # ``before`` counts the ids of this range ahead of the segment that is being filled.
+        pieces, doc_ids, doc_tokens, before, held = [], [], [], 0, 0
+
+        def segment() -> pa.RecordBatch:
+            bits, checkpoints = codec.encode(np.frombuffer(b"".join(pieces), width))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids]),
-                    pa.array([doc_tokens], pa.list_(pa.int64())),
+                    pa.array([part], pa.int32()), pa.array([before]), pa.array([held]),
+                    pa.ListArray.from_arrays(pa.array([0, sum(map(len, doc_ids))], pa.int32()), pa.concat_arrays(doc_ids)),
+                    pa.array([np.concatenate(doc_tokens)], pa.list_(pa.int64())),
                     pa.array([checkpoints], pa.list_(pa.int64())), pa.array([bits], pa.binary()),
                 ],
-                names=["start", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"],
+                names=["part", "before", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"],
             )
 
         for batch in batches:
-            for doc, n, part, before, ids, width in zip(*(batch[c] for c in ("doc_id", "n_tokens", "part", "before", "ids", "width"))):
-                place = start_of[part.as_py()] + before.as_py()
-                # A segment is a run of ids; it ends where the next document does not follow.
-                if held and (held >= SEGMENT_IDS or place != start + held):
+            n, data = batch["n_tokens"].to_numpy(), batch["ids"].to_pylist()
+            # A segment is the documents that begin within the same SEGMENT_IDS ids.
+            number = (before + held + np.cumsum(n) - n) // SEGMENT_IDS
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(n)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and number[lo] != before // SEGMENT_IDS:
                     yield segment()
+                    before += held
                     pieces, doc_ids, doc_tokens, held = [], [], [], 0
-                if not held:
-                    start = place
-                pieces.append(np.frombuffer(ids.as_buffer(), width.as_py()))
-                doc_ids.append(doc.as_py())
-                doc_tokens.append(n.as_py())
-                held += n.as_py()
+                pieces += data[lo:hi]
+                doc_ids.append(batch["doc_id"].slice(lo, hi - lo))
+                doc_tokens.append(n[lo:hi])
+                held += int(n[lo:hi].sum())
         if held:
             yield segment()
 
-    tokens.mapInArrow(pack, _SEGMENT.format(key=key)).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    dealt = (
+        tokens.where("seen IS NULL").select("doc_id", "row", "n_tokens", "ids")
+        .repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    )
+    segments = dealt.mapInArrow(pack, _SEGMENT.format(key=dict(docs.dtypes)["doc_id"]))
+    segments.write.option("compression", "uncompressed").parquet(f"{path}/segments")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids of every document in the files."""
-    rows = spark.read.parquet(f"{path}/codes").collect()
-    codec = Codec(np.array([r.id for r in rows], np.int64), np.array([r.length for r in rows], np.int64))
-    codec_var = spark.sparkContext.broadcast(codec)
+    codes = spark.read.parquet(f"{path}/codes").toArrow()
+    code_ids, lengths = codes["id"].to_numpy(), codes["length"].to_numpy()
     segments = spark.read.parquet(f"{path}/segments")
     key = dict(segments.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
+    # One total per range: as many rows as partitions.
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toArrow()
+    ends = np.cumsum(totals["n"].to_numpy())
+    start_of = dict(zip(totals["part"].to_pylist(), (ends - totals["n"].to_numpy()).tolist()))
 
-    def unpack(batches):
-        codec = codec_var.value
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(code_ids, lengths)
         for batch in batches:
-            for start, n, docs, sizes, checkpoints, bits in zip(
-                *(batch[c] for c in ("start", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"))
+            for part, before, n, docs, sizes, checkpoints, bits in zip(
+                *(batch[c] for c in ("part", "before", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"))
             ):
                 ids = codec.decode(bits.as_py(), checkpoints.values.to_numpy(), n.as_py()).astype("<u4")
                 sizes = sizes.values.to_numpy(zero_copy_only=False)
@@ -324,7 +245,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 starts = ends - sizes
                 data = memoryview(ids.tobytes())
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                columns = [docs.values, pa.array(start.as_py() + starts), pa.array(sizes), pa.array(crcs, pa.int64())]
+                start = start_of[part.as_py()] + before.as_py()
+                columns = [docs.values, pa.array(start + starts), pa.array(sizes), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     offsets = pa.array(np.append(starts, ends[-1:]).astype(np.int32))
@@ -333,4 +255,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {key}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return segments.mapInArrow(unpack, schema)
+    return segments.select("part", "before", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(unpack, schema)

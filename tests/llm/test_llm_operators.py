@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from reqsieve.llm import (
@@ -21,6 +22,7 @@ from reqsieve.llm import (
     warc,
 )
 from reqsieve.llm.common import words_of
+from reqsieve.llm import encoders
 from reqsieve.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -175,7 +177,7 @@ def test_decontaminate_edges(spark, mixed, empty):
 def test_token_files(spark, tmp_path, mixed, empty):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(token_files.tokenizer_path())
+    library = Tokenizer.from_file(encoders.tokenizer_path())
     token_files.write_token_files(mixed, str(tmp_path / "t"))
     got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 4, 5, 6, 7]
@@ -190,11 +192,50 @@ def test_token_files(spark, tmp_path, mixed, empty):
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_in_order(spark, tmp_path):
+    """File after file, segment after segment, the ids ascend by doc_id, at several ranges and segments."""
+    r = random.Random(6)
+    rows = [(i, prose(i, r.randint(0, 400)), "a") for i in range(2000)]
+    r.shuffle(rows)
+    was, token_files.SEGMENT_IDS = token_files.SEGMENT_IDS, 5000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        token_files.write_token_files(docs_of(spark, rows).repartition(7), str(tmp_path / "t"))
+    finally:
+        token_files.SEGMENT_IDS = was
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found, ids = [], 0
+    files = sorted((tmp_path / "t" / "segments").glob("part-*"))
+    assert len(files) > 3
+    for f in files:
+        part = pq.read_table(f)
+        assert part.num_rows > 1 and len(set(part["part"].to_pylist())) == 1
+        found += [d for docs in part["doc_ids"].to_pylist() for d in docs]
+        ids += sum(part["n_tokens"].to_pylist())
+    assert found == list(range(2000))
+    got = token_files.read_token_files(spark, str(tmp_path / "t"), with_ids=False).orderBy("start").collect()
+    assert [x.doc_id for x in got] == found and got[-1].start + got[-1].n_tokens == ids
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_files_of_any_tokenizer(spark, tmp_path, name):
+    from tokenizers import Tokenizer
+
+    path = encoders.tokenizer_path(name)
+    library = Tokenizer.from_file(path)
+    assert encoders.follows_rules(library) == (name == "word_bpe_49k.json")
+    rows = [(1, " It's  An Example\n of 3 texts", "a"), (2, "<|endoftext|>é", "a"), (3, None, "a")]
+    token_files.write_token_files(docs_of(spark, rows), str(tmp_path / "t"), tokenizer=path, end_id=7)
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [x.ids for x in got] == [library.encode(t or "", add_special_tokens=False).ids + [7] for _, t, _ in rows]
+
+
 def test_word_cache_equals_library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(token_files.tokenizer_path())
-    cache = token_files.WordCache(library, "<u2", limit=50)
+    library = Tokenizer.from_file(encoders.tokenizer_path())
+    cache = encoders.WordCache(library, "<u2", limit=50)
     r = random.Random(1)
     alphabet = [chr(i) for i in range(1, 0x250)] + list("  abcde'stm  \n") * 8 + ["́", "Σ", "你", " "]
     for k in range(1500):
