@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reqsieve.llm import (
+    chunk_reuse,
     collocations,
     decontaminate,
     exact_dedup,
@@ -283,3 +284,8 @@ d AS (
 k AS (SELECT b.* FROM b LEFT JOIN d ON b.lang = d.lang AND b.phrase = d.phrase WHERE d.phrase IS NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
+
+
+@register
+def op13_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.encode_and_decode(table(spark, sf_dir, "documents"))
