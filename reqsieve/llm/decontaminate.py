@@ -1,33 +1,41 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The normalised test items are packed into blocks of a bounded number of words. Each block
-becomes one automaton on the driver, which the tasks receive as a broadcast variable; a
-document streams its words through it and tracks the longest suffix that some item contains.
-Where that reaches the window length, the last ``window`` words are a window of an item. An
-item shorter than the window is one window as a whole. More items mean more blocks, and nothing
-is left out. A task holds all blocks, so its memory grows with the items, not with documents.
+The normalised test items are dealt into blocks of a bounded number of words. The tasks of a
+Spark job build one automaton per block and write it as flat arrays; the driver only passes
+them on, one block at a time. A document streams its words through an automaton and tracks the
+longest suffix that some item contains. Where that reaches the window length, the last
+``window`` words are a window of an item. An item shorter than the window is one window as a
+whole.
+
+Each block is one pass over the documents, which carry the spans and items found so far to the
+next pass. So a task holds one block, however many items there are, and more items mean more
+passes; nothing is left out. The benchmark of one block, the usual case, is one pass.
 
 Defined results: null and empty texts have no words, no hits and are clean; items without
 words never occur; items with equal ids count once, and items without id cover words but are
 not listed; repeated documents are judged each for itself; an empty table of items leaves every
-document clean; other columns are ignored (``decontaminate`` keeps all columns).
+document clean; other columns are ignored (``decontaminate`` keeps all columns, whatever their
+names). With ``cut`` a column n_chars is brought up to date.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import WORD_BYTES, words_of
+from reqsieve.llm.common import WORD_BYTES, named, numbered, running_sums, stored, words_of
 
 WINDOW = 13
 COVERAGE = 0.05
 # Words of test items in one automaton (at most twice as many states).
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 # Rows of a batch taken into Python at once.
 SLICE = 256
 
@@ -35,7 +43,7 @@ FINDINGS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, c
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences, closed by :meth:`freeze`."""
+    """Generalised suffix automaton of word sequences, closed by :meth:`flat`."""
 
     def __init__(self, window: int):
         self.window = window
@@ -81,52 +89,79 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def freeze(self) -> Automaton:
-        """Name, for every state, its window and the short items that end there."""
-        n, order = len(self.link), sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.window_of = [-1] * n  # the state of the last `window` words
-        self.owners: dict[int, list[str]] = {}
-        short: dict[int, tuple[int, list[str]]] = {}
+    def flat(self) -> Flat:
+        """The automaton as arrays, with the windows and short items that end at each state."""
+        n = len(self.link)
+        order = sorted(range(n), key=self.length.__getitem__)
+        window_of = [-1] * n  # the state of the last `window` words
+        owners: dict[int, list[int]] = {}
+        short: dict[int, tuple[int, list[int]]] = {}
         for s in order[1:]:
             if self.length[s] >= self.window:
                 up = self.link[s]
-                self.window_of[s] = s if self.length[up] < self.window else self.window_of[up]
-        for item_id, ids in self.items:
+                window_of[s] = s if self.length[up] < self.window else window_of[up]
+        for item, (item_id, ids) in enumerate(self.items):
             state = length = 0
             for w in ids:
                 state, length = self.next[state][w], length + 1
                 if length >= self.window:
-                    own = self.owners.setdefault(self.window_of[state], [])
-                    if item_id is not None and (not own or own[-1] != item_id):
-                        own.append(item_id)
+                    own = owners.setdefault(window_of[state], [])
+                    if item_id is not None and (not own or own[-1] != item):
+                        own.append(item)
             if 0 < length < self.window:
                 found = short.setdefault(state, (length, []))
                 if item_id is not None:
-                    found[1].append(item_id)
+                    found[1].append(item)
         # Short items end at a state or at one up its chain of links; point to the nearest.
-        self.short, self.nearest = short, [0] * n
+        nearest = [0] * n
         for s in order[1:]:
-            self.nearest[s] = s if s in short else self.nearest[self.link[s]]
-        self.items = []
-        return self
+            nearest[s] = s if s in short else nearest[self.link[s]]
+        edges = [sorted(e.items()) for e in self.next]
+        starts = np.cumsum([0, *map(len, edges)], dtype=np.int32)
+        words = sorted(self.vocabulary, key=self.vocabulary.__getitem__)
+        array = lambda x: np.fromiter(x, np.int32)
+        return Flat(
+            self.window, b" ".join(words), starts, array(w for e in edges for w, _ in e), array(t for e in edges for _, t in e),
+            array(self.link), array(self.length), array(window_of), array(nearest),
+            owners, short, [item_id for item_id, _ in self.items],
+        )
+
+
+class Flat:
+    """An automaton to read: edges sorted by state and word, one array per property."""
+
+    def __init__(self, window, words, starts, edge_words, targets, link, length, window_of, nearest, owners, short, names):
+        self.parts = (window, words, starts, edge_words, targets, link, length, window_of, nearest, owners, short, names)
+        self.window, self.owners, self.short, self.names = window, owners, short, names
+        # Words are bytes without blanks. Memory views give plain numbers without a copy.
+        self.vocabulary = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
+        arrays = (starts, edge_words, targets, link, length, window_of, nearest)
+        self.starts, self.edge_words, self.targets, self.link, self.length, self.window_of, self.nearest = map(memoryview, arrays)
+
+    def step(self, state: int, word: int) -> int:
+        """The state behind the edge of ``word``, -1 without one."""
+        end = self.starts[state + 1]
+        at = bisect_left(self.edge_words, word, self.starts[state], end)
+        return self.targets[at] if at < end and self.edge_words[at] == word else -1
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint spans of hit words, in order, and the items whose windows occur."""
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         seen: set[int] = set()
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window, step = self.link, self.length, self.window, self.step
         window_of, nearest, short = self.window_of, self.nearest, self.short
         state = run = 0
         for i, w in enumerate(map(self.vocabulary.get, words)):
             if w is None:
                 state = run = 0
                 continue
-            while state and w not in nxt[state]:
+            after = step(state, w)
+            while after < 0 and state:
                 state = link[state]
                 run = length[state]
-            after = nxt[state].get(w)
-            if after is None:
+                after = step(state, w)
+            if after < 0:
                 state = run = 0
                 continue
             state, run = after, run + 1
@@ -139,32 +174,45 @@ class Automaton:
                     found.update(self.owners.get(at, ()))
             at = nearest[state]
             while at:
-                size, ids = short[at]
+                size, items = short[at]
                 if size <= run:
                     wide = max(wide, size)
-                    found.update(ids)
+                    found.update(items)
                 at = nearest[link[at]]
             if wide:
                 start = i + 1 - wide
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, i + 1))
-        return spans, found
+        return spans, {self.names[item] for item in found}
+
 
+def automata(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(block, automaton): one row per block of items, built where the block's items meet.
 
-def automata(items: DataFrame, window: int, block_words: int) -> Iterator[Automaton]:
-    """Automata of blocks of items; items arrive one partition at a time."""
-    current, held = Automaton(window), 0
-    for row in items.selectExpr("CAST(item_id AS STRING) AS item_id", "text").toLocalIterator():
-        words = words_of(row.text)
-        if not words:
-            continue
-        if held and held + len(words) > block_words:
-            yield current.freeze()
-            current, held = Automaton(window), 0
-        current.add(row.item_id, words)
-        held += len(words)
-    yield current.freeze()
+    Blocks are runs of items of about ``block_words`` words, so a group has at most that many
+    words and one item more.
+    """
+    sized = stored(
+        items.selectExpr(
+            "CAST(item_id AS STRING) AS item_id", "text", "octet_length(coalesce(text, '')) + 1 AS size",
+            "xxhash64(item_id, text) AS place",
+        ),
+        "test-items",
+    )
+    # Six bytes a word: blocks are cut by size, so that no text is split into words here.
+    placed = running_sums(sized, ["place"], {"before": "size"}, "test-items")
+
+    def build(group: pa.Table) -> pa.Table:
+        automaton = Automaton(window)
+        for item_id, text in zip(group["item_id"].to_pylist(), group["text"].to_pylist()):
+            words = words_of(text)
+            if words:
+                automaton.add(item_id, words)
+        return pa.table({"automaton": pa.array([pickle.dumps(automaton.flat().parts, 5)], pa.binary())})
+
+    blocks = placed.selectExpr(f"CAST(before div {6 * block_words} AS INT) AS block", "item_id", "text")
+    return blocks.groupBy("block").applyInArrow(build, "automaton binary")
 
 
 def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,46 +240,69 @@ def cut_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
     return b"".join([*out, data[done:]]).decode("utf-8")
 
 
-def _judged(docs: DataFrame, items: DataFrame, window: int, coverage: float, block_words: int, cut: bool):
-    """``docs`` with the findings; with ``cut`` the text has lost its hit spans."""
+_STATE = "struct<spans: array<int>, items: array<string>>"
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, coverage: float, block_words: int, cut: bool) -> DataFrame:
+    """``docs``, numbered, with the findings; with ``cut`` the text has lost its hit spans."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(a) for a in automata(items, window, block_words)]
-    # Findings and columns of documents may share names; positions tell them apart.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
-    out_schema = ", ".join([*(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)), FINDINGS])
-
-    def judge(text: str | None):
-        words = words_of(text)
-        spans, found = [], set()
-        for block in blocks:
-            more, ids = block.value.hits(words)
-            spans = _merge(spans, more) if spans else more
-            found |= ids
-        n_hit = sum(hi - lo for lo, hi in spans)
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        bad = n_hit > 0 and n_hit + 1e-9 >= coverage * len(words)
-        return spans, (len(words), n_hit, len(found), digest, bad)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
-                texts = batch.column(at).to_pylist()
-                judged = [judge(t) for t in texts]
-                columns = batch.columns
-                if cut:
-                    kept = [cut_spans(t, s) if s else t for t, (s, _) in zip(texts, judged)]
-                    columns[at] = pa.array(kept, columns[at].type)
-                found = list(zip(*(f for _, f in judged)))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                arrays = [pa.array(v, t) for v, t in zip(found, types)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, *arrays],
-                    names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return docs.toDF(*names).mapInArrow(run, out_schema)
+    blocks = stored(automata(items, window, block_words), "automata").toLocalIterator()
+    at, width = docs.columns.index("text"), len(docs.columns)
+    schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
+    none = pickle.dumps(Automaton(window).flat().parts, 5)
+
+    def passed(block: bytes, first: bool, last: bool):
+        def judge(words: list[bytes], automaton: Flat, before: dict | None):
+            spans, found = automaton.hits(words)
+            if before and before["spans"]:
+                told = iter(before["spans"])
+                spans, found = _merge(spans, list(zip(told, told))), found | set(before["items"])
+            return spans, found
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Flat(*pickle.loads(block))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(lo, SLICE)
+                    texts = batch.column(at).to_pylist()
+                    befores = [None] * len(texts) if first else batch.column(width).to_pylist()
+                    words = [words_of(t) for t in texts]
+                    judged = [judge(w, automaton, x) for w, x in zip(words, befores)]
+                    columns = list(batch.columns[:width])
+                    names = [f"c{i}" for i in range(width)]
+                    if not last:
+                        state = [{"spans": [x for s in spans for x in s], "items": sorted(found)} for spans, found in judged]
+                        kind = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(state, kind)], names=[*names, "state"])
+                        continue
+                    if cut:
+                        columns[at] = pa.array([cut_spans(t, s) if s else t for t, (s, _) in zip(texts, judged)], columns[at].type)
+                    n_hit = [sum(hi - lo for lo, hi in spans) for spans, _ in judged]
+                    bad = [n > 0 and n + 1e-9 >= coverage * len(w) for n, w in zip(n_hit, words)]
+                    digests = [hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() for _, found in judged]
+                    found = [
+                        pa.array(list(map(len, words)), pa.int64()), pa.array(n_hit, pa.int64()),
+                        pa.array([len(f) for _, f in judged], pa.int64()), pa.array(digests), pa.array(bad, pa.bool_()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, *found], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+                    )
+
+        return run
+
+    current, first = numbered(docs), True
+    block = next(blocks, None)
+    block = bytes(block.automaton) if block else none
+    while block is not None:
+        following = next(blocks, None)
+        last = following is None
+        out = f"{schema}, {FINDINGS}" if last else f"{schema}, state {_STATE}"
+        # A function of this size is sent as a broadcast, which Spark drops with it.
+        current = current.mapInArrow(passed(block, first, last), out)
+        if not last:
+            current = stored(current, "decontaminated")
+        block, first = (None if last else bytes(following.automaton)), False
+    return current
 
 
 def contamination(
@@ -253,4 +324,8 @@ def decontaminate(
     hit words, which are ``window`` words or longer or whole short items.
     """
     found = _judged(docs, items, window, coverage, block_words, cut).where("NOT contaminated")
-    return found.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    if cut and "n_chars" in docs.columns:
+        i, t = docs.columns.index("n_chars"), docs.columns.index("text")
+        kind = docs.dtypes[i][1]
+        found = found.withColumn(f"c{i}", F.expr(f"CASE WHEN n_hit > 0 THEN CAST(char_length(c{t}) AS {kind}) ELSE c{i} END"))
+    return named(found, docs)
