@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import stored
+from reqsieve.llm.common import discard, probably_in, stored
 
 LONGEST = 5
 MIN_COUNT = 100
 KEEP = 2000
 # A phrase goes where a longer one has at least this percentage of its count.
 COVERED = 100
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 
 # Pieces end at . , ; : ! ? and at line feed to carriage return; words end at
 # blank and tab. A-Z become lower case.
@@ -55,6 +55,20 @@ class _Codes(dict):
         return code
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: small numbers then compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _relation(at: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending positions, as steps from one to the next, and codes."""
+    return _planes(np.diff(at, prepend=0)), _planes(code)
+
+
 # What stands between words: nothing is an empty part, a line feed the end of a piece.
 _EMPTY, _END = 0, 1
 
@@ -77,9 +91,9 @@ class _Block:
     def row(self) -> tuple[bytes, bytes, list[bytes], np.ndarray]:
         """Positions and codes of R_1, its words, and how often each occurs."""
         codes = np.concatenate(self.parts)
-        at = np.flatnonzero(codes != _END).astype(np.int32)
+        at = np.flatnonzero(codes != _END)
         codes = codes[at] - 2
-        return at.tobytes(), codes.tobytes(), list(self.codes)[2:], np.bincount(codes, minlength=len(self.codes) - 2)
+        return *_relation(at, codes), list(self.codes)[2:], np.bincount(codes, minlength=len(self.codes) - 2)
 
 
 _STATE = "block bigint, at binary, code binary"
@@ -132,7 +146,7 @@ def _next_relation(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for block, at, code in zip(*(left[c].to_pylist() for c in ("block", "at", "code"))):
-            at, code = np.frombuffer(at, np.int32), np.frombuffer(code, np.int32)
+            at, code = np.cumsum(_numbers(at)), _numbers(code)
             # Semi-join: codes without an id are not frequent.
             codes, ids = right["code"].to_numpy(), right["id"].to_numpy()
             order = np.argsort(codes)
@@ -140,12 +154,12 @@ def _next_relation(relation: DataFrame, frequent: DataFrame) -> DataFrame:
             place = np.searchsorted(codes, code)
             place[place == len(codes)] = 0
             kept = codes[place] == code if len(codes) else np.zeros(len(code), bool)
-            at, place = at[kept], place[kept].astype(np.int64)
+            at, place = at[kept], place[kept]
             # Merge-join of the relation with itself at the position after.
             first = np.flatnonzero(at[1:] == at[:-1] + 1)
             pairs = place[first] * max(len(codes), 1) + place[first + 1]
             groups, found, n = np.unique(pairs, return_inverse=True, return_counts=True)
-            rows.append((block, at[first].tobytes(), found.astype(np.int32).tobytes(),
+            rows.append((block, *_relation(at[first], found),
                          ids[groups // max(len(codes), 1)], ids[groups % max(len(codes), 1)], n))
         names = ["block", "at", "code", "pre", "suf", "n"]
         types = [pa.int64(), pa.binary(), pa.binary()] + [pa.list_(pa.int64())] * 3
@@ -179,22 +193,26 @@ def _frequent_pairs(groups: DataFrame, shorter: DataFrame, min_count: int) -> Da
 def frequent_phrases(docs: DataFrame, longest: int, min_count: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length the frequent phrases:
     id, pre, suf, lang, f, words, heads, tails."""
-    relation = stored(_word_relation(docs, block_words), "word-relation")
+    relation = stored(_word_relation(docs, block_words), "word-relation", "zstd")
     sizes = relation.selectExpr("lang", "aggregate(n, 0L, (s, x) -> s + x) AS n").groupBy("lang").agg(F.sum("n").alias("n"))
+    sizes = stored(sizes, "language-sizes")
     groups = relation.selectExpr("block", "lang", "posexplode(arrays_zip(words, n)) AS (code, g)").selectExpr(
         "block", "lang", "code", "g.words AS word", "g.n AS n"
     )
     levels = [stored(_frequent_words(groups, min_count), "frequent-words")]
     keys = ["lang", "word"]
     for length in range(2, longest + 1):
-        found = groups.select("block", "code", *keys).join(levels[-1].select("id", *keys), keys).select("block", "code", "id")
-        relation = stored(_next_relation(relation, found), "phrase-relation")
+        frequent = levels[-1].select("id", *keys)
+        found = probably_in(groups.select("block", "code", *keys), frequent, keys).join(frequent, keys).select("block", "code", "id")
+        before, relation = relation, stored(_next_relation(relation, found), "phrase-relation", "zstd")
+        discard(before)
         groups = relation.selectExpr("block", "posexplode(arrays_zip(pre, suf, n)) AS (code, g)").selectExpr(
             "block", "code", "g.pre AS pre", "g.suf AS suf", "g.n AS n"
         )
         keys = ["pre", "suf"]
         levels.append(stored(_frequent_pairs(groups, levels[-1], min_count), "frequent-phrases"))
-    return stored(sizes, "language-sizes"), levels
+    discard(relation)
+    return sizes, levels
 
 
 def collocations(

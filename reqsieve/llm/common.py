@@ -21,13 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back; cuts the lineage."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that :func:`stored` wrote and that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    base = scratch_dir(df.sparkSession, "x").rpartition("/")[0]
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        # Only folders right below the scratch folder.
+        if path.getParent().toUri().getPath() == sc._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath():
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def probably_in(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 24) -> DataFrame:
+    """The ``rows`` whose ``keys`` occur in ``wanted``, and few others.
+
+    A bitmap of key hashes is broadcast; it has at most 2^(bits - 6) rows of 64 bits whatever
+    the tables' sizes. It spares a following exact join the shuffle of rows without a partner.
+    """
+    mark = f"xxhash64({', '.join(keys)}) & {(1 << bits) - 1}"
+    held = wanted.selectExpr(f"{mark} AS mark").groupBy(F.expr("mark >> 6 AS place")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(mark & 63 AS INT))) AS held")
+    )
+    marked = rows.withColumn("mark", F.expr(mark))
+    found = marked.join(F.broadcast(held), F.expr("mark >> 6 = place"))
+    return found.where("(shiftright(held, CAST(mark & 63 AS INT)) & 1) = 1").select(rows.columns)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with columns c0, c1, ...: no name of the caller's can clash with those that an
     operator adds, and none needs quoting. :func:`named` gives the names back."""
