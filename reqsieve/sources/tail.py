@@ -7,13 +7,25 @@ the stream's offsets and live in the checkpoint, so a restart goes on where it s
 Only new bytes are read, on the executors, in ranges of ``maxPartitionBytes``: one large
 file becomes many tasks. Paths must be reachable from driver and executors.
 
-Local files are tracked by inode: a file renamed by rotation keeps its position and
-nothing is emitted twice. On other file systems files are tracked by path.
+Which file is which: local files are known by inode, others by path, and either by a
+fingerprint of their first bytes, which also goes into the offset. So a renamed file keeps its
+position, while a new file on an old inode, or one truncated and written again, starts at 0. A
+reader looks at both again after it has opened a file. Where the name now belongs to another file,
+as after a rotation between planning and reading, it finds the file by its inode in the same
+folder; where the file is gone it fails, unless ``failOnDataLoss`` is false.
+
+A file that one listing misses keeps its position in the offsets, so it is not read again when it
+comes back. A restarted query only knows such files from the folder ``positions``, where every
+planned batch notes them; without the option that memory ends with the process. A file not seen for
+``forgetAfterSeconds`` is forgotten.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +34,8 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 _BLOCK = 1 << 20
+# Lengths of the first bytes that make up a fingerprint; those a file does not have yet are left out.
+_HEADS = (1, 2, 4, 8, 16, 64, 256)
 
 
 @dataclass
@@ -29,6 +43,8 @@ class ByteRange(InputPartition):
     path: str
     start: int
     end: int
+    key: str = ""
+    heads: tuple = ()
 
 
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -38,36 +54,81 @@ def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _key(filesystem: pafs.FileSystem, path: str) -> str:
+    """What a file is known by: its inode, or its path on other file systems. The device is
+    left out, since one mount may have several numbers on several machines."""
     if isinstance(filesystem, pafs.LocalFileSystem):
-        try:
-            st = os.stat(path)
-            return f"{st.st_dev}:{st.st_ino}"
-        except FileNotFoundError:
-            return path
+        return f"inode:{os.stat(path).st_ino}"
     return path
 
 
-def _last_line_end(filesystem: pafs.FileSystem, path: str, size: int, floor: int) -> int:
+def _heads(raw, known: int) -> tuple[str, ...]:
+    """Digests of the first bytes, of as many lengths as ``known`` bytes allow."""
+    lengths = [n for n in _HEADS if n <= known]
+    if not lengths:
+        return ()
+    raw.seek(0)
+    data = raw.read(lengths[-1])
+    return tuple(hashlib.sha256(data[:n]).hexdigest()[:12] for n in lengths)
+
+
+def _same(before: dict, now: dict) -> bool:
+    """Whether an entry continues another of the same key: no shorter, and with the same first bytes."""
+    return now["end"] >= before["end"] and all(a == b for a, b in zip(before["heads"], now["heads"]))
+
+
+def _last_line_end(raw, size: int, floor: int) -> int:
     """Position behind the last newline in [floor, size), or ``floor``; reads backwards."""
-    with filesystem.open_input_file(path) as f:
-        end = size
-        while end > floor:
-            begin = max(floor, end - _BLOCK)
-            f.seek(begin)
-            at = f.read(end - begin).rfind(b"\n")
-            if at >= 0:
-                return begin + at + 1
-            end = begin
+    end = size
+    while end > floor:
+        begin = max(floor, end - _BLOCK)
+        raw.seek(begin)
+        at = raw.read(end - begin).rfind(b"\n")
+        if at >= 0:
+            return begin + at + 1
+        end = begin
     return floor
 
 
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.roots = [p for p in options["paths"].split(",") if p]
-        self.from_end = options.get("startingPosition", "start").lower() == "end"
-        self.piece = int(options.get("maxPartitionBytes", 64 << 20))
-        # Last known line ends, so that a file that did not grow is not opened again.
-        self._known: dict[str, tuple[int, int]] = {}
+        # Option names come in lower case from Spark.
+        get = lambda name, default: options.get(name, options.get(name.lower(), default))
+        self.roots = [p for p in get("paths", "").split(",") if p]
+        self.from_end = get("startingPosition", "start").lower() == "end"
+        self.piece = int(get("maxPartitionBytes", 64 << 20))
+        self.strict = get("failOnDataLoss", "true").lower() != "false"
+        self.positions = get("positions", None)
+        self.forget_after = float(get("forgetAfterSeconds", 7 * 86_400))
+        # Last entry and size of every file, and when it was seen last.
+        self._known: dict[str, dict] = {}
+        self._seen: dict[str, float] = {}
+        self._load()
+
+    # --- files that a listing may miss ------------------------------------------------
+
+    def _load(self) -> None:
+        if not self.positions:
+            return
+        filesystem, path = _open_fs(self.positions)
+        try:
+            with filesystem.open_input_file(f"{path}/positions.json") as f:
+                told = json.loads(f.read())
+        except FileNotFoundError:
+            return
+        self._known = {k: {**e, "size": e["end"]} for k, e in told["files"].items()}
+        self._seen = told["seen"]
+
+    def _note(self) -> None:
+        if not self.positions:
+            return
+        filesystem, path = _open_fs(self.positions)
+        filesystem.create_dir(path, recursive=True)
+        files = {k: {n: e[n] for n in ("path", "end", "heads", "from")} for k, e in self._known.items()}
+        with filesystem.open_output_stream(f"{path}/.positions.json") as f:
+            f.write(json.dumps({"files": files, "seen": self._seen}).encode())
+        filesystem.move(f"{path}/.positions.json", f"{path}/positions.json")
+
+    # --- offsets ----------------------------------------------------------------------
 
     def _files(self, named_only: bool = False) -> list[tuple[pafs.FileSystem, str, str, int]]:
         """(filesystem, path, key, size); folders are listed one level deep."""
@@ -83,51 +144,108 @@ class _TailReader(DataSourceStreamReader):
                 infos = [info]
             for i in infos:
                 if i.type == pafs.FileType.File:
-                    found.append((filesystem, i.path, _key(filesystem, i.path), i.size))
+                    try:
+                        found.append((filesystem, i.path, _key(filesystem, i.path), i.size))
+                    except FileNotFoundError:
+                        continue  # gone since it was listed; the next listing tells
         return found
 
-    def _ends(self, files) -> dict[str, list]:
-        out = {}
+    def _entry(self, filesystem, path: str, key: str, size: int) -> dict:
+        """Path, end and fingerprint of a file, from what was known of it."""
+        before = self._known.get(key)
+        with filesystem.open_input_file(path) as raw:
+            if before and size >= before["end"] and _heads(raw, before["end"]) == tuple(before["heads"]):
+                start, first = before["end"], before["from"]
+            else:
+                start = first = 0
+            end = _last_line_end(raw, size, start) if size > start else start
+            heads = before["heads"] if before and first and end == start else list(_heads(raw, end))
+        return {"path": path, "end": end, "heads": heads, "from": first, "size": size}
+
+    def _ends(self, files) -> dict[str, dict]:
+        now = time.time()
         for filesystem, path, key, size in files:
-            seen_size, seen_end = self._known.get(key, (0, 0))
-            if size < seen_size:
-                seen_size, seen_end = 0, 0
-            if size > seen_size:
-                try:
-                    seen_end = _last_line_end(filesystem, path, size, seen_end)
-                except FileNotFoundError:
-                    continue
-                self._known[key] = (size, seen_end)
-            out[key] = [path, seen_end]
-        return out
+            self._seen[key] = now
+            before = self._known.get(key)
+            if before and before["size"] == size and before["path"] == path and size == before["end"]:
+                continue  # neither grown nor renamed
+            try:
+                self._known[key] = self._entry(filesystem, path, key, size)
+            except FileNotFoundError:
+                continue
+        for key in [k for k in self._known if now - self._seen.get(k, now) > self.forget_after]:
+            del self._known[key]
+        # Also files that this listing missed: their entries stay as they were.
+        return {k: {n: e[n] for n in ("path", "end", "heads", "from")} for k, e in sorted(self._known.items())}
 
     def initialOffset(self) -> dict:
         # Files named one by one may start at their end; files found in folders start at 0.
-        return self._ends(self._files(named_only=True)) if self.from_end else {}
+        if not self.from_end:
+            return {}
+        return self._ends(self._files(named_only=True))
 
     def latestOffset(self) -> dict:
         return self._ends(self._files())
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges = []
-        for key, (path, stop) in end.items():
-            begin = start.get(key, [path, 0])[1]
-            if stop < begin:  # truncated in place: what is there now is new
-                begin = 0
-            for at in range(begin, stop, self.piece):
-                ranges.append(ByteRange(path, at if at == begin else -at, min(at + self.piece, stop)))
+        for key, entry in end.items():
+            before = start.get(key)
+            # An entry that the last batch did not have begins where the file was left then.
+            begin = entry["from"] if before is None else before["end"] if _same(before, entry) else 0
+            for at in range(begin, entry["end"], self.piece):
+                stop = min(at + self.piece, entry["end"])
+                ranges.append(ByteRange(entry["path"], at if at == begin else -at, stop, key, tuple(entry["heads"])))
+        # What is planned here is in the checkpoint, so it may be noted as the position reached.
+        for key, entry in {**start, **end}.items():
+            known = self._known.setdefault(key, {**entry, "size": entry["end"]})
+            if known["end"] == entry["end"]:
+                known["from"] = entry["end"]
+            self._seen.setdefault(key, time.time())
+        self._note()
         return ranges or [ByteRange("", 0, 0)]
 
+    # --- reading ----------------------------------------------------------------------
+
+    def _is(self, filesystem, raw, path: str, part: ByteRange) -> bool:
+        if isinstance(filesystem, pafs.LocalFileSystem) and part.key and f"inode:{os.fstat(raw.fileno()).st_ino}" != part.key:
+            return False
+        return not part.heads or _heads(raw, _HEADS[len(part.heads) - 1]) == part.heads
+
+    def _open(self, part: ByteRange):
+        """The file of the range, under whatever name it has now; None if it is gone."""
+        filesystem, path = _open_fs(part.path)
+        local = isinstance(filesystem, pafs.LocalFileSystem)
+        names = [path]
+        if local:
+            folder = os.path.dirname(path)
+            try:
+                others = [e for e in os.scandir(folder) if e.is_file() and f"inode:{e.inode()}" == part.key]
+            except FileNotFoundError:
+                others = []
+            names += [e.path for e in others if e.path != path]
+        for name in names:
+            try:
+                raw = open(name, "rb") if local else filesystem.open_input_file(name)
+            except FileNotFoundError:
+                continue
+            if self._is(filesystem, raw, name, part):
+                return raw
+            raw.close()
+        if self.strict:
+            raise FileNotFoundError(f"{part.path} is gone or another file; set failOnDataLoss to false to go on without it")
+        return None
+
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         """Lines that begin in the range; the last one may reach past its end.
 
         A negative start marks a range cut inside a file: it begins behind the first
         newline, since the line over the cut belongs to the range before.
         """
-        if not part.path:
+        raw = self._open(part) if part.path else None
+        if raw is None:
             return
-        filesystem, path = _open_fs(part.path)
-        with filesystem.open_input_file(path) as raw:
+        with raw:
             at = abs(part.start)
             if part.start < 0:
                 at = _next_line(raw, at - 1)
@@ -175,8 +293,9 @@ def _line_blocks(raw, at: int, end: int) -> Iterator[list[bytes]]:
 
 
 class TailSource(DataSource):
-    """``format("log_tail")`` with options ``paths`` (comma separated),
-    ``startingPosition`` (start, end) and ``maxPartitionBytes``."""
+    """``format("log_tail")`` with options ``paths`` (comma separated), ``startingPosition``
+    (start, end), ``maxPartitionBytes``, ``positions`` (a folder), ``forgetAfterSeconds`` and
+    ``failOnDataLoss``."""
 
     @classmethod
     def name(cls) -> str:
@@ -187,16 +306,3 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _TailReader(self.options)
-
-
-def rotate_files(folder: str) -> None:
-    """Rename every local log file of a folder the way log rotation does.
-
-    Does nothing on other file systems, where files are tracked by path.
-    """
-    filesystem, path = _open_fs(folder)
-    if not isinstance(filesystem, pafs.LocalFileSystem):
-        return
-    for info in filesystem.get_file_info(pafs.FileSelector(path)):
-        if info.type == pafs.FileType.File and not info.base_name.startswith((".", "_")):
-            filesystem.move(info.path, info.path + ".1")

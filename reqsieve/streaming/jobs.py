@@ -35,17 +35,23 @@ def follow_files(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def tail_logs(
-    spark: SparkSession, paths: list[str], from_end: bool = False, max_partition_bytes: int = 64 << 20
-) -> DataFrame:
-    """Lines appended to growing files or to files of a folder, as (path, value)."""
+    spark: SparkSession, paths: list[str], from_end: bool = False, max_partition_bytes: int = 64 << 20,
+    positions: str | None = None, fail_on_data_loss: bool = True,
+) -> DataFrame:
+    """Lines appended to growing files or to files of a folder, as (path, value).
+
+    ``positions`` is a folder of the query's own, beside its checkpoint: with it, files that a
+    listing misses keep their place over restarts too.
+    """
     spark.dataSource.register(TailSource)
-    return (
+    reader = (
         spark.readStream.format("log_tail")
         .option("paths", ",".join(paths))
         .option("startingPosition", "end" if from_end else "start")
         .option("maxPartitionBytes", str(max_partition_bytes))
-        .load()
+        .option("failOnDataLoss", str(fail_on_data_loss).lower())
     )
+    return (reader.option("positions", positions) if positions else reader).load()
 
 
 def _start(writer, interval_seconds: int | None) -> StreamingQuery:

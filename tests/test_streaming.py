@@ -21,16 +21,22 @@ def lines(df):
     return sorted(r.value for r in df.collect())
 
 
+def tailer(spark, tmp_path, folder, **options):
+    """Run a tailing query to the end of what is there; every call is a restart."""
+
+    def run():
+        stream = jobs.tail_logs(spark, [str(folder)], positions=str(tmp_path / "positions"), **options)
+        return lines(drain(stream.select("value"), tmp_path))
+
+    return run
+
+
 def test_tail_emits_each_line_once(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
     a, b = logs / "a.log", logs / "b.log"
     a.write_text("a1\na2\nhalf")
-
-    def tailed():
-        stream = jobs.tail_logs(spark, [str(logs)], max_partition_bytes=7)
-        return lines(drain(stream.select("value"), tmp_path))
-
+    tailed = tailer(spark, tmp_path, logs, max_partition_bytes=7)
     assert tailed() == ["a1", "a2"]
     with a.open("a") as f:
         f.write(" done\n\n  \na3\n")
@@ -48,10 +54,106 @@ def test_tail_emits_each_line_once(spark, tmp_path):
     assert tailed() == ["a1", "a2", "a3", "a4", "b1", "c", "half done", "new1"]
 
 
+def test_file_that_listings_miss_keeps_its_position(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    x = logs / "x.log"
+    x.write_text("x1\nx2\n")
+    (logs / "y.log").write_text("y1\n")
+    tailed = tailer(spark, tmp_path, logs)
+    assert tailed() == ["x1", "x2", "y1"]
+    os.rename(x, tmp_path / "away.log")
+    with (logs / "y.log").open("a") as f:
+        f.write("y2\n")
+    assert tailed() == ["x1", "x2", "y1", "y2"]
+    # Restarted several times while the file is away, and lines are added there.
+    assert tailed() == ["x1", "x2", "y1", "y2"]
+    with (tmp_path / "away.log").open("a") as f:
+        f.write("x3\n")
+    os.rename(tmp_path / "away.log", x)
+    assert tailed() == ["x1", "x2", "x3", "y1", "y2"]
+    assert tailed() == ["x1", "x2", "x3", "y1", "y2"]
+
+
+def reader_of(folder, **options):
+    return tail._TailReader({"paths": str(folder), **options})
+
+
+def values(reader, parts):
+    return [v for p in parts for batch in reader.read(p) for v in batch.column("value").to_pylist()]
+
+
+def test_missed_file_within_one_run(tmp_path):
+    x = tmp_path / "x.log"
+    x.write_text("x1\n")
+    reader = reader_of(tmp_path)
+    first = reader.latestOffset()
+    assert values(reader, reader.partitions({}, first)) == ["x1"]
+    os.rename(x, tmp_path / ".hidden")
+    second = reader.latestOffset()
+    assert values(reader, reader.partitions(first, second)) == []
+    os.rename(tmp_path / ".hidden", x)
+    with x.open("a") as f:
+        f.write("x2\n")
+    assert values(reader, reader.partitions(second, reader.latestOffset())) == ["x2"]
+
+
+def test_rename_between_planning_and_reading(tmp_path):
+    x = tmp_path / "x.log"
+    x.write_text("old1\nold2\n")
+    reader = reader_of(tmp_path, maxPartitionBytes="6")
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    os.rename(x, tmp_path / "x.log.1")
+    x.write_text("new\n")
+    assert values(reader, parts) == ["old1", "old2"]
+    # The batch is planned again after a crash, by a reader that knows nothing, and reads the same.
+    other = reader_of(tmp_path)
+    assert values(other, other.partitions({}, end)) == ["old1", "old2"]
+    assert values(other, other.partitions(end, other.latestOffset())) == ["new"]
+
+
+def test_file_gone_between_planning_and_reading(tmp_path):
+    x = tmp_path / "x.log"
+    x.write_text("old\n")
+    reader = reader_of(tmp_path)
+    parts = reader.partitions({}, reader.latestOffset())
+    os.remove(x)
+    x.write_text("another file of this name\n")
+    with pytest.raises(FileNotFoundError):
+        values(reader, parts)
+    assert values(reader_of(tmp_path, failOnDataLoss="false"), parts) == []
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_new_file_on_an_old_inode(tmp_path, known):
+    x = tmp_path / "x.log"
+    x.write_text("first file\n")
+    reader = reader_of(tmp_path)
+    before = reader.latestOffset()
+    reader.partitions({}, before)
+    # Same inode, other content, and longer: the position of the old file means nothing.
+    with x.open("r+") as f:
+        f.write("other file\nmore\n")
+    after = (reader if known else reader_of(tmp_path)).latestOffset()
+    assert list(after) == list(before)
+    got = reader if known else reader_of(tmp_path)
+    assert values(got, got.partitions(before, after)) == ["other file", "more"]
+
+
+def test_forgotten_files_leave_the_offset(tmp_path):
+    x = tmp_path / "x.log"
+    x.write_text("x1\n")
+    reader = reader_of(tmp_path, forgetAfterSeconds="0")
+    assert len(reader.latestOffset()) == 1
+    os.remove(x)
+    assert reader.latestOffset() == {}
+
+
 def test_tail_from_end_of_named_file(spark, tmp_path):
     log = tmp_path / "x.log"
     log.write_text("old\n")
-    run = lambda: lines(drain(jobs.tail_logs(spark, [str(log)], from_end=True).select("value"), tmp_path))
+    run = tailer(spark, tmp_path, log, from_end=True)
     assert run() == []
     with log.open("a") as f:
         f.write("new\n")
