@@ -121,37 +121,63 @@ def _truthy(kind: Column, text: Column) -> Column:
     )
 
 
+_JSON_NAMES = [n for names in JSON_ALIASES.values() for n in names]
+# Strict but for NaN and infinities, which the format of the logs allows.
+_JSON_OPTIONS = {"allowSingleQuotes": "false"}
+_NOT_FINITE = {"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}
+
+
+def _looks_like_object(line: Column) -> Column:
+    return line.startswith("{") & line.endswith("}")
+
+
+def json_object(line: Column) -> Column:
+    """The known fields of a JSON line as variants, null where the line is no JSON object.
+
+    Of a repeated key the last value counts, and NaN and infinities are numbers. A field that
+    is there but null is a variant null, one that is missing is null. The reader stops at the
+    end of the first value, so the line is also read inside an object, with a mark behind it,
+    and inside an array: only a single whole value fits both.
+    """
+    fields = ", ".join(f"{n}: variant" for n in _JSON_NAMES)
+    inside = F.from_json(
+        F.concat(F.lit('{"line":'), line, F.lit(',"mark":1}')), f"line struct<{fields}>, mark int", _JSON_OPTIONS
+    )
+    alone = F.size(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<struct<mark:int>>", _JSON_OPTIONS)) == 1
+    return F.when(
+        _looks_like_object(line), let(inside, lambda x: F.when((x["mark"] == 1) & alone, x["line"]))
+    )
+
+
 def _json_texts(doc: Column) -> Column:
-    """Known fields of a JSON object to text, null for values that count as unset.
+    """Known fields of a JSON object as a struct of texts, null for values that count as unset.
 
     A request that is no string and a number field that is no whole number or string
-    count as set but empty. Booleans are capitalised, nested values stay JSON.
+    count as set but empty. Booleans are capitalised, nested values stay JSON; a nested value
+    with a repeated key of its own counts as unset.
     """
-    known = [n for names in JSON_ALIASES.values() for n in names]
     texts_only = JSON_ALIASES["request"]
     ints_only = JSON_ALIASES["status"] + JSON_ALIASES["response_size"]
-    fields = F.map_filter(F.try_variant_get(doc, "$", "map<string,variant>"), lambda k, _: k.isin(known))
-
-    def convert(k: Column, kind: Column, text: Column) -> Column:
-        return (
-            F.when(~_truthy(kind, text), F.lit(None))
-            .when(k.isin(texts_only) & (kind != "STRING"), "")
-            .when(k.isin(ints_only) & ~kind.isin("BIGINT", "STRING"), "")
-            .when(kind == "BOOLEAN", F.initcap(text))
-            .otherwise(text)
-        )
 
-    def one(k: Column, v: Column) -> Column:
+    def convert(name: str, kind: Column, text: Column) -> Column:
+        out = F.when(~_truthy(kind, text), F.lit(None))
+        if name in texts_only:
+            out = out.when(kind != "STRING", "")
+        if name in ints_only:
+            out = out.when(~kind.isin("BIGINT", "STRING"), "")
+        for written, shown in _NOT_FINITE.items():
+            out = out.when((kind == "DOUBLE") & (text == written), shown)
+        return out.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+    def one(name: str) -> Column:
+        value = doc[name]
         parts = F.struct(
-            F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")
+            F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
         )
-        return let(parts, lambda p: convert(k, p["kind"], p["text"]))
-
-    return F.transform_values(fields, one)
-
+        text = let(parts, lambda p: convert(name, p["kind"], p["text"]))
+        return F.when(value.isNotNull(), text).alias(name)
 
-def _looks_like_object(line: Column) -> Column:
-    return line.startswith("{") & line.endswith("}")
+    return F.when(doc.isNotNull(), F.struct(*[one(n) for n in _JSON_NAMES]))
 
 
 # Positions of the fields among the groups of a combined line.
@@ -183,8 +209,7 @@ def _typed(df: DataFrame, raw: Callable[[str], Column]) -> DataFrame:
 
 
 def _from_json(name: str) -> Column:
-    texts = F.col("_json")
-    return F.coalesce(*[F.try_element_at(texts, F.lit(n)) for n in JSON_ALIASES[name]], F.lit(""))
+    return F.coalesce(*[F.col("_json")[n] for n in JSON_ALIASES[name]], F.lit(""))
 
 
 def _from_groups(name: str) -> Column:
@@ -203,14 +228,13 @@ def _lines(df: DataFrame, value: str) -> DataFrame:
 
 
 def _json_of(line: Column) -> Column:
-    return _json_texts(F.when(_looks_like_object(line), F.try_parse_json(line)))
+    return let(json_object(line), _json_texts)
 
 
 def parse_json_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """JSON log lines to rows; other lines are dropped. ``value`` is consumed.
 
-    Differs from a lenient reader in that NaN literals and duplicate keys make the line
-    invalid.
+    Repeated keys and NaN are read as :func:`json_object` says.
     """
     staged = _lines(df, value).select("*", _barrier(_json_of(F.col("_line")), "_json"))
     return _typed(staged.where(F.col("_json").isNotNull()), _from_json)
@@ -267,10 +291,7 @@ def light_requests_json_or_quoted(df: DataFrame, value: str = "value") -> DataFr
     """
     line = F.col(value)
     is_json = strip(line).startswith("{")
-    staged = df.withColumn(
-        "_fields",
-        F.when(is_json, F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>")),
-    )
+    staged = df.withColumn("_fields", F.when(is_json, json_object(strip(line))))
 
     def from_field(v: Column) -> Column:
         return F.when(v.isNull(), "GET /").when(
@@ -279,7 +300,7 @@ def light_requests_json_or_quoted(df: DataFrame, value: str = "value") -> DataFr
 
     fields = F.col("_fields")
     request = (
-        F.when(fields.isNotNull(), let(F.try_element_at(fields, F.lit("request")), from_field))
+        F.when(fields.isNotNull(), let(fields["request"], from_field))
         .when(is_json, F.lit(None))
         .when(line.rlike('"[^"]*"'), F.regexp_extract(line, '"([^"]*)"', 1))
         .otherwise("GET /")
@@ -287,6 +308,15 @@ def light_requests_json_or_quoted(df: DataFrame, value: str = "value") -> DataFr
     return _light_request(staged, request, value)
 
 
+def with_line_client(df: DataFrame, value: str = "value", out: str = "client") -> DataFrame:
+    """The address a log line begins with, or ``ip`` or ``remote_addr`` of a JSON line; null without one."""
+    line = strip(F.col(value))
+    texts = let(json_object(line), _json_texts)
+    told = let(texts, lambda t: F.coalesce(*[t[n] for n in JSON_ALIASES["ip"]]))
+    first = F.nullif(F.get(ws_split(line), F.lit(0)), F.lit(""))
+    return df.withColumn(out, F.when(line.startswith("{"), told).otherwise(first))
+
+
 def light_requests_quoted(df: DataFrame, value: str = "value") -> DataFrame:
     """Request after the first quote; lines without a quote are dropped."""
     return _light_request(df, F.get(F.split(F.col(value), '"'), F.lit(1)), value)

@@ -17,7 +17,6 @@ from reqsieve.plans import sql as q
 from reqsieve.plans import views
 from reqsieve.session import materialize, scratch_dir
 from reqsieve.sources import logs, sinks, vocab_io
-from reqsieve.sources.tail import rotate_files
 from reqsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1144,14 +1143,25 @@ def w1_follow_files(spark, sf):
     return collected(spark, jobs.follow_files(spark, log_files(spark, sf)), "followed")
 
 
+def _rotate(spark: SparkSession, folder: str) -> None:
+    """Rename every log file of a folder the way log rotation does, where files have inodes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    for status in fs.listStatus(at) if fs.getScheme() == "file" else []:
+        name = status.getPath().getName()
+        if not name.startswith((".", "_")):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(at, name + ".1"))
+
+
 @register("w2_rotated_logs", "SELECT value FROM log_lines WHERE trim(value) <> ''")
 def w2_rotated_logs(spark, sf):
     """Tail, rotate every file, tail again: nothing is lost and nothing comes twice."""
     folder, out = log_files(spark, sf), scratch_dir(spark, "rotated")
     for _ in range(2):
-        lines = jobs.tail_logs(spark, [folder]).select("value")
+        lines = jobs.tail_logs(spark, [folder], positions=out + "-positions").select("value")
         run_now(jobs.write_stream(lines, out, out + "-progress", interval_seconds=None))
-        rotate_files(folder)
+        _rotate(spark, folder)
     return spark.read.schema("value string").parquet(out)
 
 

@@ -200,8 +200,8 @@ WHEN e % 10 = 0 THEN
   || ', "req": "HEAD /fallback?x=1", "status": '
   || {case('e', 50, {0: "'0'", 10: "'\"0\"'", 20: "'\" 2_04 \"'"}, "'201'")}
   || ', "size": ' || {case('e', 40, {0: "'true'", 10: "'12.5'", 20: "'\"12.5\"'"}, "size")}
-  || ', "agent": ' || {case('e', 90, {0: "'true'", 10: "'false'", 20: "'42'"}, "'\"jsonagent\"'")}
-  || ', "body": "b=' || CAST(e AS VARCHAR) || '"}}'
+  || ', "agent": ' || {case('e', 90, {0: "'true'", 10: "'false'", 20: "'42'", 30: "'NaN'"}, "'\"jsonagent\"'")}
+  || ', "body": "b=' || CAST(e AS VARCHAR) || '"' || {case('e', 110, {0: "', \"status\": 503, \"load\": NaN'"}, "''")} || '}}'
 ELSE
   ip || ' - - [' || stamp || '] "' || line || '" ' || {case('e', 7, {1: "'404'"}, "'200'")} || ' '
   || {case('e', 13, {4: "'-'", 5: "'1_0x'"}, "size")} || ' "' || {case('e', 3, {0: "'-'"}, "'/home'")}
@@ -216,11 +216,14 @@ COMBINED = (
     r'(?:\s+"([^"]*)")?\s*$'
 )
 view("stripped", ["log_lines"], "SELECT line_id, trim(value) AS line FROM log_lines")
+# Lines without what strict JSON does not have: the earlier one of two equal keys, and NaN.
 view(
     "json_docs",
     ["stripped"],
-    """
-SELECT line_id, CASE WHEN line LIKE '{%}' THEN TRY_CAST(line AS JSON) END AS doc, line FROM stripped""",
+    r"""
+SELECT line_id, line, CASE WHEN line LIKE '{%}' THEN TRY_CAST(replace(regexp_replace(line,
+  '"status": [^,]+, (.*"status": 503), "load": NaN\}$', '\1}'), '"agent": NaN', '"agent": "nan"') AS JSON) END AS doc
+FROM stripped""",
 )
 
 

@@ -125,10 +125,13 @@ def log_lines_of(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.lit(', "size": '),
         _by(e, 40, {0: F.lit("true"), 10: F.lit("12.5"), 20: F.lit('"12.5"')}, size),
         F.lit(', "agent": '),
-        _by(e, 90, {0: F.lit("true"), 10: F.lit("false"), 20: F.lit("42")}, F.lit('"jsonagent"')),
+        _by(e, 90, {0: F.lit("true"), 10: F.lit("false"), 20: F.lit("42"), 30: F.lit("NaN")}, F.lit('"jsonagent"')),
         F.lit(', "body": "b='),
         s(e),
-        F.lit('"}'),
+        F.lit('"'),
+        # A key that comes again, and a number that is none.
+        _by(e, 110, {0: F.lit(', "status": 503, "load": NaN')}, F.lit("")),
+        F.lit("}"),
     )
     broken = _by(
         e,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.functions.text import is_blank, strip
-from reqsieve.operators.parse import COMBINED, LOG_SCHEMA
+from reqsieve.operators.parse import COMBINED, LOG_SCHEMA, json_object
 
 # Fields that mark a JSON line as a log line.
 JSON_MARKERS = ["ip", "timestamp", "request", "status"]
@@ -44,12 +44,10 @@ def format_hits(df: DataFrame, value: str = "value") -> DataFrame:
     """Two flags per line: counts as JSON, counts as combined."""
     line = strip(F.col(value))
     out = df.withColumn("_line", line)
-    doc = F.try_parse_json("_line")
-    keys = [F.try_variant_get(F.col("_doc"), f"$.{k}", "variant").isNotNull() for k in JSON_MARKERS]
-    shaped = F.col("_line").startswith("{") & F.col("_line").endswith("}")
+    keys = [F.col("_doc")[k].isNotNull() for k in JSON_MARKERS]
     has_key = keys[0] | keys[1] | keys[2] | keys[3]
     return (
-        out.withColumn("_doc", F.when(shaped, doc))
+        out.withColumn("_doc", json_object(F.col("_line")))
         .withColumn("json_hit", F.coalesce(F.col("_doc").isNotNull() & has_key, F.lit(False)))
         .withColumn("combined_hit", ~F.col("json_hit") & F.col("_line").rlike(COMBINED))
         .drop("_line", "_doc")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reqsieve.sources import logs
 from reqsieve.operators import normalize, parse
 
 COMBINED = '10.0.0.1 - bob [01/Jan/2024:00:00:01 +0000] "GET /a/b?x=1?y HTTP/1.1" 200 12 "-" "curl"'
@@ -76,6 +77,36 @@ def test_event_time(spark):
     assert got == [1704060001, None]
 
 
+def test_json_lines_as_a_lenient_reader_takes_them(spark):
+    lines = [
+        '{"request": "GET /old", "status": 1, "request": "GET /new?a=b", "status": 404}',
+        '{"req": "GET /n", "agent": NaN, "referer": -Infinity, "size": NaN, "status": Infinity, "x": {"a": 1, "a": NaN}}',
+        '{"request": "GET /x"} {"request": "GET /y"}', '{"request": "GET /x"}, "b": {}', '{"request": "GET /x"}],[{"z": 1}',
+        '{"request": "GET /x",}', "{'request': 'GET /x'}", '{"status": 007}', '{"request": "GET /x"} // y}', "{}", "[{}]",
+        '{"ip": null, "remote_addr": "r", "status": 12345678901234567890}',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, value string")
+    got = {r.line_id: r for r in parse.parse_json_lines(df).collect()}
+    assert sorted(got) == [0, 1, 9, 11]
+    assert (got[0].path, got[0].query, got[0].status) == ("/new", "a=b", 404)
+    one = got[1]
+    assert (one.path, one.user_agent, one.referer, one.response_size, one.status) == ("/n", "nan", "-inf", 0, 0)
+    assert got[9].method == "" and got[9].status == 0
+    assert (got[11].ip, got[11].status) == ("r", 0)
+    assert {r.line_id for r in parse.parse_log_lines(df).collect()} == {0, 1, 9, 11}
+    flavour = {r.line_id: (r.method, r.path) for r in parse.light_requests_json_or_quoted(df).collect()}
+    assert flavour[0] == ("GET", "/new") and flavour[1] == ("GET", "/") and not {2, 3, 4, 5, 6, 7, 8} & set(flavour)
+    hits = {r.line_id: r.json_hit for r in logs.format_hits(df).collect()}
+    assert [i for i, hit in hits.items() if hit] == [0, 1, 11]
+
+
+def test_client_of_a_line(spark):
+    lines = ['10.0.0.1 - - [x] "GET /"', '{"ip": "", "remote_addr": "10.0.0.2"}', "{broken}", "  ", '{"ip": 7}']
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, value string")
+    got = {r.line_id: r.client for r in parse.with_line_client(df).collect()}
+    assert got == {0: "10.0.0.1", 1: "10.0.0.2", 2: None, 3: None, 4: "7"}
+
+
 def light(spark, fn, lines):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
     return {
