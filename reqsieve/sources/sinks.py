@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.operators.history import micros_of
 from reqsieve.operators.parse import LOG_FIELDS
+from reqsieve.sources.record_store import RecordStore
 
 EVAL_FIELDS = ["ts", "label", "method", "path", "query", "anomaly_score", "is_anomaly"]
 
@@ -36,8 +37,35 @@ def write_parsed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (write_log_csv if csv else write_jsonl)(df, path, mode)
 
 
+# Fields of a logged detection, in order.
+DETECTION_LOG_FIELDS = [
+    "request_id", "method", "path", "query_params", "headers", "is_anomaly", "anomaly_score", "confidence", "ts",
+]
+DETECTION_LOG_SCHEMA = (
+    "request_id string, method string, path string, query_params map<string,string>, "
+    "headers map<string,string>, is_anomaly boolean, anomaly_score double, confidence double, ts string"
+)
+
+
+def log_records(scored: DataFrame, ts: str = "ts") -> DataFrame:
+    """Scored requests, also those scored without a model, as the nine fields of the log.
+
+    ``query_params`` are pairs; headers are empty where there are none. The time is text:
+    seconds since 1970 with six digits.
+    """
+    empty = F.expr("cast(map() as map<string,string>)")
+    seconds = (micros_of(scored, ts) / F.lit(1_000_000)).cast("decimal(20,6)").cast("string")
+    values = {
+        "request_id": F.col("request_id").cast("string"),
+        "query_params": F.map_from_entries("query_params"),
+        "headers": F.col("headers") if "headers" in scored.columns else empty,
+        "ts": seconds,
+    }
+    return scored.select(*[values.get(f, F.col(f)).alias(f) for f in DETECTION_LOG_FIELDS])
+
+
 def append_detection_log(df: DataFrame, path: str, batch: bool = False) -> None:
-    """Append detections as JSON lines; a failed write fails the job.
+    """Append logged detections as JSON lines; a failed write fails the job.
 
     Detections of a batch call carry ``batch: true``.
     """
@@ -45,19 +73,9 @@ def append_detection_log(df: DataFrame, path: str, batch: bool = False) -> None:
     write_jsonl(out, path, "append")
 
 
-def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """The day in UTC, whatever the session's zone; history bounds are UTC days too."""
-    days = F.floor(micros_of(df, ts) / F.lit(86_400_000_000)).cast("int")
-    return df.withColumn("dt", F.date_from_unix_date(days))
-
-
 def append_records(df: DataFrame, path: str) -> None:
-    """Append to the record store, partitioned by day.
-
-    The rebalance gathers each day's rows into few files and splits a large day, so
-    neither many small files nor one huge writer result.
-    """
-    with_day(df).hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(path)
+    """Append to the record store at a path."""
+    RecordStore(df.sparkSession, path).append(df)
 
 
 def write_evaluation(df: DataFrame, path: str) -> None:

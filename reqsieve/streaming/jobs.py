@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reqsieve.functions.text import is_blank
 from reqsieve.operators.history import build_records
-from reqsieve.operators.parse import light_requests_json_or_quoted
 from reqsieve.operators.normalize import with_training_text
-from reqsieve.operators.scoring import score_requests
-from reqsieve.sources.sinks import with_day
+from reqsieve.operators.parse import light_requests_json_or_quoted, with_line_client
+from reqsieve.operators.scoring import BigramModel, score_requests
+from reqsieve.sources import model_store
+from reqsieve.sources.record_store import RecordStore
+from reqsieve.sources.sinks import log_records, write_jsonl
 from reqsieve.sources.tail import TailSource
 
 # Fixed value: seconds between near-real-time batches.
@@ -87,96 +87,47 @@ def write_stream(
 
 def detect_stream(
     lines: DataFrame,
-    model: DataFrame,
+    model: DataFrame | BigramModel | str | None,
     threshold: float,
-    out: str,
+    store: RecordStore,
     checkpoint: str,
+    log: str | None = None,
+    stream: str = "detect",
+    salt: str = "",
     model_version: int = 1,
     max_length: int | None = None,
     interval_seconds: int | None = BATCH_INTERVAL_SECONDS,
 ) -> StreamingQuery:
-    """Lines to detection records: light parse, score, store.
+    """Lines to detection records: light parse, score, store and log.
 
-    Each micro-batch replaces its own ``batch_id`` partition, so a batch that is repeated
-    after a crash leaves no duplicates. ``lines`` needs ``value`` and a unique ``line_id``;
-    without one it is numbered within the batch.
+    ``lines`` has ``value`` and may have ``line_id``, unique within a batch, ``client``, of
+    which the record keeps a salted hash, and ``ts``; without a time the current one counts.
+    ``model`` may be the path of a model store: every batch is scored with its newest version.
+    Each micro-batch is committed to the store under its number, so one that is repeated after
+    a crash adds nothing, and replaces its own folder of the log.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         if "line_id" not in batch.columns:
             batch = batch.withColumn("line_id", F.monotonically_increasing_id())
-        parsed = with_training_text(light_requests_json_or_quoted(batch.select("line_id", "value")))
-        # Two uses: the text for the score, the fields for the record.
-        parsed = parsed.persist()
+        if "client" not in batch.columns:
+            batch = with_line_client(batch)
+        if "ts" not in batch.columns:
+            batch = batch.withColumn("ts", F.current_timestamp())
+        version = model_store.current_version(spark, model) if isinstance(model, str) else model_version
+        scorer = model_store.load_model(spark, model, version) if isinstance(model, str) else model
+        columns = batch.select("line_id", "client", "ts", "value")
+        parsed = with_training_text(light_requests_json_or_quoted(columns)).persist()
+        # Several uses: the text for the score, the fields for record and log.
         try:
-            scores = score_requests(parsed, model, "line_id", threshold, max_length=max_length)
-            scored = parsed.drop("text").join(scores, "line_id")
-            scored = scored.withColumn(
-                "request_id",
-                F.concat(F.lit(f"b{batch_id}-"), F.col("line_id").cast("string")),
-            ).withColumn("ts", F.current_timestamp())
-            records = build_records(scored, model_version, threshold, "", client=None)
-            target = f"{out.rstrip('/')}/batch_id={batch_id}"
-            with_day(records).write.mode("overwrite").parquet(target)
+            scores = score_requests(parsed, scorer, "line_id", threshold, max_length=max_length)
+            rid = F.concat(F.lit(f"b{batch_id}-"), F.col("line_id").cast("string"))
+            scored = parsed.drop("text").join(scores, "line_id").withColumn("request_id", rid)
+            if log is not None:
+                write_jsonl(log_records(scored), f"{log.rstrip('/')}/batch_id={batch_id}")
+            store.append(build_records(scored, version or 0, threshold, salt), (stream, batch_id))
         finally:
             parsed.unpersist()
 
     return for_each_batch(lines, run, checkpoint, interval_seconds)
-
-
-def audit_stream(
-    stream: DataFrame,
-    limit: int = 1000,
-    window_seconds: int = 60,
-    client: str = "client",
-    ts: str = "ts",
-    tie: str = "id",
-    lateness: str = "10 minutes",
-) -> DataFrame:
-    """Rate-limit audit of a stream: (id, client, ts, accepted) per request.
-
-    State per client is the log of accepted times, at most ``limit`` of them; it is
-    dropped once the watermark has passed the window. Requests are taken in arrival order
-    of the micro-batches and in time order within one.
-    """
-    window = pd.Timedelta(seconds=window_seconds)
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
-        pdf = pd.concat(batches).sort_values(["ts", "id"])
-        flags = []
-        first = 0
-        for now in pdf["ts"]:
-            while first < len(log) and log[first] < now - window:
-                first += 1
-            ok = len(log) - first < limit
-            if ok:
-                log.append(now)
-            flags.append(ok)
-        log = log[first:]
-        state.update(([t.value // 1000 for t in log],))
-        if log:
-            expires = int(log[-1].timestamp() * 1000) + window_seconds * 1000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(accepted=flags)[["id", "client", "ts", "accepted"]]
-
-    shaped = stream.select(
-        F.col(tie).cast("bigint").alias("id"), F.col(client).alias("client"), F.col(ts).alias("ts")
-    )
-    client_type = dict(shaped.dtypes)["client"]
-    return (
-        shaped.withWatermark("ts", lateness)
-        .groupBy("client")
-        .applyInPandasWithState(
-            step,
-            outputStructType=f"id bigint, client {client_type}, ts timestamp, accepted boolean",
-            stateStructType="log array<bigint>",
-            outputMode="append",
-            timeoutConf=GroupStateTimeout.EventTimeTimeout,
-        )
-    )

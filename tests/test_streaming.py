@@ -1,14 +1,17 @@
 """Streams give the batch result, and survive restarts."""
 
+import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from reqsieve.operators import history, normalize, parse, rate_audit, scoring
 from reqsieve.plans import views
-from reqsieve.sources import tail
-from reqsieve.streaming import jobs
+from reqsieve.sources import model_store, sinks, tail
+from reqsieve.sources.record_store import RecordStore
+from reqsieve.streaming import audit, jobs
 
 
 def drain(stream, tmp_path, name="out"):
@@ -188,18 +191,45 @@ def test_detection_stream_repeats_no_rows(spark, sf_dir, tmp_path):
     requests = normalize.with_training_text(parse.light_requests_json_or_quoted(static))
     model = scoring.fit_unigram(requests)
     stream = spark.readStream.schema("line_id bigint, value string").parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "records")
+    store, log = RecordStore(spark, str(tmp_path / "records")), str(tmp_path / "log")
     want = scoring.score_requests(requests, model, "line_id", 5.0)
-    expected = {r.line_id: (round(r.anomaly_score, 9), r.is_anomaly) for r in want.collect()}
+    expected = {r.line_id: (round(r.anomaly_score, 9), r.is_anomaly, round(r.confidence, 9)) for r in want.collect()}
+    clients = {r.line_id: r.client for r in parse.with_line_client(static).collect()}
     # The second run has lost its progress, as after a crash before the commit.
     for run in ("p1", "p2"):
-        jobs.detect_stream(stream, model, 5.0, out, str(tmp_path / run), interval_seconds=None).awaitTermination()
-        got = {
-            int(r.request_id.split("-")[1]): (round(r.anomaly_score, 9), r.is_anomaly)
-            for r in spark.read.parquet(out).collect()
-        }
-        assert got == expected
-        assert spark.read.parquet(out).count() == len(expected)
+        jobs.detect_stream(
+            stream, model, 5.0, store, str(tmp_path / run), log=log, salt="s", interval_seconds=None
+        ).awaitTermination()
+        number = lambda r: int(r.request_id.split("-")[1])
+        got = store.read().collect()
+        logged = {number(r): r for r in spark.read.schema(sinks.DETECTION_LOG_SCHEMA).json(log).collect()}
+        assert len(got) == len(expected) == len(logged)
+        assert {
+            number(r): (round(r.anomaly_score, 9), r.is_anomaly, round(logged[number(r)].confidence, 9)) for r in got
+        } == expected
+        hashes = {i: c and hashlib.sha256(("s" + c).encode()).hexdigest() for i, c in clients.items()}
+        assert {number(r): r.client_ip_hash for r in got} == {i: hashes[i] for i in expected}
+        assert all(r.headers == {} and float(r.ts) > 1.6e9 and r.method for r in logged.values())
+
+
+def test_detection_stream_takes_the_newest_model(spark, tmp_path):
+    path, folder = str(tmp_path / "models"), tmp_path / "in"
+    folder.mkdir()
+    rows = spark.createDataFrame([(1, "GET /a"), (2, "GET /b")], "id long, text string")
+    store = RecordStore(spark, str(tmp_path / "records"))
+
+    def run(k):
+        (folder / f"{k}.txt").write_text(f'h "GET /{k} x" 200\n')
+        lines = jobs.follow_files(spark, str(folder)).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        jobs.detect_stream(lines, path, 1.0, store, str(tmp_path / "p"), interval_seconds=None).awaitTermination()
+
+    run(0)  # no model yet: score 0, version 0
+    model_store.save_model(scoring.fit_unigram(rows), path)
+    run(1)
+    model_store.retrain(spark, path, rows)
+    run(2)
+    got = {r.path: (r.model_version, r.anomaly_score > 0, r.ts.year) for r in store.read().collect()}
+    assert got == {"/0": (0, False, 2024), "/1": (1, True, 2024), "/2": (2, True, 2024)}
 
 
 def test_for_each_batch(spark, tmp_path):
@@ -225,15 +255,60 @@ def events(spark, tmp_path, files):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events" / "*"))
 
 
-def test_audit_stream_equals_batch(spark, tmp_path):
-    rows = [(i, f"c{i % 3}", 1_700_000_000 + i * 7) for i in range(240)]
-    stream = events(spark, tmp_path, [rows[:80], rows[80:160], rows[160:]])
-    got = drain(jobs.audit_stream(stream, limit=2, window_seconds=60), tmp_path)
+def run_audit(spark, tmp_path, files, **options):
+    """Each file is a micro-batch; returns what was given out and what is still held."""
+    stream = events(spark, tmp_path, files)
+    out = str(tmp_path / "audit")
+    options = {"limit": 2, "window_seconds": 60, **options}
+    audit.audit_stream(stream, out, str(tmp_path / "p"), interval_seconds=None, **options).awaitTermination()
+    held = audit.held(spark, out, stream, options["limit"], options["window_seconds"])
+    return audit.audited(spark, out, stream).collect(), held.collect()
+
+
+def batch_audit(spark, rows, **options):
     flat = spark.createDataFrame(rows, "id bigint, client string, t bigint").select(
         "id", "client", F.timestamp_seconds("t").alias("ts")
     )
-    want = rate_audit.audit(flat, limit=2, window_seconds=60)
-    assert {r.id: r.accepted for r in got.collect()} == {r.id: r.accepted for r in want.collect()}
+    return {r.id: r.accepted for r in rate_audit.audit(flat, **{"limit": 2, "window_seconds": 60, **options}).collect()}
+
+
+def test_audit_stream_equals_batch(spark, tmp_path):
+    rows = [(i, [f"c{i % 3}", None][i % 11 == 0], 1_700_000_000 + i * 7) for i in range(240)]
+    given, held = run_audit(spark, tmp_path, [rows[:80], rows[80:160], rows[160:]], lateness_seconds=100)
+    assert given and held and len({r.id for r in given} | {r.id for r in held}) == len(given) + len(held) == 240
+    assert not any(r.late for r in given)
+    assert {r.id: r.accepted for r in [*given, *held]} == batch_audit(spark, rows)
+
+
+def test_audit_stream_of_disordered_requests(spark, tmp_path):
+    """Out of order by less than the lateness: the decisions of the batch audit."""
+    r = random.Random(4)
+    rows = [(i, r.choice(["hot", "hot", "hot", "a", None]), 1_700_000_000 + i * 3 + r.randint(0, 200)) for i in range(600)]
+    files = [rows[k : k + 120] for k in range(0, 600, 120)]
+    given, held = run_audit(spark, tmp_path, files, limit=5, lateness_seconds=300)
+    assert {x.id: x.accepted for x in [*given, *held]} == batch_audit(spark, rows, limit=5)
+    assert len(given) > 300 and not any(x.late for x in given)
+
+
+def test_late_requests_come_out_once_with_a_flag(spark, tmp_path):
+    first = [(i, "a", 1000 + i) for i in range(5)] + [(9, "a", 5000)]
+    second = [(20, "a", 1001), (21, "b", 2), (22, "a", None), (23, "a", 4990), (24, "a", 9000)]
+    given, held = run_audit(spark, tmp_path, [first, second], lateness_seconds=100)
+    assert sorted(r.id for r in [*given, *held]) == [0, 1, 2, 3, 4, 9, 20, 21, 22, 23, 24]
+    late = {r.id for r in given if r.late}
+    assert late == {20, 21, 22} and all(r.accepted is None for r in given if r.late)
+    on_time = [x for x in first + second if x[0] not in late]
+    assert {r.id: r.accepted for r in [*given, *held] if not r.late} == batch_audit(spark, on_time)
+
+
+def test_repeated_audit_batches_change_nothing(spark, tmp_path):
+    rows = [(i, "a", 1000 + 20 * i) for i in range(40)]
+    files = [rows[:20], rows[20:]]
+    given, held = run_audit(spark, tmp_path, files, lateness_seconds=60)
+    stream, out = events(spark, tmp_path, []), str(tmp_path / "audit")
+    audit.audit_stream(stream, out, str(tmp_path / "lost"), 2, 60, lateness_seconds=60, interval_seconds=None).awaitTermination()
+    again = audit.audited(spark, out, stream).collect()
+    assert sorted(again) == sorted(given) and sorted(audit.held(spark, out, stream, 2, 60).collect()) == sorted(held)
 
 
 def test_running_counters(spark, tmp_path):
