@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.operators.normalize import with_training_text
 from reqsieve.operators.scoring import score_requests
-from reqsieve.session import ensure_checkpoint_dir
+from reqsieve.session import ensure_checkpoint_dir, stored
 
 REQUEST_SCHEMA = (
     "method string, path string, query_params map<string,string>, "
@@ -272,7 +272,13 @@ def history_page(
 
     The flag says whether the page is full; its window sees at most ``limit`` rows.
     """
-    shown = page(df, limit, offset, ts=ts, tie=tie)
+    return shown_page(page(df, limit, offset, ts=ts, tie=tie), limit, high, medium, ts, tie)
+
+
+def shown_page(
+    shown: DataFrame, limit: int = 50, high: float = 9.0, medium: float = 8.5, ts: str = "ts", tie: str = "id"
+) -> DataFrame:
+    """The rows of a page, as shown."""
     full = F.count(F.lit(1)).over(Window.partitionBy()) == limit
     score = F.col("anomaly_score")
     return shown.select(
@@ -361,7 +367,8 @@ def replay(
     The new id ends in eight hex digits taken from the old id, the version and the time,
     so a retried task writes the same id again.
     """
-    texts = compose(unpack_requests(records))
+    # Composed once: the text is scored, the fields go into the record.
+    texts = stored(compose(unpack_requests(records)), "replay-texts")
     scores = score_requests(texts, model, "request_id", threshold, max_length=max_length)
     at = parse_time_bound(now)
     again = (

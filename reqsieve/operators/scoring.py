@@ -10,20 +10,32 @@ plus (1 - lambda) times the unigram.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqsieve.functions.text import let
-from reqsieve.operators.tokens import CLS, SEP, SPECIALS, UNK, tokens_of
-from reqsieve.session import materialize
+from reqsieve.operators.tokens import (
+    CLS,
+    MAX_VOCAB,
+    SEP,
+    SPECIALS,
+    UNK,
+    ids_of_tokens,
+    tokens_of,
+    vocabulary_rows,
+)
+from reqsieve.session import materialize, stored
 
 SEP_TOKEN, UNK_TOKEN, CLS_TOKEN = "[SEP]", "[UNK]", "[CLS]"
 
-# Rows of the pair table that may be broadcast, whatever the table's size.
-PAIR_BROADCAST_ROWS = 200_000
+# Rows of the pair table that a task holds at once, 16 bytes each.
+PAIR_BLOCK = 4_000_000
 
 
 # --- sequences -------------------------------------------------------------------------
@@ -43,19 +55,6 @@ def _sequence(text: Column, max_length: int | None) -> Column:
     return F.concat(tokens, F.array(F.lit(SEP_TOKEN)))
 
 
-def _pairs(text: Column, max_length: int | None) -> Column:
-    return let(
-        _sequence(text, max_length),
-        lambda s: F.transform(
-            s,
-            lambda t, i: F.struct(
-                F.when(i == 0, F.lit(CLS_TOKEN)).otherwise(F.get(s, i - 1)).alias("prev"),
-                t.alias("token"),
-            ),
-        ),
-    )
-
-
 # --- unigram model ---------------------------------------------------------------------
 
 
@@ -68,6 +67,8 @@ def unigram_counts(
     request emits its length, whose sum tells how many positions the kept tokens leave
     to [UNK]. What the window sees is at most vocab_size rows.
     """
+    if vocab_size > MAX_VOCAB:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCAB} rows")
     weighted = let(
         _sequence(F.col(text), max_length),
         lambda s: F.concat(
@@ -169,22 +170,32 @@ class BigramModel:
     vocab_size: int
 
 
-def _with_pair_ids(df: DataFrame, key: str | None, text: str, vocab: DataFrame, max_length) -> DataFrame:
-    """(_key, at, prev_id, id) per position; both lookups use one broadcast."""
-    ids = vocab.select("token", "id")
-    keys = [F.col(key).alias("_key")] if key else []
-    kept = ["_key"] if key else []
-    at = F.posexplode(_pairs(F.col(text), max_length)).alias("at", "p")
-    flat = df.select(*keys, at).select(*kept, "at", "p.prev", "p.token")
-    named = flat.join(F.broadcast(ids), "token", "left").join(
-        F.broadcast(ids.select(F.col("token").alias("prev"), F.col("id").alias("prev_id"))),
-        "prev",
-        "left",
-    )
-    prev = F.when(F.col("prev") == CLS_TOKEN, F.lit(CLS)).otherwise(
-        F.coalesce("prev_id", F.lit(UNK))
-    )
-    return named.select(*kept, "at", prev.alias("prev_id"), F.coalesce("id", F.lit(UNK)).alias("id"))
+def _positions(batch: pa.RecordBatch, known: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every position of a batch of sequences: its row, the id before it, its id."""
+    sizes = batch["sequence"].value_lengths().to_numpy(zero_copy_only=False)
+    here = ids_of_tokens(batch["sequence"].flatten(), known, ids)
+    before = np.concatenate([[CLS], here[:-1]])
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = CLS
+    return np.repeat(np.arange(len(sizes)), sizes), before, here
+
+
+def pair_counts(normal: DataFrame, unigram: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
+    """(prev_id, id, n): the pairs of neighbours, counted in the tasks before the shuffle."""
+    vocab = vocabulary_rows(unigram, "token", "id")
+    known, ids = vocab["token"].combine_chunks(), vocab["id"].to_numpy().astype(np.int64)
+    span = int(max(ids.max(initial=SEP), SEP)) + 1
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, before, here = _positions(batch, known, ids)
+            pair, n = np.unique(before * span + here, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair // span, pa.int32()), pa.array(pair % span, pa.int32()), pa.array(n)], names=["prev_id", "id", "n"]
+            )
+
+    sequences = normal.select(_sequence(F.col(text), max_length).alias("sequence"))
+    found = sequences.mapInArrow(count, "prev_id int, id int, n bigint")
+    return found.groupBy("prev_id", "id").agg(F.sum("n").alias("n"))
 
 
 def fit_bigram(
@@ -196,17 +207,13 @@ def fit_bigram(
     max_length: int | None = None,
 ) -> BigramModel:
     unigram = fit_unigram(normal, text, vocab_size, alpha, max_length)
-    counts = (
-        _with_pair_ids(normal, None, text, unigram, max_length)
-        .groupBy("prev_id", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = stored(pair_counts(normal, unigram, text, max_length), "pair-counts")
     # c(prev) has one row per vocabulary entry, so it is small enough to broadcast.
     starts = counts.groupBy("prev_id").agg(F.sum("n").alias("c_prev"))
     pairs = counts.join(F.broadcast(starts), "prev_id").select(
         "prev_id", "id", "n", (F.col("n") / F.col("c_prev")).alias("share")
     )
-    return BigramModel(unigram, materialize(pairs), weight, vocab_size)
+    return BigramModel(unigram, stored(pairs, "pairs"), weight, vocab_size)
 
 
 def score_bigram(
@@ -215,64 +222,52 @@ def score_bigram(
     key: str,
     text: str = "text",
     max_length: int | None = None,
-    broadcast_rows: int = PAIR_BROADCAST_ROWS,
-    salts: int = 16,
+    pair_block: int = PAIR_BLOCK,
 ) -> DataFrame:
     """(key, anomaly_score) under the interpolated bigram.
 
-    The pair table is broadcast whole only where vocab_size bounds it. Otherwise its most
-    frequent ``broadcast_rows`` rows are, which takes the hot keys out, and the positions
-    they miss go through a salted shuffle join, so that one pair unseen in training
-    cannot fill a partition. Both ways give the same result.
+    The pair table is packed into sorted arrays of at most about ``pair_block`` pairs, by the
+    id before. Each block is one pass over the requests, which adds up the losses of the
+    positions whose id before belongs to it, so a task holds one block however large the
+    table is, and what is shuffled is one row per request and pass.
     """
-    positions = _with_pair_ids(df, key, text, model.unigram, max_length)
-    base = F.broadcast(model.unigram.select("id", "log_p"))
-    on = ["prev_id", "id"]
-    weight = F.lit(model.weight)
-    p = weight * F.coalesce("share", F.lit(0.0)) + (1 - weight) * F.exp("log_p")
-    loss = -F.log(p)
-
-    if model.vocab_size**2 <= broadcast_rows:
-        lookup = F.broadcast(model.pairs.select(*on, "share"))
-        return (
-            positions.join(lookup, on, "left")
-            .join(base, "id")
-            .groupBy("_key")
-            .agg(F.avg(loss).alias("anomaly_score"))
-            .withColumnRenamed("_key", key)
-        )
-
-    ranked = model.pairs.orderBy(F.desc("n"), F.asc("prev_id"), F.asc("id"))
-    hot = F.broadcast(ranked.limit(broadcast_rows).select(*on, "share"))
-    cold = model.pairs.select(*on, "share").join(hot.select(*on), on, "left_anti")
-    # One pass over the texts: a request keeps the sum of what was found and the positions
-    # that were missed, which is never more than its own length.
-    miss = F.when(F.col("share").isNull(), F.struct("at", "prev_id", "id", "log_p"))
-    first = (
-        positions.join(hot, on, "left")
-        .join(base, "id")
-        .groupBy("_key")
-        .agg(
-            F.sum(F.when(F.col("share").isNotNull(), loss).otherwise(0.0)).alias("found"),
-            F.count(F.lit(1)).alias("n"),
-            F.collect_list(miss).alias("missed"),
-        )
-    )
-    salt = F.pmod(F.xxhash64("_key", "at"), F.lit(salts)).cast("int").alias("salt")
-    spread = cold.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    missing = F.col("id").isNotNull()
-    return (
-        first.select("_key", "found", "n", F.inline_outer(F.filter("missed", lambda m: m["id"].isNotNull())))
-        .select("*", salt)
-        .join(spread, [*on, "salt"], "left")
-        .groupBy("_key")
-        .agg(
-            (
-                (F.max("found") + F.coalesce(F.sum(F.when(missing, loss)), F.lit(0.0))) / F.max("n")
-            ).alias("anomaly_score")
-        )
-        .withColumnRenamed("_key", key)
-    )
+    vocab = vocabulary_rows(model.unigram, "token", "id", "log_p")
+    known, ids = vocab["token"].combine_chunks(), vocab["id"].to_numpy().astype(np.int64)
+    span = int(max(ids.max(initial=SEP), SEP)) + 1
+    alone = np.zeros(span)
+    alone[ids] = np.exp(vocab["log_p"].to_numpy())
+    blocks = max(1, -(-model.pairs.count() // pair_block))
+    weight = model.weight
+    keyed = df.select(F.col(key).alias("key"), _sequence(F.col(text), max_length).alias("sequence"))
+    keyed = stored(keyed, "sequences") if blocks > 1 else keyed
+
+    def losses(block: int) -> DataFrame:
+        mine = model.pairs.where(F.col("prev_id") % blocks == block).select("prev_id", "id", "share").toArrow()
+        pairs = mine["prev_id"].to_numpy().astype(np.int64) * span + mine["id"].to_numpy()
+        order = np.argsort(pairs)
+        # One more entry, which no pair equals, spares the lookup a bound.
+        pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        shares = np.append(mine["share"].to_numpy()[order], 0.0)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, before, here = _positions(batch, known, ids)
+                own = before % blocks == block
+                row, before, here = row[own], before[own], here[own]
+                pair = before * span + here
+                at = np.searchsorted(pairs, pair)
+                share = np.where(pairs[at] == pair, shares[at], 0.0)
+                loss = -np.log(weight * share + (1 - weight) * alone[here])
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch["key"], pa.array(np.bincount(row, loss, n)), pa.array(np.bincount(row, minlength=n))],
+                    names=["key", "loss", "n"],
+                )
+
+        return keyed.mapInArrow(run, f"key {dict(keyed.dtypes)['key']}, loss double, n bigint")
+
+    parts = reduce(DataFrame.unionByName, [losses(b) for b in range(blocks)])
+    return parts.groupBy("key").agg((F.sum("loss") / F.sum("n")).alias("anomaly_score")).withColumnRenamed("key", key)
 
 
 # --- decisions -------------------------------------------------------------------------

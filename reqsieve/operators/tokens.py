@@ -1,10 +1,16 @@
 """Tokens, vocabulary and fixed-length encodings.
 
-The vocabulary never exceeds ``vocab_size`` rows, so it is the side that is broadcast.
+A vocabulary has at most ``MAX_VOCAB`` rows, which is checked where one is taken to the tasks.
+Ids are looked up there, batch by batch, so no token is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +20,9 @@ from reqsieve.functions.text import is_blank, text_or_empty
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 SPECIALS = {"[PAD]": PAD, "[UNK]": UNK, "[CLS]": CLS, "[SEP]": SEP}
 
+# Rows of a vocabulary that a task may hold.
+MAX_VOCAB = 1_000_000
+
 # The thirty split characters. Each is a token of its own; blanks do not
 # split and stay inside their token.
 _MARKS = r"/?=&:#.;,\[\]{}()<>\-_'\"|`~!@^*+\\"
@@ -68,21 +77,37 @@ def build_vocab(df: DataFrame, text: str = "text", vocab_size: int = 10000) -> D
     return specials_table(df.sparkSession).unionByName(top)
 
 
+def vocabulary_rows(vocab: DataFrame, *columns: str) -> pa.Table:
+    """The columns of a vocabulary, checked to be small enough for every task."""
+    rows = vocab.select(*columns).limit(MAX_VOCAB + 1).toArrow()
+    if rows.num_rows > MAX_VOCAB:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCAB} rows")
+    return rows.combine_chunks()
+
+
+def ids_of_tokens(tokens: pa.Array, known: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """The id of each token, [UNK] for those that are not known."""
+    at = pc.fill_null(pc.index_in(tokens, value_set=known), -1).to_numpy(zero_copy_only=False)
+    return np.where(at < 0, UNK, ids[at]) if len(ids) else np.full(len(at), UNK)
+
+
 def token_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token_ids), unknown tokens as 1. ``key`` must be unique.
-
-    Only the key goes through the explode and regroup; a group is one request. The outer
-    explode keeps requests without tokens and, unlike the inner one, makes Spark infer no
-    filter that would tokenise every text twice.
-    """
-    exploded = df.select(F.col(key).alias("_key"), F.posexplode_outer(tokens).alias("at", "token"))
-    entry = F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id"))
-    return (
-        exploded.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), entry))).alias("_e"))
-        .select(F.col("_key").alias(key), F.col("_e.id").alias("token_ids"))
-    )
+    """(key, token_ids), unknown tokens as 1."""
+    rows = vocabulary_rows(vocab, "token", "id")
+    known, ids = rows["token"].combine_chunks(), rows["id"].to_numpy()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["tokens"]
+            found = ids_of_tokens(lists.flatten(), known, ids)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32()))], names=["key", "token_ids"]
+            )
+
+    keyed = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    return keyed.mapInArrow(run, f"key {dict(keyed.dtypes)['key']}, token_ids array<int>").withColumnRenamed("key", key)
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -125,16 +150,23 @@ def encode(
 
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
-    """(key, text): marks are glued on, two words get a blank between them."""
-    words = F.filter(F.col(ids), lambda i: ~i.isin(PAD, CLS, SEP))
-    exploded = df.select(F.col(key).alias("_key"), F.posexplode_outer(words).alias("at", "id"))
-    entry = F.struct("at", F.coalesce("token", F.lit("")).alias("token"))
-    return (
-        exploded.join(F.broadcast(vocab.select("id", "token")), "id", "left")
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), entry))).alias("_e"))
-        .select(F.col("_key").alias(key), _spaced(F.col("_e.token")).alias("text"))
-    )
+    """(key, text): marks are glued on, two words get a blank between them; an id that is not
+    known is an empty word."""
+    rows = vocabulary_rows(vocab, "id", "token")
+    known, tokens = rows["id"].combine_chunks(), rows["token"].combine_chunks()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["ids"]
+            words = pc.fill_null(tokens.take(pc.index_in(lists.flatten(), value_set=known)), "")
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(offsets, words)], names=["key", "words"])
+
+    kept = F.filter(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: ~i.isin(PAD, CLS, SEP))
+    keyed = df.select(F.col(key).alias("key"), kept.alias("ids"))
+    found = keyed.mapInArrow(run, f"key {dict(keyed.dtypes)['key']}, words array<string>")
+    return found.select(F.col("key").alias(key), _spaced(F.col("words")).alias("text"))
 
 
 def _spaced(words: Column) -> Column:

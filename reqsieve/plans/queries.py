@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from reqsieve.functions.text import join_pairs
 from reqsieve.operators import evaluate, history, normalize, parse, rate_audit, scoring, tokens
+from reqsieve.plans import prepare, views
 from reqsieve.plans import sql as q
-from reqsieve.plans import views
-from reqsieve.session import materialize, scratch_dir
-from reqsieve.sources import logs, sinks, vocab_io
-from reqsieve.streaming import jobs
+from reqsieve.session import materialize, scratch_dir, stored
+from reqsieve.sources import logs, model_store, sinks, vocab_io
+from reqsieve.sources.record_store import RecordStore
+from reqsieve.streaming import audit, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,28 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return texts_from(views.requests(spark, sf))
 
 
+def texts_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts, composed once, for queries that read them more than once."""
+    return stored(texts(spark, sf), "texts")
+
+
+_STORES: dict[tuple[str, str], RecordStore] = {}
+
+
+def detection_store(spark: SparkSession, sf: str) -> RecordStore:
+    """The detections as a record store, written once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = RecordStore(spark, scratch_dir(spark, "detections"), tie="id")
+        store.append(views.detections(spark, sf))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def utc_text(c: Column) -> Column:
+    return ts_text(F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz")))
+
+
 def ts_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -116,17 +139,14 @@ ORDER BY round(anomaly_score, 9) DESC, t.request_id LIMIT 100""",
 def top_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """Hundred least likely requests under a model of all requests.
 
-    The top is taken from (id, score) rows. Its hundred ids then pick the raw requests, so
-    in the second pass only those are parsed and composed.
+    The top is taken from (id, score) rows; its hundred ids then pick the texts.
     """
-    raw = views.requests(spark, sf)
-    rows = texts_from(raw)
+    rows = texts_once(spark, sf)
     model = scoring.fit_unigram(rows, vocab_size=VOCAB)
     scores = scoring.score_requests(rows, model, "request_id", THRESHOLD)
     top = scores.orderBy(F.desc(F.round("anomaly_score", 9)), F.asc("request_id")).limit(100)
     top = materialize(top)
-    chosen = texts_from(raw.join(F.broadcast(top.select("request_id")), "request_id", "left_semi"))
-    return chosen.join(F.broadcast(top), "request_id").select(
+    return rows.join(F.broadcast(top), "request_id").select(
         "request_id", "text", r6("anomaly_score").alias("anomaly_score"), "is_anomaly",
         r6("confidence").alias("confidence"),
     )
@@ -232,7 +252,7 @@ FROM short_ids""")
 @register("s6_scan_encoded", "SELECT input_ids, attention_mask FROM encoded")
 def s6_scan_encoded(spark, sf):
     path = scratch_dir(spark, "encoded")
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     enc = tokens.encode(rows, tokens.build_vocab(rows, vocab_size=VOCAB), "request_id", max_length=MAX_LENGTH)
     enc.select("input_ids", "attention_mask").write.json(path)
     back = logs.read_encoded_samples(spark, path)
@@ -262,17 +282,29 @@ def s9_vocab_roundtrip(spark, sf):
 
 @register(
     "s10_append_detection_log",
-    """
-SELECT request_id, path, round(anomaly_score, 6) AS anomaly_score, is_anomaly, NULL::BOOLEAN AS batch FROM detections
-UNION ALL SELECT request_id, path, round(anomaly_score, 6), is_anomaly, true FROM detections WHERE is_anomaly""",
+    f"""
+SELECT CAST(p.request_id AS VARCHAR) AS request_id, method, path, {q.join_pairs('params')} AS query_params,
+  CAST(0 AS INTEGER) AS n_headers, batch.b AS batch, CAST(1704067200 + p.request_id AS VARCHAR) || '.000000' AS ts,
+  CASE WHEN batch.b THEN false ELSE {_FLAG} END AS is_anomaly,
+  CASE WHEN batch.b THEN 0.0::DOUBLE ELSE round(anomaly_score, 6) END AS anomaly_score,
+  CASE WHEN batch.b THEN 0.0::DOUBLE ELSE round({_CONF}, 6) END AS confidence
+FROM parsed p JOIN s_scores s ON p.request_id = s.request_id, (VALUES (NULL::BOOLEAN), (true)) batch(b)""",
 )
 def s10_append_detection_log(spark, sf):
+    """Requests scored one by one, and as a batch without a model."""
     path = scratch_dir(spark, "detection-log")
-    rows = views.detections(spark, sf).select("request_id", "path", "anomaly_score", "is_anomaly")
-    sinks.append_detection_log(rows, path)
-    sinks.append_detection_log(rows.where("is_anomaly"), path, batch=True)
-    schema = "request_id string, path string, anomaly_score double, is_anomaly boolean, batch boolean"
-    return spark.read.schema(schema).json(path).withColumn("anomaly_score", r6("anomaly_score"))
+    rows = stored(normalize.with_training_text(parsed(spark, sf)), "request-rows")
+    fields = rows.drop("text").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("request_id")))
+    model = scoring.fit_unigram(rows, vocab_size=VOCAB)
+    for scorer, batch in ((model, False), (None, True)):
+        scores = scoring.score_requests(rows, scorer, "request_id", THRESHOLD)
+        sinks.append_detection_log(sinks.log_records(fields.join(scores, "request_id")), path, batch=batch)
+    back = spark.read.schema(sinks.DETECTION_LOG_SCHEMA + ", batch boolean").json(path)
+    pairs = F.transform(F.map_entries("query_params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return back.select(
+        "request_id", "method", "path", F.array_join(pairs, "&").alias("query_params"), F.size("headers").alias("n_headers"),
+        "batch", "ts", "is_anomaly", r6("anomaly_score").alias("anomaly_score"), r6("confidence").alias("confidence"),
+    )
 
 
 @register(
@@ -282,10 +314,8 @@ SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n, count(*) FILTER (is_anomal
   round(sum(anomaly_score), 4) AS total FROM detections GROUP BY 1""",
 )
 def s11_append_records(spark, sf):
-    path = scratch_dir(spark, "records")
-    sinks.append_records(views.detections(spark, sf), path)
     return (
-        spark.read.parquet(path)
+        detection_store(spark, sf).read()
         .groupBy(F.col("dt").cast("string").alias("dt"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -610,13 +640,13 @@ def t2_vocabulary(spark, sf):
 
 @register("t3_token_ids", "SELECT request_id, array_to_string(ids, ' ') AS token_ids FROM id_lists")
 def t3_token_ids(spark, sf):
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     ids = tokens.tokenize(rows, tokens.build_vocab(rows, vocab_size=VOCAB), "request_id")
     return ids.select("request_id", ints("token_ids").alias("token_ids"))
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     vocab = tokens.build_vocab(rows, vocab_size=VOCAB)
     return tokens.encode(rows, vocab, "request_id", max_length=MAX_LENGTH)
 
@@ -645,7 +675,7 @@ FROM (SELECT *, lag(mark) OVER (PARTITION BY request_id ORDER BY pos) AS lag_mar
     JOIN vocab v ON v.id = i.id) a) b GROUP BY request_id""",
 )
 def t6_decode(spark, sf):
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     vocab = materialize(tokens.build_vocab(rows, vocab_size=VOCAB))
     return tokens.decode(tokens.encode(rows, vocab, "request_id", max_length=MAX_LENGTH), vocab, "request_id")
 
@@ -678,7 +708,7 @@ FROM b_pos GROUP BY prev_id, id""")
     "SELECT prev_id, id, CAST(n AS BIGINT) AS n, round(share, 6) AS share FROM b_pairs",
 )
 def m1_fit_bigram(spark, sf):
-    model = scoring.fit_bigram(texts(spark, sf), vocab_size=BIGRAM_VOCAB)
+    model = scoring.fit_bigram(texts_once(spark, sf), vocab_size=BIGRAM_VOCAB)
     return model.pairs.withColumn("share", r6("share"))
 
 
@@ -687,7 +717,7 @@ def m1_fit_bigram(spark, sf):
     "SELECT request_id, round(anomaly_score, 6) AS anomaly_score FROM s_scores",
 )
 def m2_score_unigram(spark, sf):
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     scores = scoring.score_unigram(rows, scoring.fit_unigram(rows, vocab_size=VOCAB), "request_id")
     return scores.withColumn("anomaly_score", r6("anomaly_score"))
 
@@ -700,13 +730,13 @@ FROM b_pos p LEFT JOIN b_pairs b ON p.prev_id = b.prev_id AND p.id = b.id JOIN b
 GROUP BY request_id""",
 )
 def m2_score_bigram(spark, sf):
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     model = scoring.fit_bigram(rows, vocab_size=BIGRAM_VOCAB)
     return scoring.score_bigram(rows, model, "request_id").withColumn("anomaly_score", r6("anomaly_score"))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     return scoring.score_unigram(rows, scoring.fit_unigram(rows, vocab_size=VOCAB), "request_id")
 
 
@@ -738,7 +768,7 @@ SELECT request_id, round(anomaly_score, 6) AS anomaly_score, {_FLAG} AS is_anoma
   round({_CONF}, 6) AS confidence FROM s_scores""",
 )
 def m6_score_batch(spark, sf):
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     model = scoring.fit_unigram(rows, vocab_size=VOCAB)
     scored = scoring.score_requests(rows, model, "request_id", THRESHOLD)
     return scored.withColumns(
@@ -767,7 +797,7 @@ def m7_rethreshold(spark, sf):
 )
 def m8_score_cut_to_length(spark, sf):
     length = scoring.effective_length(512, MAX_LENGTH)
-    rows = texts(spark, sf)
+    rows = texts_once(spark, sf)
     model = scoring.fit_unigram(rows, vocab_size=VOCAB, max_length=length)
     scores = scoring.score_unigram(rows, model, "request_id", max_length=length)
     return scores.withColumn("anomaly_score", r6("anomaly_score"))
@@ -792,7 +822,7 @@ def m9_split(spark, sf):
 )
 def m10_held_out_loss(spark, sf):
     train, held = scoring.split_train_validation(
-        texts(spark, sf), "request_id", bucket=F.pmod("request_id", F.lit(10))
+        texts_once(spark, sf), "request_id", bucket=F.pmod("request_id", F.lit(10))
     )
     model = scoring.fit_unigram(train, vocab_size=VOCAB)
     return scoring.held_out_loss(held, model).withColumn("loss", r6("loss"))
@@ -814,7 +844,7 @@ GROUP BY token, id""",
 )
 def m11_merge_counts(spark, sf):
     old, new = scoring.split_train_validation(
-        texts(spark, sf), "request_id", bucket=F.pmod("request_id", F.lit(10))
+        texts_once(spark, sf), "request_id", bucket=F.pmod("request_id", F.lit(10))
     )
     counts = materialize(scoring.unigram_counts(old, vocab_size=VOCAB))
     return scoring.merge_counts(counts, new)
@@ -835,6 +865,42 @@ def m12_versions(spark, sf):
     return scoring.newest_versions(versions, keep=5)
 
 
+q.model_views("v1", "texts", ["texts"], "request_id % 10 < 4", VOCAB)
+for _n, (_old, _slice) in enumerate([("v1", "request_id % 10 BETWEEN 4 AND 7"), ("v2", "request_id % 10 > 7")], 2):
+    q.view(f"v{_n}_new", ["texts"], f"SELECT unnest(list_append({q.tokens('text')}, '[SEP]')) AS token FROM texts WHERE {_slice}")
+    q.view(f"v{_n}_counts", [f"{_old}_counts", f"v{_n}_new"], f"""
+SELECT token, id, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT token, id, n FROM {_old}_counts UNION ALL
+  SELECT coalesce(k.token, '[UNK]'), coalesce(k.id, 1), 1 FROM v{_n}_new d LEFT JOIN {_old}_counts k ON d.token = k.token)
+GROUP BY token, id""")
+q.view("v3_model", ["v3_counts"], """
+SELECT token, id, n, ln((n + 1.0::DOUBLE) / (sum(n) OVER () + 1.0::DOUBLE * count(*) OVER ())) AS log_p FROM v3_counts""")
+q.score_views("v3s", "v3", "texts", "request_id", ["texts"])
+
+
+@register(
+    "m12_model_store",
+    """
+SELECT request_id, round(anomaly_score, 6) AS anomaly_score, 3 AS model_version, '2 3' AS kept_versions,
+  (SELECT count(*) FROM texts) AS trained_on FROM v3s_scores""",
+)
+def m12_model_store(spark, sf):
+    """Fit on a slice, retrain on two more, keep two versions, score with the newest."""
+    path = scratch_dir(spark, "models")
+    rows = texts_once(spark, sf)
+    part = F.pmod("request_id", F.lit(10))
+    first = rows.where(part < 4)
+    model_store.save_model(scoring.fit_unigram(first, vocab_size=VOCAB), path, first.count())
+    for delta in (rows.where(part.between(4, 7)), rows.where(part > 7)):
+        model_store.retrain(spark, path, delta, keep=2)
+    kept = model_store.versions(spark, path)
+    numbers = F.array_join(F.array_sort(F.collect_list(F.col("version").cast("string"))), " ")
+    told = kept.agg(numbers.alias("kept_versions"), F.max("version").cast("int").alias("model_version"),
+                    F.max_by("trained_on", "version").alias("trained_on"))
+    scores = scoring.score_unigram(rows, model_store.load_model(spark, path), "request_id")
+    return scores.withColumn("anomaly_score", r6("anomaly_score")).crossJoin(F.broadcast(told))
+
+
 def _load_mark_share():
     return lambda texts: texts.str.count(r"[^A-Za-z0-9]") / texts.str.len().clip(lower=1)
 
@@ -855,7 +921,7 @@ def m13_custom_scorer(spark, sf):
 
 def _old_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records of all requests, scored by a model of the even ones."""
-    rows = normalize.with_training_text(parsed(spark, sf))
+    rows = stored(normalize.with_training_text(parsed(spark, sf)), "request-rows")
     even = rows.where(F.col("request_id") % 2 == 0)
     model = scoring.fit_unigram(even, vocab_size=VOCAB)
     scores = scoring.score_requests(rows.select("request_id", "text"), model, "request_id", THRESHOLD)
@@ -877,14 +943,16 @@ SELECT CAST(p.request_id AS VARCHAR) AS request_id, CAST(1704067200 + p.request_
   method, path, round(anomaly_score, 6) AS anomaly_score, {_FLAG} AS is_anomaly, CAST(1 AS INTEGER) AS model_version,
   CAST({THRESHOLD} AS DOUBLE) AS threshold, sha256('{SALT}c' || CAST(p.request_id AS VARCHAR)) AS client_ip_hash,
   'batch_request' AS notes,
+  strftime(make_timestamp((1704067200 + p.request_id * 60) * 1000000), '%Y-%m-%d %H:%M:%S.%f') AS ts,
+  strftime(make_timestamp((1704067200 + p.request_id * 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at,
   '{{"method":' || CAST(to_json(method) AS VARCHAR) || ',"path":' || CAST(to_json(path) AS VARCHAR) || ',"query_params":{{'
   || coalesce(array_to_string(list_transform(params, lambda x: CAST(to_json(x.k) AS VARCHAR) || ':' || CAST(to_json(x.v) AS VARCHAR)), ','), '')
   || '}},"headers":{{}},"body":' || CAST(to_json(body) AS VARCHAR) || '}}' AS normalized_request
 FROM parsed p JOIN old_scores o ON p.request_id = o.request_id""",
 )
 def d1_build_records(spark, sf):
-    return _old_records(spark, sf).drop("ts", "created_at").withColumn(
-        "anomaly_score", r6("anomaly_score")
+    return _old_records(spark, sf).withColumns(
+        {"anomaly_score": r6("anomaly_score"), "ts": utc_text(F.col("ts"))}
     )
 
 
@@ -897,7 +965,7 @@ WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-25 12:0
 )
 def d2_filter_history(spark, sf):
     rows = history.filter_history(
-        views.detections(spark, sf), "2024-01-05T00:00:00Z", 1706184000, True, 120, 400, "i"
+        detection_store(spark, sf).read(), "2024-01-05T00:00:00Z", 1706184000, True, 120, 400, "i"
     )
     return rows.select("id", ts_text(F.col("ts")).alias("ts"), "path", r6("anomaly_score").alias("anomaly_score"))
 
@@ -928,7 +996,7 @@ def d3_time_bounds(spark, sf):
 SELECT id, {q.text_ts('ts')} AS ts FROM detections ORDER BY detections.ts DESC, id DESC LIMIT 100 OFFSET 50""",
 )
 def d4_recent_page(spark, sf):
-    rows = history.page(views.detections(spark, sf), 100, 50)
+    rows = detection_store(spark, sf).page(100, 50)
     return rows.select("id", ts_text(F.col("ts")).alias("ts"))
 
 
@@ -954,9 +1022,7 @@ SELECT CAST(o.request_id AS VARCHAR) AS request_id, round(o.anomaly_score, 6) AS
 FROM old_scores o JOIN s_scores n ON o.request_id = n.request_id""",
 )
 def d6_replay(spark, sf):
-    store = scratch_dir(spark, "records")
-    sinks.append_records(_old_records(spark, sf), store)
-    records = spark.read.parquet(store)
+    records = stored(_old_records(spark, sf), "records")
     model = scoring.fit_unigram(texts(spark, sf), vocab_size=VOCAB)
     again = history.replay(records, model, 2, THRESHOLD, NOW)
     return history.compare_replay(records, again).select(
@@ -964,6 +1030,28 @@ def d6_replay(spark, sf):
     )
 
 
+@register(
+    "d6_replay_store",
+    f"""
+SELECT CAST(request_id AS VARCHAR) AS request_id, round(anomaly_score, 6) AS anomaly_score,
+  {_FLAG} AS is_anomaly, CAST(1 AS INTEGER) AS model_version, 'batch_request' AS notes FROM old_scores
+UNION ALL
+SELECT 'replay-' || CAST(request_id AS VARCHAR) || '-' || substr(sha256(CAST(request_id AS VARCHAR) || '|2|2024-02-01T00:00:00+00:00'), 1, 8),
+  round(anomaly_score, 6), {_FLAG}, 2, 'replay_of_' || CAST(request_id AS VARCHAR) FROM s_scores""",
+)
+def d6_replay_store(spark, sf):
+    """Replayed records are added to the store, once though the replay runs twice."""
+    store = RecordStore(spark, scratch_dir(spark, "records"))
+    store.append(_old_records(spark, sf))
+    model = scoring.fit_unigram(texts(spark, sf), vocab_size=VOCAB)
+    again = stored(history.replay(store.read(), model, 2, THRESHOLD, NOW), "replayed")
+    for _ in range(2):
+        store.merge(again)
+    return store.read().select(
+        "request_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "model_version", "notes"
+    )
+
+
 @register(
     "d7_stats",
     f"""
@@ -991,6 +1079,27 @@ def d8_retention(spark, sf):
     return history.retention_counts(views.detections(spark, sf), NOW, 14)
 
 
+@register(
+    "d8_cleanup",
+    f"""
+SELECT id, {q.text_ts('ts')} AS ts, round(anomaly_score, 6) AS anomaly_score,
+  (SELECT count(*) FROM detections WHERE ts < TIMESTAMP '2024-01-18 07:30:00') AS deleted
+FROM detections WHERE ts >= TIMESTAMP '2024-01-18 07:30:00'""",
+)
+def d8_cleanup(spark, sf):
+    """What stays of a store of its own after the records older than 14 days are removed."""
+    store = RecordStore(spark, scratch_dir(spark, "detections"), tie="id")
+    rows = views.detections(spark, sf)
+    store.append(rows.where(F.col("id") % 2 == 0))
+    store.append(rows.where(F.col("id") % 2 == 1))
+    store.compact(grace_seconds=0)
+    deleted = store.cleanup("2024-02-01T07:30:00Z", 14, grace_seconds=0)
+    return store.read().select(
+        "id", ts_text(F.col("ts")).alias("ts"), r6("anomaly_score").alias("anomaly_score"),
+        F.lit(deleted).cast("bigint").alias("deleted"),
+    )
+
+
 @register(
     "d9_counters",
     "SELECT count(*) AS requests, count(*) FILTER (is_anomaly) AS anomalies FROM detections",
@@ -1049,8 +1158,8 @@ SELECT id, {q.text_ts('ts')} AS ts, method, path, round(anomaly_score, 3) AS sco
 FROM (SELECT * FROM detections ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 50)""",
 )
 def d12_history_page(spark, sf):
-    rows = history.with_client_hash(views.detections(spark, sf), SALT)
-    shown = history.history_page(rows, 50, 50, high=150, medium=50)
+    rows = history.with_client_hash(detection_store(spark, sf).page(50, 50), SALT)
+    shown = history.shown_page(rows, 50, high=150, medium=50)
     return shown.withColumn("ts", ts_text(F.col("ts")))
 
 
@@ -1058,7 +1167,8 @@ def d12_history_page(spark, sf):
 
 
 def _labelled_scores(spark: SparkSession, sf: str, threshold: float) -> DataFrame:
-    rows = views.labelled(spark, sf)
+    # Joined once: fitted on, scored, and read for the labels.
+    rows = stored(views.labelled(spark, sf), "labelled")
     model = scoring.fit_unigram(rows.where(F.col("label") == evaluate.BENIGN), vocab_size=VOCAB)
     scored = scoring.score_requests(rows, model, "id", threshold)
     return rows.select("id", "label").join(scored, "id")
@@ -1089,11 +1199,11 @@ FROM lab_scores JOIN (SELECT id AS i, label FROM labelled) ON i = id""",
 )
 def e2_case_totals(spark, sf):
     scored = _labelled_scores(spark, sf, 6.0)
-    cases = views.labelled(spark, sf).select(
+    cases = scored.select(
         "id", F.concat(F.lit("case "), F.col("id").cast("string")).alias("name"),
         (F.col("label") == evaluate.ATTACK).alias("expected"),
     )
-    return evaluate.case_totals(evaluate.case_results(cases, scored, "id"))
+    return evaluate.case_totals(evaluate.case_results(cases, scored.drop("label"), "id"))
 
 
 _TERMS = ["alpha", "beta", "gamma"]
@@ -1182,17 +1292,96 @@ SELECT line_id FROM json_docs WHERE CASE WHEN doc IS NOT NULL THEN json_type(doc
   OR json_type(doc, '$.request') = 'VARCHAR' ELSE line NOT LIKE '{%' END""")
 
 
+_LIGHT = _light_sql("""
+SELECT line_id, CASE WHEN doc IS NOT NULL THEN
+    CASE WHEN json_type(doc, '$.request') IS NULL THEN 'GET /'
+         WHEN json_type(doc, '$.request') = 'VARCHAR' THEN json_extract_string(doc, '$.request') END
+  WHEN line LIKE '{%' THEN NULL
+  WHEN regexp_matches(line, '"[^"]*"') THEN regexp_extract(line, '"([^"]*)"', 1) ELSE 'GET /' END AS request
+FROM json_docs""").replace("FROM json_docs)", "FROM json_docs) WHERE request IS NOT NULL")
+q.view("light", ["json_docs"], _LIGHT.replace(f"{q.join_pairs('lp')} AS params", "lp"))
+
+
+def _masked_sql(params: str) -> str:
+    lowered = f"list_sort(list_transform({params}, lambda x, i: {{'k': lower(x.k), 'pos': i, 'v': x.v}}))"
+    return f"list_transform({lowered}, lambda x: {{'k': x.k, 'v': {q.mask_values('x.v')}}})"
+
+
+q.view("light_sorted", ["light"], f"SELECT *, {_masked_sql('lp')} AS sp FROM light")
+q.view("light_params", ["light_sorted"], f"SELECT *, {q.last_wins('sp')} AS np FROM light_sorted")
+q.view("light_texts", ["light_params"], f"""
+SELECT line_id, method || ' ' || {q.mask_path('path')}
+  || CASE WHEN len(lp) > 0 THEN '?' || {q.join_pairs('np')} ELSE '' END AS text FROM light_params""")
+q.model_views("li", "light_texts", ["light_texts"], "true", VOCAB)
+q.score_views("ls", "li", "light_texts", "line_id", ["light_texts"])
+q.view("line_clients", ["stripped", "json_raw"], f"""
+SELECT s.line_id, CASE WHEN line LIKE '{{%' THEN nullif(j.ip, '') ELSE {q.words('line')}[1] END AS client
+FROM stripped s LEFT JOIN json_raw j ON s.line_id = j.line_id""")
+
+
 @register(
     "w4_detect_stream",
-    "SELECT 'b0-' || CAST(line_id AS VARCHAR) AS request_id, CAST(1 AS INTEGER) AS model_version FROM light_lines",
+    f"""
+SELECT 'b0-' || CAST(l.line_id AS VARCHAR) AS request_id, method, path, round(anomaly_score, 6) AS anomaly_score,
+  anomaly_score > 5.0 AS is_anomaly, round(least(greatest((anomaly_score - 5.0) / 5.0, 0.0), 1.0), 6) AS confidence,
+  sha256('{SALT}' || client) AS client_ip_hash, CAST(1 AS INTEGER) AS model_version
+FROM light l JOIN ls_scores s ON l.line_id = s.line_id JOIN line_clients c ON c.line_id = l.line_id""",
 )
 def w4_detect_stream(spark, sf):
+    """Lines to records and log; the batch comes twice, as after a crash, and adds nothing."""
     out = scratch_dir(spark, "detected")
-    lines = views.log_lines_of(event_stream(spark, sf))
+    store, models = RecordStore(spark, out + "/store"), out + "/models"
     static = parse.light_requests_json_or_quoted(views.log_lines(spark, sf))
-    model = scoring.fit_unigram(normalize.with_training_text(static), vocab_size=VOCAB)
-    run_now(jobs.detect_stream(lines, model, 5.0, out, out + "-progress", interval_seconds=None))
-    return spark.read.parquet(out).select("request_id", "model_version")
+    model_store.save_model(scoring.fit_unigram(normalize.with_training_text(static), vocab_size=VOCAB), models)
+    for attempt in ("first", "second"):
+        lines = views.log_lines_of(event_stream(spark, sf))
+        run_now(jobs.detect_stream(
+            lines, models, 5.0, store, f"{out}/progress-{attempt}", log=out + "/log", salt=SALT, interval_seconds=None
+        ))
+    logged = spark.read.schema(sinks.DETECTION_LOG_SCHEMA).json(out + "/log").select("request_id", "confidence")
+    return store.read().join(logged, "request_id").select(
+        "request_id", "method", "path", r6("anomaly_score").alias("anomaly_score"), "is_anomaly",
+        r6("confidence").alias("confidence"), "client_ip_hash", "model_version",
+    )
+
+
+q.view("log_sorted", ["rows_params"], f"SELECT *, {_masked_sql('ps')} AS sp FROM rows_params")
+q.view("log_params", ["log_sorted"], f"SELECT *, {q.last_wins('sp')} AS np FROM log_sorted")
+q.view("log_texts", ["log_params"], f"""
+SELECT line_id, upper(method) || ' ' || {q.mask_path(q.decode('path'))}
+  || CASE WHEN len(ps) > 0 THEN '?' || {q.join_pairs('np')} ELSE '' END
+  || CASE WHEN body <> '' THEN ' BODY:' || {q.mask_values('body')} ELSE '' END AS text FROM log_params""")
+q.model_views("lg", "log_texts", ["log_texts"], "true", VOCAB)
+q.view("log_found", ["log_texts", "lg_top"], f"""
+SELECT t.line_id, list(coalesce(m.id, 1) ORDER BY t.pos) AS ids FROM
+  (SELECT line_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM
+    (SELECT line_id, ({q.tokens('text')})[1:62] AS toks FROM log_texts) a) t
+  LEFT JOIN (SELECT token, CAST(3 + row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS id FROM lg_top) m ON t.token = m.token
+GROUP BY t.line_id""")
+q.view("log_ids", ["log_texts", "log_found"], """
+SELECT t.line_id, coalesce(f.ids, []) AS ids FROM log_texts t LEFT JOIN log_found f ON t.line_id = f.line_id""")
+
+
+@register(
+    "a1_prepare_samples",
+    """
+SELECT part, array_to_string([2] || ids || [3] || list_transform(range(62 - len(ids)), lambda x: 0), ' ') AS input_ids,
+  array_to_string(list_transform(range(len(ids) + 2), lambda x: 1) || list_transform(range(62 - len(ids)), lambda x: 0), ' ') AS attention_mask
+FROM log_ids, (VALUES ('all'), ('delta')) p(part) WHERE part = 'all' OR line_id % 3 = 0""",
+)
+def a1_prepare_samples(spark, sf):
+    """Logs to encoded samples; every third line once more, as new traffic in the same vocabulary."""
+    out, new = scratch_dir(spark, "samples"), scratch_dir(spark, "new-lines")
+    prepare.prepare_samples(spark, log_files(spark, sf), f"{out}/all", VOCAB, 64)
+    views.log_lines(spark, sf).where("line_id % 3 = 0").select("value").write.text(new)
+    prepare.prepare_delta(spark, new, f"{out}/all/vocab", f"{out}/delta", 64)
+    back = [
+        logs.read_encoded_samples(spark, f"{out}/{part}/samples").select(
+            F.lit(part).alias("part"), ints("input_ids").alias("input_ids"), ints("attention_mask").alias("attention_mask")
+        )
+        for part in ("all", "delta")
+    ]
+    return back[0].unionByName(back[1])
 
 
 @register(
@@ -1227,9 +1416,15 @@ def w5_timed_batches(spark, sf):
 
 @register("d10_rate_audit_stream", _AUDIT_SQL)
 def d10_rate_audit_stream(spark, sf):
+    """What the stream gave out, and what it still holds behind the watermark."""
+    out = scratch_dir(spark, "audited")
     stream = event_stream(spark, sf).select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("client"),
         F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp").alias("ts"),
     )
-    audited = jobs.audit_stream(stream, limit=3, window_seconds=86_400)
-    return collected(spark, audited, "audited").select("id", "client", "accepted")
+    run_now(audit.audit_stream(
+        stream, out, out + "-progress", limit=3, window_seconds=86_400, lateness_seconds=3_600, interval_seconds=None
+    ))
+    given = audit.audited(spark, out, stream)
+    held = audit.held(spark, out, stream, limit=3, window_seconds=86_400)
+    return given.unionByName(held).select("id", "client", "accepted")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.operators.history import micros_of
 from reqsieve.operators.parse import LOG_FIELDS
-from reqsieve.sources.record_store import RecordStore
+from reqsieve.sources.record_store import RecordStore, with_day
 
 EVAL_FIELDS = ["ts", "label", "method", "path", "query", "anomaly_score", "is_anomaly"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reqsieve.operators import history, scoring
 from reqsieve.sources import sinks
+from reqsieve.sources.record_store import RecordStore
 
 
 def records(spark, n=40):
@@ -73,8 +74,9 @@ def test_days_are_utc_in_every_zone(spark, tmp_path, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        sinks.append_records(df, str(tmp_path / "store"))
-        stored = spark.read.parquet(str(tmp_path / "store"))
+        store = RecordStore(spark, str(tmp_path / "store"))
+        store.append(df)
+        stored = store.read()
         assert {str(r.dt) for r in stored.select("dt").distinct().collect()} == {"2024-01-04", "2024-01-05"}
         assert history.filter_history(stored, from_time="2024-01-05T00:00:00Z").count() == 24
         assert history.kept_records(stored, "2024-01-05T00:30:00Z", 0).count() == 23
@@ -119,7 +121,7 @@ def test_records_round_trip_and_replay(spark, tmp_path):
     built = history.build_records(rows, 3, 1.0, "salt", notes=history.BATCH_NOTE)
     assert built.columns == history.RECORD_FIELDS
     sinks.append_records(built, str(tmp_path / "store"))
-    stored = spark.read.parquet(str(tmp_path / "store"))
+    stored = RecordStore(spark, str(tmp_path / "store")).read()
     r = stored.where("request_id = 'a'").first()
     assert (r.model_version, r.threshold, r.notes, r.timestamp) == (3, 1.0, "batch_request", 1704067200.0)
     assert len(r.client_ip_hash) == 64 and str(r.dt) == "2024-01-01"
@@ -144,7 +146,7 @@ def test_records_round_trip_and_replay(spark, tmp_path):
 
 def test_filters_prune_days_and_reach_the_scan(spark, tmp_path):
     sinks.append_records(records(spark), str(tmp_path / "s"))
-    df = spark.read.parquet(str(tmp_path / "s"))
+    df = RecordStore(spark, str(tmp_path / "s")).read()
     out = history.filter_history(df, "2024-01-03T00:00:00Z", "2024-01-03T23:00:00Z", min_score=2)
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     plan = out._jdf.queryExecution().explainString(mode)

@@ -59,12 +59,12 @@ def bigram_score(texts, text, size, weight):
     return sum(loss) / len(loss)
 
 
-def test_bigram_scores_broadcast_and_shuffled(spark):
+def test_bigram_scores_in_any_number_of_blocks(spark):
     new = [*TEXTS[:6], "PUT /zzz", "GET GET /a", "? ? ?"]
     model = scoring.fit_bigram(frame(spark), vocab_size=9, weight=0.6)
     want = {i: bigram_score(TEXTS, t, 9, 0.6) for i, t in enumerate(new)}
-    for rows in (10**6, 3, 1):
-        got = scoring.score_bigram(frame(spark, new), model, "id", broadcast_rows=rows, salts=3)
+    for rows in (10**6, 9, 3):
+        got = scoring.score_bigram(frame(spark, new), model, "id", pair_block=rows)
         assert {r.id: r.anomaly_score for r in got.collect()} == pytest.approx(want)
 
 
