@@ -260,7 +260,7 @@ def score_bigram(
                 loss = -np.log(weight * share + (1 - weight) * alone[here])
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [batch["key"], pa.array(np.bincount(row, loss, n)), pa.array(np.bincount(row, minlength=n))],
+                    [batch["key"], pa.array(np.bincount(row, loss, n), pa.float64()), pa.array(np.bincount(row, minlength=n))],
                     names=["key", "loss", "n"],
                 )
 
