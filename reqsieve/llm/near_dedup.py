@@ -272,7 +272,7 @@ def _links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Signed rows, and for each node its class: the first row of it, its size, its links."""
+    """Signed rows, and for each node its class: the first row of it and its size."""
     rows = stored(signed(docs), "near-signatures")
     first = "struct(doc_id IS NULL AS last, doc_id, body)"
     nodes = stored(
@@ -283,26 +283,24 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         "near-nodes",
     )
     links = _links(docs, nodes, similarity)
-    degree = links.selectExpr("explode(array(a, b)) AS node").groupBy("node").agg(F.count("*").alias("n_links"))
     grouped = stored(
-        nodes.drop("bands", "n_runs").join(components(links), "node", "left").join(degree, "node", "left")
-        .selectExpr("node", "first", "copies", "coalesce(root, node) AS root", "coalesce(n_links, 0L) AS n_links"),
+        nodes.drop("bands", "n_runs").join(components(links), "node", "left")
+        .selectExpr("node", "first", "copies", "coalesce(root, node) AS root"),
         "near-classes",
     )
     classes = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
-    return rows, grouped.join(classes, "root").select("node", "keep", "class_size", "n_links")
+    return rows, grouped.join(classes, "root").select("node", "keep", "class_size")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the doc_id that stands for its class), class_size, n_links per row.
+    """doc_id, class_id (the doc_id that stands for its class), class_size per row.
 
-    Documents are in one class if links lead from one to the other; ``n_links`` counts the
-    different texts a document was found similar to.
+    Documents are in one class if links lead from one to the other.
     """
     rows, classes = _classes(docs.select("doc_id", "text"), similarity)
     return rows.select("doc_id", "node").join(classes, "node", "left").selectExpr(
         "doc_id", "CASE WHEN node IS NULL THEN doc_id ELSE keep.doc_id END AS class_id",
-        "coalesce(class_size, 1L) AS class_size", "coalesce(n_links, 0L) AS n_links",
+        "coalesce(class_size, 1L) AS class_size",
     )
 
 

@@ -5,8 +5,10 @@ rule; a logistic regression with lasso penalty weighs the rules and drops most o
 left is compiled into one Spark column expression. Scoring is thus a narrow projection without
 Python.
 
-The forest and the weights are fitted on at most ``MAX_TRAIN`` labelled rows, chosen by a hash
-of doc_id; this bound also covers the broadcast that picks their texts. Rows with
+The statistics of the labelled rows are a Spark job. Forest and weights are fitted on those of at
+most ``MAX_TRAIN`` rows, chosen by a hash of doc_id; ten numbers each reach the driver, and the
+bound also covers the broadcast that picks their texts. Fitting takes the rows in an order of
+their own, so that the same rows give the same model however they are partitioned. Rows with
 crc32(doc_id) mod 5 = 0 are held out and never learnt from. Only the text is an input.
 
 Defined results: null and empty texts are scored like any other (all statistics are 0); a row
@@ -18,22 +20,24 @@ all columns, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import named, numbered, stored
+from reqsieve.llm.common import named, numbered
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
 TREES = 12
 DEPTH = 3
 PENALTY = 0.002
-ITERATIONS = 60
+ITERATIONS = 400
+# Rows and features that a tree and a node look at, thresholds tried, and rows a leaf has at least.
+ROW_SHARE, FEATURE_SHARE, CUTS, LEAF = 0.7, 1 / 3, 32, 5
 
 HELD_OUT = "coalesce(crc32(CAST(doc_id AS STRING)) % 5 = 0, false)"
 
@@ -77,24 +81,77 @@ def with_statistics(docs: DataFrame, name: str = "stats", text: str = "text") ->
     return docs.select("*", F.expr(f"explode(transform(array({parts}), p -> struct({fields})))").alias(name))
 
 
-def paths(tree_text: str) -> set[str]:
-    """Every node of a forest's printed trees as a conjunction over the statistics."""
-    names, found = list(STATISTICS), set()
-    stack: list[str] = []
-    for line in tree_text.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (-?[\d.eE+-]+)\)", line)
-        if not m:
-            if line.lstrip().startswith("Tree "):
-                stack, base = [], None
-            continue
-        if not stack and base is None:
-            base = len(m[1])
-        depth = len(m[1]) - base
-        stack = [*stack[:depth], f"{{{names[int(m[2])]}}} {m[3]} {float(m[4])!r}D"]
-        found.add(" AND ".join(sorted(set(stack))))
+# A rule: (statistic, whether it must be at most the threshold or above it, threshold), sorted.
+Rule = tuple[tuple[int, bool, float], ...]
+
+
+def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray) -> tuple[int, float] | None:
+    """The cut that leaves the least impurity, None where none lessens it."""
+    best, found = 2 * y.mean() * (1 - y.mean()) - 1e-9, None
+    for f in features.tolist():
+        column = x[:, f]
+        for cut in np.unique(np.quantile(column, np.linspace(0, 1, CUTS + 1)[1:-1], method="lower")).tolist():
+            low = column <= cut
+            n = int(low.sum())
+            if LEAF <= n <= len(y) - LEAF:
+                a, b = y[low].mean(), y[~low].mean()
+                left = (n * 2 * a * (1 - a) + (len(y) - n) * 2 * b * (1 - b)) / len(y)
+                if left < best:
+                    best, found = left, (f, cut)
     return found
 
 
+def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, path: Rule, depth: int) -> set[Rule]:
+    """The path to every node of a tree below its root."""
+    n = max(1, round(x.shape[1] * FEATURE_SHARE))
+    cut = _split(x, y, rng.choice(x.shape[1], n, replace=False)) if depth and len(y) >= 2 * LEAF else None
+    if cut is None:
+        return set()
+    found = set()
+    for at_most in (True, False):
+        here = tuple(sorted({*path, (cut[0], at_most, cut[1])}))
+        rows = (x[:, cut[0]] <= cut[1]) == at_most
+        found |= {here} | _paths(x[rows], y[rows], rng, here, depth - 1)
+    return found
+
+
+def rules_of(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> list[Rule]:
+    """The paths of a forest as conjunctions over the columns of ``x``."""
+    rng, found = np.random.default_rng(seed), set()
+    for _ in range(trees):
+        rows = rng.choice(len(y), max(1, round(len(y) * ROW_SHARE)), replace=False)
+        found |= _paths(x[rows], y[rows], rng, (), depth)
+    return sorted(found)
+
+
+def fires(rule: Rule, x: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([(x[:, f] <= cut) == at_most for f, at_most, cut in rule])
+
+
+def condition(rule: Rule) -> str:
+    """A rule as SQL, statistics in braces."""
+    names = list(STATISTICS)
+    return " AND ".join(f"{{{names[f]}}} {'<=' if at_most else '>'} {cut!r}D" for f, at_most, cut in rule)
+
+
+def lasso(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = ITERATIONS) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a logistic regression with an absolute penalty on the weights,
+    by accelerated proximal gradient steps."""
+    z = np.column_stack([np.ones(len(y)), z])
+    step = 4 * len(y) / max(np.linalg.norm(z, 2) ** 2, 1e-12)
+    w = v = np.zeros(z.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
+        moved = v - step * (z.T @ (p - y)) / len(y)
+        shrunk = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        shrunk[0] = moved[0]
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        v = shrunk + (t - 1) / after * (shrunk - w)
+        w, t = shrunk, after
+    return float(w[0]), w[1:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> RuleModel:
     known = (
         labels.selectExpr("doc_id AS id", "CAST(quality AS DOUBLE) AS label")
@@ -104,31 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> RuleM
     n = known.count()
     sample = known.where(f"pmod(xxhash64(id), 1000000) < {min(1.0, max_train / max(n, 1)) * 0.95 * 1e6 if n > max_train else 1e6}")
     texts = docs.selectExpr("doc_id AS id", "text").join(F.broadcast(sample), "id")
-    rows = stored(with_statistics(texts).select("label", "stats.*"), "quality-statistics")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    good, all_rows = counts.get(1.0, 0), sum(counts.values())
-    if len(counts) < 2:
-        share = (good + 1) / (all_rows + 2)
-        return RuleModel(-_logit(1 - share), ())
-    features = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(rows)
-    forest = RandomForestClassifier(
-        numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.7, featureSubsetStrategy="onethird"
-    ).fit(features)
-    rules = sorted(paths(forest.toDebugString))
-    columns = [f"CAST({re.sub(r'[{}]', '', r)} AS DOUBLE) AS r{i}" for i, r in enumerate(rules)]
-    fired = stored(rows.selectExpr("label", *columns), "quality-rules")
-    assembled = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(fired)
-    lasso = LogisticRegression(
-        elasticNetParam=1.0, regParam=PENALTY, maxIter=ITERATIONS, standardization=False
-    ).fit(assembled.select("label", "features"))
-    weights = zip(rules, lasso.coefficients.toArray().tolist())
-    return RuleModel(float(lasso.intercept), tuple((r, w) for r, w in weights if w))
-
-
-def _logit(p: float) -> float:
-    import math
-
-    return math.log(p / (1 - p))
+    rows = with_statistics(texts).select("label", "stats.*").toArrow()
+    table = np.column_stack([rows[c].to_numpy() for c in rows.column_names]) if rows.num_rows else np.zeros((0, 1 + len(STATISTICS)))
+    table = table[np.lexsort(table.T[::-1])]
+    y, x = table[:, 0], table[:, 1:]
+    if len(np.unique(y)) < 2:
+        share = (y.sum() + 1) / (len(y) + 2)
+        return RuleModel(math.log(share / (1 - share)), ())
+    rules = rules_of(x, y)
+    intercept, weights = lasso(np.column_stack([fires(r, x) for r in rules]).astype(float), y)
+    return RuleModel(intercept, tuple((condition(r), float(w)) for r, w in zip(rules, weights) if w))
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -319,6 +319,28 @@ def test_quality(spark, mixed, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_rules_against_brute_force(spark, sf_dir):
+    """The compiled score equals the rules walked one by one, and is right on held-out rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(7), labels.repartition(3))
+    assert model == again and 1 < len(model.rules) < 200
+    stats = quality.with_statistics(docs).select("doc_id", "stats.*").collect()
+    scored = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert len(scored) == len(stats) == docs.count()
+    for r in stats:
+        total = model.intercept
+        for rule, weight in model.rules:
+            parts = [p.split(" ") for p in rule.split(" AND ")]
+            if all((r[n.strip("{}")] <= float(c[:-1])) == (op == "<=") for n, op, c in parts):
+                total += weight
+        assert scored[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)))
+        assert scored[r.doc_id].predicted == (scored[r.doc_id].score >= 0.3)
+    held = [(scored[r.doc_id].predicted, r.quality) for r in labels.collect() if r.doc_id in scored and scored[r.doc_id].held_out]
+    assert len(held) > 40 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def brute_classes(rows):
     sets = []
     for _, text, _ in rows:
