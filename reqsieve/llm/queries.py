@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reqsieve.llm import (
     chunk_reuse,
@@ -19,7 +20,7 @@ from reqsieve.llm import (
     token_files,
     warc,
 )
-from reqsieve.llm.common import table
+from reqsieve.llm.common import stored, table
 from reqsieve.session import scratch_dir
 
 QUERIES: dict = {}
@@ -92,15 +93,21 @@ WINDOW best AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id NULLS LAST)"""
 def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, keep_payload=False))
-    return captures.selectExpr(
-        "CAST(metadata.fields['page-id'] AS BIGINT) AS page_id",
-        "coalesce(response.payload_bytes, CAST(response.content_length AS BIGINT)) AS payload_bytes",
-        "response.payload_digest AS payload_digest",
-        "response.type AS record_type",
-        "CAST(metadata.fields['refers-to-page'] AS BIGINT) AS refers_to",
-        "explode(array_repeat(0, CAST(records AS INT))) AS nth",
-    ).drop("nth")
+    captures = stored(warc.assemble(warc.read_records(spark, path, keep_payload=False)), "captures")
+    page = "CAST(get(metadata, 0).fields['page-id'] AS BIGINT)"
+    # A revisit names the record it refers to; that record's capture knows its page.
+    originals = captures.selectExpr("capture_id AS original", f"{page} AS refers_to")
+    return (
+        captures.where("response IS NOT NULL").join(originals, F.expr("response.refers_to = original"), "left")
+        .selectExpr(
+            f"{page} AS page_id",
+            "coalesce(response.payload_bytes, CAST(response.content_length AS BIGINT)) AS payload_bytes",
+            "response.payload_digest AS payload_digest",
+            "response.type AS record_type",
+            "refers_to",
+            "explode(array_repeat(0, CAST(records AS INT))) AS nth",
+        ).drop("nth")
+    )
 
 
 ORACLES["op10_warc_captures"] = """

@@ -37,7 +37,7 @@ from reqsieve.llm.encoders import encoder, id_width, tokenizer_path
 END_ID = 1
 MAX_BITS = 18
 BLOCK = 256
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 # Rows of a batch tokenised at once.
 SLICE = 256
 

@@ -1,7 +1,9 @@
 """WARC archives: write captures as records, read them back, and join them into captures.
 
-A capture is three records: a request and a metadata record name the response (or revisit)
-record in ``WARC-Concurrent-To``. Records are built as text in the JVM and written by Spark's
+A capture is a response (or revisit) record with the records concurrent to it. A record may name
+several others in ``WARC-Concurrent-To``, from either side, and a metadata record may name the
+request instead; it then belongs to the request's captures. The archives written here have three
+records a capture, the request and the metadata record naming the response. Records are built as text in the JVM and written by Spark's
 text writer, gzip-compressed, with the empty lines that end a record as line separator; so a
 lost task is simply written again. Reading goes by Content-Length, never by separators, one
 record at a time.
@@ -131,14 +133,14 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
 
 _RECORD = pa.schema(
     [
-        ("file", pa.string()), ("type", pa.string()), ("id", pa.string()), ("concurrent_to", pa.string()),
+        ("file", pa.string()), ("type", pa.string()), ("id", pa.string()), ("concurrent_to", pa.list_(pa.string())),
         ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("declared_digest", pa.string()),
         ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
         ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
     ]
 )
 RECORD_TYPE = (
-    "file string, type string, id string, concurrent_to string, refers_to string, uri string, date string, "
+    "file string, type string, id string, concurrent_to array<string>, refers_to string, uri string, date string, "
     "declared_digest string, payload_digest string, payload_bytes bigint, fields map<string,string>, payload binary"
 )
 
@@ -147,7 +149,9 @@ def _headers(stream) -> dict[str, str]:
     out = {}
     while line := stream.readline().rstrip(b"\r\n"):
         name, _, value = line.partition(b":")
-        out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        key, text = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+        # The one header that may be repeated; ids have no blanks.
+        out[key] = f"{out[key]} {text}" if key == "warc-concurrent-to" and key in out else text
     return out
 
 
@@ -179,7 +183,7 @@ def record_row(headers: dict[str, str], block: bytes, keep_payload: bool) -> dic
         fields = _headers(io.BytesIO(block + b"\r\n"))
     found = kind == "response"
     return {
-        "type": kind, "id": headers.get("warc-record-id"), "concurrent_to": headers.get("warc-concurrent-to"),
+        "type": kind, "id": headers.get("warc-record-id"), "concurrent_to": headers.get("warc-concurrent-to", "").split(),
         "refers_to": headers.get("warc-refers-to"), "uri": headers.get("warc-target-uri"),
         "date": headers.get("warc-date"), "declared_digest": declared,
         "payload_digest": hashlib.sha256(payload).hexdigest() if found else declared,
@@ -209,28 +213,50 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
     return files.select("path", "content").mapInArrow(parse, RECORD_TYPE)
 
 
+def _captures_of(records: DataFrame) -> DataFrame:
+    """(id, capture_id) of the records that are concurrent to a response or revisit, at first
+    hand or through a record that is."""
+    main = records.where(_MAIN).select("id").distinct()
+    named = records.selectExpr("id", "explode(concurrent_to) AS target")
+    links = named.unionByName(named.selectExpr("target AS id", "id AS target")).distinct()
+    first = links.join(main.selectExpr("id AS target"), "target").selectExpr("id", "target AS capture_id")
+    first = first.join(main, "id", "left_anti")
+    through = links.join(first.selectExpr("id AS target", "capture_id"), "target").select("id", "capture_id")
+    # What has captures of its own does not take those of others.
+    second = through.join(first.select("id").distinct(), "id", "left_anti").join(main, "id", "left_anti")
+    return first.unionByName(second).distinct()
+
+
+_MAIN = "type IN ('response', 'revisit')"
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its records joined through their concurrent-to ids.
 
-    Requests and metadata meet the response or revisit that they name in one shuffle; an id
-    has three records, so no group is large. A capture without request or metadata has null
-    there; one without response or revisit has null in ``response``.
+    ``requests`` and ``metadata`` hold all such records of a capture by id, since there may be
+    several; ``response`` is the response or revisit, which names the capture, and null for
+    records that no response goes with. ``records`` counts the responses and revisits of the id,
+    more than one where the archives repeat it. An id has few records, so no group is large. The
+    others than responses are small: they meet their captures in joins of ids, and payloads are
+    shuffled once.
     """
-    main = "type IN ('response', 'revisit')"
-
-    def part(where: str, *cols: str):
-        return F.expr(f"max_by(struct({', '.join(cols)}), file) FILTER (WHERE {where})")
-
-    return (
-        records.withColumn("capture_id", F.expr(f"CASE WHEN {main} THEN id ELSE coalesce(concurrent_to, id) END"))
-        .groupBy("capture_id")
-        .agg(
-            part(
-                main, "type", "uri", "date", "refers_to", "declared_digest", "payload_digest", "payload_bytes",
-                "fields['content-length'] AS content_length", "payload",
-            ).alias("response"),
-            part("type = 'request'", "id", "uri", "fields").alias("request"),
-            part("type = 'metadata'", "id", "fields").alias("metadata"),
-            F.expr(f"count(*) FILTER (WHERE {main})").alias("records"),
-        )
+    slim = stored(records.drop("payload"), "warc-records")
+    others = slim.where(f"NOT coalesce({_MAIN}, false)").join(_captures_of(slim), "id", "left")
+    placed = others.withColumn("capture_id", F.expr("coalesce(capture_id, array_min(concurrent_to), id)"))
+    rows = (
+        records.where(_MAIN).withColumn("capture_id", F.col("id"))
+        .unionByName(placed.withColumn("payload", F.lit(None).cast("binary")))
     )
+    response = (
+        "struct(type, uri, date, refers_to, declared_digest, payload_digest, payload_bytes, "
+        "fields['content-length'] AS content_length, payload)"
+    )
+    listed = "array_sort(collect_list(struct(id, uri, map_entries(fields) AS fields)) FILTER (WHERE type = '{}'))"
+    back = "transform({}, x -> struct(x.id AS id, x.uri AS uri, map_from_entries(x.fields) AS fields))"
+    grouped = rows.groupBy("capture_id").agg(
+        F.expr(f"max_by({response}, file) FILTER (WHERE {_MAIN})").alias("response"),
+        F.expr(listed.format("request")).alias("requests"),
+        F.expr(listed.format("metadata")).alias("metadata"),
+        F.expr(f"count(*) FILTER (WHERE {_MAIN})").alias("records"),
+    )
+    return grouped.withColumns({c: F.expr(back.format(c)) for c in ("requests", "metadata")})

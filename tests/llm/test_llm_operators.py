@@ -475,16 +475,47 @@ def test_warc(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "w"), records_per_file=7)
     records = warc.read_records(spark, str(tmp_path / "w"))
     captures = warc.assemble(records).collect()
-    by_page = {c.metadata["fields"].get("page-id"): c for c in captures}
+    by_page = {c.metadata[0]["fields"].get("page-id"): c for c in captures}
     assert sum(c.records for c in captures) == 10
     assert by_page["1"].response.type == "response" and bytes(by_page["1"].response.payload).decode() == big
-    assert by_page["3"].response.type == "revisit" and by_page["3"].metadata["fields"]["refers-to-page"] == "1"
+    assert by_page["3"].response.type == "revisit" and by_page["3"].metadata[0]["fields"]["refers-to-page"] == "1"
     assert by_page["3"].response.declared_digest == hashlib.sha256(big.encode()).hexdigest()
     assert int(by_page["3"].response.content_length) == len(big.encode())
     assert by_page["2"].response.payload_bytes == 0 and by_page["2"].response.uri is None
     assert by_page["4"].records == 2 and by_page["5"].response.type == by_page["6"].response.type == "response"
     assert by_page[None].response.type == "revisit"
     assert bytes(by_page["8"].response.payload).decode() == rows[-1][2]
-    assert all(c.request.id and c.response.payload_digest for c in captures)
+    assert by_page["3"].response.refers_to == by_page["1"].capture_id
+    assert all(c.requests[0].id and c.response.payload_digest for c in captures)
     warc.write_archives(pages.where("false"), str(tmp_path / "e"))
     assert warc.read_records(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_links(spark):
+    """Several links of a record, links from the other side or through the request, and orphans."""
+    def record(kind, id_, *to, **fields):
+        return ("f", kind, id_, list(to), None, None, None, None, None, None, fields, None)
+
+    rows = [
+        record("response", "r1"), record("revisit", "r2", "q2"), record("response", "r3"),
+        record("request", "q1", "r1", "r3"), record("request", "q2"), record("metadata", "m1", "q1"),
+        record("metadata", "m2", "r2", **{"page-id": "2"}), record("metadata", "m3", "r3"),
+        record("request", "q9", "gone"), record("metadata", "m9", "gone"), record("metadata", "m8"),
+        record("response", "r4"), record("response", "r4"),
+    ]
+    captures = warc.assemble(spark.createDataFrame(rows, warc.RECORD_TYPE).repartition(3)).collect()
+    got = {
+        c.capture_id: (c.response.type if c.response else None, [x.id for x in c.requests], [x.id for x in c.metadata], c.records)
+        for c in captures
+    }
+    assert got == {
+        "r1": ("response", ["q1"], ["m1"], 1), "r2": ("revisit", ["q2"], ["m2"], 1), "r3": ("response", ["q1"], ["m1", "m3"], 1),
+        "gone": (None, ["q9"], ["m9"], 0), "m8": (None, [], ["m8"], 0), "r4": ("response", [], [], 2),
+    }
+
+
+def test_repeated_headers_are_all_read():
+    block = b"x"
+    head = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Concurrent-To: <urn:a>\r\nWARC-Concurrent-To: <urn:b>\r\nContent-Length: 1\r\n\r\n"
+    ((headers, body),) = warc.parse_archive(head + block + b"\r\n\r\n")
+    assert warc.record_row(headers, body, False)["concurrent_to"] == ["<urn:a>", "<urn:b>"]
