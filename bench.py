@@ -36,10 +36,12 @@ HEADLINE = [
     "m2_score_bigram",
     "m6_score_batch",
     "m11_merge_counts",
+    "m12_model_store",
     "d1_build_records",
     "d2_filter_history",
     "d4_recent_page",
     "d6_replay",
+    "d8_cleanup",
     "d7_stats",
     "d10_rate_audit",
     "d10_rate_bound",

@@ -128,8 +128,12 @@ class RecordStore:
         is not above the last one committed under the name adds nothing, and False comes back.
         """
         df = df.drop("dt")
-        if self._seen(self._manifest(), batch):
+        manifest = self._manifest()
+        if self._seen(manifest, batch):
             return False
+        fields = lambda schema: [(f["name"], f["type"]) for f in schema["fields"]]
+        if manifest and fields(manifest["schema"]) != fields(df.schema.jsonValue()):
+            raise ValueError("records need the columns that the store has")
         writes = self._write(df)
         added = False
 
@@ -142,11 +146,6 @@ class RecordStore:
             streams = {**old["streams"], **({batch[0]: batch[1]} if batch else {})}
             return {**old, "writes": [*old["writes"], *writes], "streams": streams}
 
-        columns = (self._manifest() or {}).get("schema")
-        if columns and [(f["name"], f["type"]) for f in columns["fields"]] != [
-            (f["name"], f["type"]) for f in df.schema.jsonValue()["fields"]
-        ]:
-            raise ValueError("records need the columns that the store has")
         commits.change(self.spark, self._commits, update)
         commits.trim(self.spark, self._commits)
         return added
@@ -157,7 +156,8 @@ class RecordStore:
 
     def merge(self, df: DataFrame) -> bool:
         """Add the records whose id is not stored yet, each id once, so that a repeated call
-        adds nothing. Only the days that ``df`` has are looked at for ids."""
+        adds nothing. Only the days that ``df`` has are looked at for ids. Of two calls side by
+        side neither sees the other's records."""
         days = [r.dt for r in with_day(df, self.ts).select(F.col("dt").cast("string").alias("dt")).distinct().collect()]
         once = df.dropDuplicates([self.tie])
         if self._manifest() is not None:
