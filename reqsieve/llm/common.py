@@ -65,6 +65,25 @@ def named(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select([F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
 
 
+# Keys that may be broadcast as heavy.
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row a key and in ``n`` how many rows have it.
+
+    Keys of more than one in ``HEAVY`` of the ``total`` rows are at most ``HEAVY``; their side is
+    broadcast and their rows stay where they are, so no task gets all rows of one key.
+    """
+    heavy = f"n > {max(1, -(-total // HEAVY))}"
+    names = [c for c in per_key.columns if c not in (key, "n")]
+    at_hand = per_key.where(heavy).selectExpr(key, "true AS at_hand", *[f"{c} AS heavy_{c}" for c in names])
+    tagged = rows.join(F.broadcast(at_hand), key, "left")
+    light = tagged.where("at_hand IS NULL").select(rows.columns).join(per_key.where(f"NOT ({heavy})").drop("n"), key)
+    near = tagged.where("at_hand").selectExpr(*rows.columns, *[f"heavy_{c} AS {c}" for c in names])
+    return near.unionByName(light)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a text as UTF-8."""
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()

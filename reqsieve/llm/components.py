@@ -5,30 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import discard, stored
-
-# Nodes whose minima may be broadcast.
-HEAVY = 1000
+from reqsieve.llm.common import discard, spread_join, stored
 
 
 def _starred(edges: DataFrame, large: bool, n_links: int) -> DataFrame:
     """Link the neighbours of each node (those above it, or those below and itself) to the
     least of its neighbours and itself.
 
-    Minima are aggregated before they are joined back. Links of a node that has more than one in
-        ``HEAVY`` of them stay where they are: there are at most a few times ``HEAVY`` such nodes, as
-    a step adds at most one link a node, so their minima are broadcast, and no task gets all links
-    of one node."""
+    Minima are aggregated before they are joined back, and links of a node with very many stay
+    where they are. A step adds at most one link a node."""
     if large:
         near = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
     else:
         near = edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
     near = near.select("a", "b")
     least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) AS m", "n")
-    heavy = f"n > {max(1, -(-n_links * (2 if large else 1) // HEAVY))}"
-    tagged = near.join(F.broadcast(least.where(heavy).selectExpr("a", "m AS at_hand")), "a", "left")
-    light = tagged.where("at_hand IS NULL").select("a", "b").join(least.where(f"NOT ({heavy})").select("a", "m"), "a")
-    linked = tagged.where("at_hand IS NOT NULL").selectExpr("a", "b", "at_hand AS m").unionByName(light)
+    linked = spread_join(near, least, "a", n_links * (2 if large else 1))
     if large:
         out = linked.where("b > a").selectExpr("b AS a", "m AS b")
     else:

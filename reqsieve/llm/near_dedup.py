@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import WORD_BYTES, named, numbered, stored
+from reqsieve.llm.common import WORD_BYTES, named, numbered, spread_join, stored
 from reqsieve.llm.components import components
 
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 # Bytes of text whose runs are hashed at once; runs of partners that meet a hub in one group.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 GROUP_RUNS = 200_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
@@ -189,8 +189,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, extras: bool =
     wanted = pairs.selectExpr("explode(array(a, b)) AS node").distinct().join(nodes, "node")
     wanted = stored(wanted.select("node", "first.doc_id", "first.body"), "near-candidates")
     sets = stored(_run_sets(docs, wanted), "near-sets")
-    weight = pairs.groupBy("a").agg(F.expr(f"1 + sum(b_runs) div {GROUP_RUNS} AS chunks"))
-    dealt = pairs.join(weight, "a").selectExpr("a", "b", "pmod(xxhash64(b), chunks) AS chunk")
+    weight = pairs.groupBy("a").agg(F.expr(f"1 + sum(b_runs) div {GROUP_RUNS} AS chunks"), F.count("*").alias("n"))
+    dealt = spread_join(pairs, weight, "a", pairs.count()).selectExpr("a", "b", "pmod(xxhash64(b), chunks) AS chunk")
     partners = dealt.join(sets, F.expr("b = node")).select("a", "chunk", "b", "runs")
     hubs = (
         dealt.select("a", "chunk").distinct().join(sets, F.expr("a = node"))
