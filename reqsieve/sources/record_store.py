@@ -29,6 +29,8 @@ from reqsieve.sources import commits
 
 # Seconds that folders taken out of the manifest stay for running readers.
 GRACE_SECONDS = 3600
+# Rows of the first days that a task may keep to find a page.
+TOP_ROWS = 10_000
 
 
 def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -102,7 +104,11 @@ class RecordStore:
             held += 0 if after is not None and i == 0 and day is not None else n
             if held >= offset + limit:
                 break
-        return history.page(self.read(taken), limit, offset, after, self.ts, self.tie).drop("dt")
+        rows = self.read(taken)
+        if after is None and offset + limit <= TOP_ROWS:
+            # So few rows each task keeps while it reads; a deeper page is located by counts.
+            return rows.orderBy(F.desc(self.ts), F.desc(self.tie)).offset(offset).limit(limit).drop("dt")
+        return history.page(rows, limit, offset, after, self.ts, self.tie).drop("dt")
 
     # --- writing ----------------------------------------------------------------------
 

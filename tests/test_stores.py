@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqsieve.operators import history, scoring
-from reqsieve.sources import commits, model_store
+from reqsieve.sources import commits, model_store, record_store
 from reqsieve.sources.record_store import RecordStore
 
 DAY = 86_400
@@ -235,7 +235,9 @@ def test_compact(spark, store):
     assert ids(store.read()) == [f"r{i:05d}" for i in range(8)]
 
 
-def test_pages_open_only_their_days(spark, store):
+@pytest.mark.parametrize("top", [10_000, 0])
+def test_pages_open_only_their_days(spark, store, monkeypatch, top):
+    monkeypatch.setattr(record_store, "TOP_ROWS", top)
     times = [(i * 7919 % 500) * 1000.0 for i in range(500)] + [3000.0, 3000.0, None, None]
     store.append(records(spark, times[:300]))
     store.append(records(spark, times[300:], 300))
