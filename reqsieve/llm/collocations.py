@@ -8,8 +8,11 @@ Then the next length follows. Every part of a frequent phrase is frequent, so no
 Texts are dealt into blocks of whole documents of one language, of about ``BLOCK_WORDS`` words.
 A block is one row: its relation is stored sorted by position, a piece's words stand at
 adjacent positions, and pieces are one position apart. A merge-join thus stays within a block,
-while group counts and the semi-join are Spark aggregates and joins over all blocks. A block
-sends each of its groups once, with its count, so a very frequent phrase is one row a block.
+while group counts and the semi-join run over all blocks: groups are dealt by a hash into
+shares, of about ``SHARE_WORDS`` words of the input. A block sends each share one row of packed
+arrays, with each of its groups once and the group's count. The share adds the counts up and
+sends back, one row a block, which of these groups are frequent and their ids. A very frequent
+phrase is thus one entry a block, and no task holds more than a block or a share.
 Phrases are known by exact ids: a word by an id of (language, word), a longer phrase by the ids
 of its two parts that are one word shorter. Every relation is written to the shared folder
 before the next length reads it.
@@ -23,6 +26,7 @@ texts without words add nothing; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.llm.common import discard, probably_in, stored
+from reqsieve.llm.common import discard, stored
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -38,6 +42,7 @@ KEEP = 2000
 # A phrase goes where a longer one has at least this percentage of its count.
 COVERED = 100
 BLOCK_WORDS = 500_000
+SHARE_WORDS = 2_000_000
 
 # Pieces end at . , ; : ! ? and at line feed to carriage return; words end at
 # blank and tab. A-Z become lower case.
@@ -55,18 +60,54 @@ class _Codes(dict):
         return code
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, all lowest bytes first: small numbers then compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 byte by byte, all lowest bytes first, compressed: small ones take little room."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return bytes([width]) + len(values).to_bytes(6, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+def _numbers(packed: bytes) -> np.ndarray:
+    width, n = packed[0], int.from_bytes(packed[1:7], "little")
+    planes = np.zeros((8, n), np.uint8)
+    planes[:width] = np.frombuffer(pa.decompress(packed[7:], width * n, "zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    """Words, in which no line feed occurs."""
+    joined = b"\n".join(words)
+    return len(joined).to_bytes(6, "little") + pa.compress(joined, "zstd", asbytes=True)
+
+
+def _words(packed: bytes) -> list[bytes]:
+    size = int.from_bytes(packed[:6], "little")
+    return pa.decompress(packed[6:], size, "zstd", asbytes=True).split(b"\n") if size else []
 
 
 def _relation(at: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes]:
     """Ascending positions, as steps from one to the next, and codes."""
-    return _planes(np.diff(at, prepend=0)), _planes(code)
+    return _packed(np.diff(at, prepend=0)), _packed(code)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def _pair_hashes(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    mixed = pre.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suf.astype(np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(32)
+
+
+def _shares(hashes: np.ndarray, shares: int) -> np.ndarray:
+    """The share of each hash of 32 bits; shares ascend with the hashes."""
+    return (hashes * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(share: np.ndarray) -> list[tuple[int, int, int]]:
+    """(share, from, to) of ascending shares."""
+    own, first = np.unique(share, return_index=True)
+    return list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(share)]))
 
 
 # What stands between words: nothing is an empty part, a line feed the end of a piece.
@@ -88,19 +129,22 @@ class _Block:
         self.parts.append(codes[codes != _EMPTY])
         self.held += len(self.parts[-1])
 
-    def row(self) -> tuple[bytes, bytes, list[bytes], np.ndarray]:
-        """Positions and codes of R_1, its words, and how often each occurs."""
+    def row(self) -> tuple[bytes, bytes, int, bytes, bytes, int]:
+        """Positions and codes of R_1, its number of words, the different words in the order of
+        their hashes, how often each occurs, and the number of these."""
         codes = np.concatenate(self.parts)
         at = np.flatnonzero(codes != _END)
-        codes = codes[at] - 2
-        return *_relation(at, codes), list(self.codes)[2:], np.bincount(codes, minlength=len(self.codes) - 2)
-
-
-_STATE = "block bigint, at binary, code binary"
+        codes, words = codes[at] - 2, list(self.codes)[2:]
+        order = np.argsort(_word_hashes(words), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        n = np.bincount(codes, minlength=len(words))[order]
+        return *_relation(at, rank[codes]), len(at), _packed_words([words[i] for i in order]), _packed(n), len(words)
 
 
 def _word_relation(docs: DataFrame, block_words: int) -> DataFrame:
     """R_1 in blocks, unpruned: a code per position, and the words and counts of the codes."""
+    schema = "block bigint, lang string, at binary, code binary, held bigint, words binary, n binary, size bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -110,13 +154,12 @@ def _word_relation(docs: DataFrame, block_words: int) -> DataFrame:
 
         def row(lang: str) -> pa.RecordBatch:
             nonlocal number
-            at, code, words, n = blocks.pop(lang).row()
+            columns = blocks.pop(lang).row()
             number += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([lang]), pa.array([at]), pa.array([code]),
-                 pa.array([words], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64()))],
-                names=["block", "lang", "at", "code", "words", "n"],
-            )
+                [pa.array([number]), pa.array([lang]), *(pa.array([c]) for c in columns)],
+                names=["block", "lang", "at", "code", "held", "words", "n", "size"],
+            )
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -133,98 +176,204 @@ def _word_relation(docs: DataFrame, block_words: int) -> DataFrame:
             yield row(lang)
 
     texts = docs.selectExpr("coalesce(lang, 'und') AS lang", "CAST(coalesce(text, '') AS BINARY) AS text")
-    return texts.mapInArrow(run, "block bigint, lang string, at binary, code binary, words array<binary>, n array<bigint>")
+    return texts.mapInArrow(run, schema)
+
+
+# What a share makes of its groups: for each block the codes from ``first`` on that are frequent,
+# as bits, and their numbers in the share; and, without a block, the frequent groups themselves.
+_REPLY = "share bigint, block bigint, first bigint, marks binary, ids binary, id bigint, f bigint"
+
+
+def _replies(share: int, packets: list[tuple[int, int, int]], number: np.ndarray) -> list[dict]:
+    """A reply to each (block, first, length); ``number`` is that of each entry in turn, or -1."""
+    rows, at = [], 0
+    for block, first, length in packets:
+        own = number[at : at + length]
+        at += length
+        frequent = own >= 0
+        if frequent.any():
+            rows.append({"share": share, "block": block, "first": first,
+                         "marks": np.packbits(frequent).tobytes(), "ids": _packed(own[frequent])})
+    return rows
+
+
+def _share_result(replies: list[dict], found: dict[str, pa.Array], more: dict[str, pa.DataType]) -> pa.Table:
+    """Replies and frequent groups as one table."""
+    kinds = {"share": pa.int64(), "block": pa.int64(), "first": pa.int64(), "marks": pa.binary(), "ids": pa.binary(),
+             "id": pa.int64(), "f": pa.int64(), **more}
+    size = len(found["id"])
+    columns = [
+        pa.chunked_array([pa.array([r.get(c) for r in replies], t), found[c].cast(t) if c in found else pa.nulls(size, t)])
+        for c, t in kinds.items()
+    ]
+    return pa.table(columns, names=list(kinds))
 
 
-def _next_relation(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """From R_k in blocks and the ids of its frequent groups, the groups of R_(k+1).
+def _frequent_words(relation: DataFrame, shares: int, min_count: int) -> DataFrame:
+    """Replies to the blocks of R_1, and the frequent words with their language."""
 
-    One row per block: ``at`` and ``code`` of every occurrence, and for each code the ids of
-    the phrase without its last and without its first word, and its count in the block.
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, words, n in zip(*(batch[c] for c in ("block", "lang", "words", "n"))):
+                words, n = _words(words.as_py()), _numbers(n.as_py())
+                runs = _runs(_shares(_word_hashes(words), shares))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _, _ in runs], pa.int64()),
+                     pa.array([block.as_py()] * len(runs), pa.int64()), pa.array([lang.as_py()] * len(runs), pa.string()),
+                     pa.array([a for _, a, _ in runs], pa.int64()),
+                     pa.array([_packed_words(words[a:b]) for _, a, b in runs], pa.binary()),
+                     pa.array([_packed(n[a:b]) for _, a, b in runs], pa.binary())],
+                    names=["share", "block", "lang", "first", "words", "n"],
+                )
+
+    def count(packets: pa.Table) -> pa.Table:
+        share = packets["share"][0].as_py()
+        lists = [_words(x.as_py()) for x in packets["words"]]
+        sizes = [len(x) for x in lists]
+        words = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        langs = packets["lang"].combine_chunks().dictionary_encode()
+        many = max(1, len(words.dictionary))
+        keys = np.repeat(langs.indices.to_numpy().astype(np.int64), sizes) * many + words.indices.to_numpy()
+        groups, entry = np.unique(keys, return_inverse=True)
+        f = np.zeros(len(groups), np.int64)
+        np.add.at(f, entry, np.concatenate([_numbers(x.as_py()) for x in packets["n"]]))
+        frequent = f >= min_count
+        number = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        replies = _replies(share, list(zip(packets["block"].to_pylist(), packets["first"].to_pylist(), sizes)), number[entry])
+        groups = groups[frequent]
+        found = {"id": pa.array(number[frequent] * shares + share), "f": pa.array(f[frequent]),
+                 "lang": langs.dictionary.take(pa.array(groups // many)), "word": words.dictionary.take(pa.array(groups % many))}
+        return _share_result(replies, found, {"lang": pa.string(), "word": pa.binary()})
+
+    held = relation.where("size > 0").select("block", "lang", "words", "n")
+    dealt = held.mapInArrow(deal, "share bigint, block bigint, lang string, first bigint, words binary, n binary")
+    return dealt.groupBy("share").applyInArrow(count, _REPLY + ", lang string, word binary")
+
+
+def _next_relation(relation: DataFrame, replies: DataFrame, shares: int) -> DataFrame:
+    """From R_k in blocks and the replies that name its frequent groups, the groups of R_(k+1).
+
+    One row per block: ``at`` and ``code`` of every occurrence, and for each share the ids of
+    the phrase without its last and without its first word, and its count in the block. Codes
+    ascend with share and ids.
     """
+    packet = pa.struct([("share", pa.int64()), ("first", pa.int64()), ("pre", pa.binary()), ("suf", pa.binary()), ("n", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for block, at, code in zip(*(left[c].to_pylist() for c in ("block", "at", "code"))):
+        for block, at, code, size in zip(*(left[c].to_pylist() for c in ("block", "at", "code", "size"))):
             at, code = np.cumsum(_numbers(at)), _numbers(code)
             # Semi-join: codes without an id are not frequent.
-            codes, ids = right["code"].to_numpy(), right["id"].to_numpy()
-            order = np.argsort(codes)
-            codes, ids = codes[order], ids[order]
-            place = np.searchsorted(codes, code)
-            place[place == len(codes)] = 0
-            kept = codes[place] == code if len(codes) else np.zeros(len(code), bool)
-            at, place = at[kept], place[kept]
+            known = np.full(size, -1, np.int64)
+            for share, first, marks, own in zip(*(right[c].to_pylist() for c in ("share", "first", "marks", "ids"))):
+                codes = first + np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8)))
+                known[codes] = _numbers(own) * shares + share
+            codes = np.flatnonzero(known >= 0)
+            codes = codes[np.argsort(known[codes])]
+            ids = known[codes]
+            place = np.full(size, -1, np.int64)
+            place[codes] = np.arange(len(codes))
+            place = place[code]
+            at, place = at[place >= 0], place[place >= 0]
             # Merge-join of the relation with itself at the position after.
             first = np.flatnonzero(at[1:] == at[:-1] + 1)
-            pairs = place[first] * max(len(codes), 1) + place[first + 1]
-            groups, found, n = np.unique(pairs, return_inverse=True, return_counts=True)
-            rows.append((block, *_relation(at[first], found),
-                         ids[groups // max(len(codes), 1)], ids[groups % max(len(codes), 1)], n))
-        names = ["block", "at", "code", "pre", "suf", "n"]
-        types = [pa.int64(), pa.binary(), pa.binary()] + [pa.list_(pa.int64())] * 3
-        columns = list(zip(*rows)) if rows else [[]] * 6
+            if not len(first):
+                continue
+            groups, found, n = np.unique(place[first] * len(ids) + place[first + 1], return_inverse=True, return_counts=True)
+            pre, suf = ids[groups // len(ids)], ids[groups % len(ids)]
+            share = _shares(_pair_hashes(pre, suf), shares)
+            order = np.argsort(share, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            pre, suf, n = pre[order], suf[order], n[order]
+            packets = [
+                {"share": s, "first": a, "pre": _packed(pre[a:b]), "suf": _packed(suf[a:b]), "n": _packed(n[a:b])}
+                for s, a, b in _runs(share[order])
+            ]
+            rows.append((block, *_relation(at[first], rank[found]), len(groups), packets))
+        names = ["block", "at", "code", "size", "packets"]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(packet)]
+        columns = list(zip(*rows)) if rows else [[]] * 5
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
-    schema = _STATE + ", pre array<bigint>, suf array<bigint>, n array<bigint>"
-    states = relation.select("block", "at", "code").groupBy("block")
-    ids = frequent.selectExpr("block AS owner", "code", "id")
-    return states.cogroup(ids.groupBy("owner")).applyInArrow(run, schema)
-
-
-def _frequent_words(groups: DataFrame, min_count: int) -> DataFrame:
-    counts = groups.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(f"f >= {min_count}")
-    return counts.selectExpr(
-        "monotonically_increasing_id() AS id", "lang", "word", "f", "array(word) AS words", "array(f) AS heads", "array(f) AS tails"
+    schema = (
+        "block bigint, at binary, code binary, size bigint, "
+        "packets array<struct<share: bigint, first: bigint, pre: binary, suf: binary, n: binary>>"
     )
-
-
-def _frequent_pairs(groups: DataFrame, shorter: DataFrame, min_count: int) -> DataFrame:
+    states = relation.select("block", "at", "code", "size").groupBy("block")
+    named = replies.where("block IS NOT NULL").selectExpr("block AS owner", "share", "first", "marks", "ids")
+    return states.cogroup(named.groupBy("owner")).applyInArrow(run, schema)
+
+
+def _frequent_pairs(relation: DataFrame, shares: int, min_count: int) -> DataFrame:
+    """Replies to the blocks of R_(k+1), and its frequent groups."""
+
+    def count(packets: pa.Table) -> pa.Table:
+        share = packets["share"][0].as_py()
+        parts = [[_numbers(x.as_py()) for x in packets[c]] for c in ("pre", "suf", "n")]
+        sizes = [len(x) for x in parts[0]]
+        pre, suf, n = map(np.concatenate, parts)
+        order = np.lexsort((suf, pre))
+        pre, suf = pre[order], suf[order]
+        new = np.append(True, (pre[1:] != pre[:-1]) | (suf[1:] != suf[:-1]))
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(n[order], first)
+        frequent = f >= min_count
+        number = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        entry = np.empty(len(order), np.int64)
+        entry[order] = number[np.cumsum(new) - 1]
+        replies = _replies(share, list(zip(packets["block"].to_pylist(), packets["first"].to_pylist(), sizes)), entry)
+        found = {"id": pa.array(number[frequent] * shares + share), "f": pa.array(f[frequent]),
+                 "pre": pa.array(pre[first][frequent]), "suf": pa.array(suf[first][frequent])}
+        return _share_result(replies, found, {"pre": pa.int64(), "suf": pa.int64()})
+
+    dealt = relation.selectExpr("block", "inline(packets)")
+    return dealt.groupBy("share").applyInArrow(count, _REPLY + ", pre bigint, suf bigint")
+
+
+def _phrases(counts: DataFrame, shorter: DataFrame) -> DataFrame:
     """Frequent phrases with their words and the counts of all that they begin and end with."""
-    counts = groups.groupBy("pre", "suf").agg(F.sum("n").alias("f")).where(f"f >= {min_count}")
     head = shorter.selectExpr("id AS pre", "lang", "words", "heads")
     tail = shorter.selectExpr("id AS suf", "element_at(words, -1) AS word", "tails")
     return counts.join(head, "pre").join(tail, "suf").selectExpr(
-        "monotonically_increasing_id() AS id", "pre", "suf", "lang", "f", "concat(words, array(word)) AS words",
+        "id", "pre", "suf", "lang", "f", "concat(words, array(word)) AS words",
         "concat(heads, array(f)) AS heads", "concat(tails, array(f)) AS tails",
     )
 
 
-def frequent_phrases(docs: DataFrame, longest: int, min_count: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(
+    docs: DataFrame, longest: int, min_count: int, block_words: int, share_words: int = SHARE_WORDS
+) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length the frequent phrases:
     id, pre, suf, lang, f, words, heads, tails."""
     relation = stored(_word_relation(docs, block_words), "word-relation", "zstd")
-    sizes = relation.selectExpr("lang", "aggregate(n, 0L, (s, x) -> s + x) AS n").groupBy("lang").agg(F.sum("n").alias("n"))
-    sizes = stored(sizes, "language-sizes")
-    groups = relation.selectExpr("block", "lang", "posexplode(arrays_zip(words, n)) AS (code, g)").selectExpr(
-        "block", "lang", "code", "g.words AS word", "g.n AS n"
-    )
-    levels = [stored(_frequent_words(groups, min_count), "frequent-words")]
-    keys = ["lang", "word"]
+    sizes = stored(relation.groupBy("lang").agg(F.sum("held").alias("n")), "language-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // share_words))
+    replies = stored(_frequent_words(relation, shares, min_count), "frequent-words", "zstd")
+    levels = [replies.where("block IS NULL").selectExpr(
+        "id", "lang", "word", "f", "array(word) AS words", "array(f) AS heads", "array(f) AS tails"
+    )]
     for length in range(2, longest + 1):
-        frequent = levels[-1].select("id", *keys)
-        found = probably_in(groups.select("block", "code", *keys), frequent, keys).join(frequent, keys).select("block", "code", "id")
-        before, relation = relation, stored(_next_relation(relation, found), "phrase-relation", "zstd")
+        before, relation = relation, stored(_next_relation(relation, replies, shares), "phrase-relation", "zstd")
         discard(before)
-        groups = relation.selectExpr("block", "posexplode(arrays_zip(pre, suf, n)) AS (code, g)").selectExpr(
-            "block", "code", "g.pre AS pre", "g.suf AS suf", "g.n AS n"
-        )
-        keys = ["pre", "suf"]
-        levels.append(stored(_frequent_pairs(groups, levels[-1], min_count), "frequent-phrases"))
+        replies = stored(_frequent_pairs(relation, shares, min_count), "frequent-groups", "zstd")
+        counts = replies.where("block IS NULL").select("id", "pre", "suf", "f")
+        levels.append(stored(_phrases(counts, levels[-1]), "frequent-phrases"))
     discard(relation)
     return sizes, levels
 
 
 def collocations(
     docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, keep: int = KEEP, covered: int = COVERED,
-    block_words: int = BLOCK_WORDS,
+    block_words: int = BLOCK_WORDS, share_words: int = SHARE_WORDS,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``keep`` phrases.
 
     A phrase of count a, cut into parts of counts l and r among n words, scores
     floor(1000 a n / (l r)) at its lowest-scoring cut.
     """
-    sizes, levels = frequent_phrases(docs.select("lang", "text"), longest, min_count, block_words)
+    sizes, levels = frequent_phrases(docs.select("lang", "text"), longest, min_count, block_words, share_words)
     wide = lambda x: f"CAST({x} AS DECIMAL(19, 0))"
     cut = (
         f"transform(sequence(1, size(words) - 1), k -> struct("

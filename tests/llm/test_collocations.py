@@ -72,3 +72,25 @@ def test_products_beyond_64_bits(spark):
     big = 3_000_000_019
     row = spark.sql(f"SELECT 1000 * CAST({big} AS DECIMAL(19, 0)) * CAST({big * 999} AS DECIMAL(19, 0)) div (CAST(7 AS DECIMAL(19, 0)) * CAST({big} AS DECIMAL(19, 0))) AS s")
     assert row.first().s == 1000 * big * big * 999 // (7 * big)
+
+
+def test_a_block_sends_each_share_one_row(spark):
+    """Groups are no rows between blocks and shares, so these do not grow with the frequent groups."""
+    r = random.Random(5)
+    rows = [(" ".join(str(r.randint(0, 60)) for _ in range(200)), "en") for _ in range(100)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    relation = collocations._word_relation(docs, 4_000).cache()
+    blocks, shares = relation.count(), 3
+    replies = collocations._frequent_words(relation, shares, 2).cache()
+    pairs = collocations._next_relation(relation, replies, shares).cache()
+    back = collocations._frequent_pairs(pairs, shares, 2).cache()
+    groups = pairs.selectExpr("sum(size)").first()[0]
+    frequent = back.where("block IS NULL").count()
+    assert groups > 100 * blocks * shares and frequent > 3_000
+    for sent in (replies.where("block IS NOT NULL"), pairs.selectExpr("inline(packets)"), back.where("block IS NOT NULL")):
+        assert 0 < sent.count() <= blocks * shares
+    assert back.where("block IS NULL").selectExpr("sum(f)").first()[0] <= 199 * 100
+    assert back.where("block IS NULL").selectExpr("count(DISTINCT id)").first()[0] == frequent
+    for df in (relation, replies, pairs, back):
+        df.unpersist()
+    assert run(spark, rows, min_count=5, block_words=4_000, share_words=100) == brute(rows, least=5)
