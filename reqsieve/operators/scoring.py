@@ -36,6 +36,8 @@ SEP_TOKEN, UNK_TOKEN, CLS_TOKEN = "[SEP]", "[UNK]", "[CLS]"
 
 # Rows of the pair table that a task holds at once, 16 bytes each.
 PAIR_BLOCK = 4_000_000
+# Positions of a batch that a task looks up at once; a request is at least one row.
+POSITION_BLOCK = 500_000
 
 
 # --- sequences -------------------------------------------------------------------------
@@ -170,6 +172,19 @@ class BigramModel:
     vocab_size: int
 
 
+def _slices(batches: Iterable[pa.RecordBatch], positions: int = POSITION_BLOCK) -> Iterator[pa.RecordBatch]:
+    """Batches of sequences in slices of at most ``positions`` positions or of one row: a batch is
+    counted in rows, so long texts would otherwise make the arrays over its positions large."""
+    for batch in batches:
+        ends = np.cumsum(batch["sequence"].value_lengths().to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + positions, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _positions(batch: pa.RecordBatch, known: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every position of a batch of sequences: its row, the id before it, its id."""
     sizes = batch["sequence"].value_lengths().to_numpy(zero_copy_only=False)
@@ -186,7 +201,7 @@ def pair_counts(normal: DataFrame, unigram: DataFrame, text: str = "text", max_l
     span = int(max(ids.max(initial=SEP), SEP)) + 1
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             _, before, here = _positions(batch, known, ids)
             pair, n = np.unique(before * span + here, return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -250,7 +265,7 @@ def score_bigram(
         shares = np.append(mine["share"].to_numpy()[order], 0.0)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 row, before, here = _positions(batch, known, ids)
                 own = before % blocks == block
                 row, before, here = row[own], before[own], here[own]

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,27 @@ def test_model_reads_each_text_once(spark):
     """One scan of the corpus per fit: the plan has a single source."""
     plan = scoring.unigram_counts(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_bigram_batches_are_looked_up_in_slices(spark, monkeypatch):
+    """A batch of long texts is cut by its positions; no row is lost, doubled or cut."""
+    sizes = [0, 3, 9, 1, 0, 50, 2, 2, 2]
+    lists = pa.array([[f"t{i}"] * n for i, n in enumerate(sizes)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), lists], names=["key", "sequence"]).slice(1)
+    for most in (1, 4, 10, 1000):
+        parts = list(scoring._slices([batch, batch.slice(0, 0), batch], most))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch, batch]))
+        for part in parts:
+            assert part.num_rows == 1 or len(part["sequence"].flatten()) <= most
+    assert len(list(scoring._slices([batch], 1000))) == 1
+    # The result does not depend on the slices.
+    df = spark.createDataFrame([(i, "/a/b?c=" * (i % 7) + str(i % 3)) for i in range(60)], "id int, text string").coalesce(1)
+    found = []
+    for most in (500_000, 5):
+        monkeypatch.setattr(scoring._slices, "__defaults__", (most,))
+        model = scoring.fit_bigram(df, vocab_size=50)
+        found.append((
+            sorted((r.prev_id, r.id, r.n) for r in model.pairs.collect()),
+            sorted((r.id, round(r.anomaly_score, 9)) for r in scoring.score_bigram(df, model, "id").collect()),
+        ))
+    assert found[0] == found[1] and len(found[0][1]) == 60
