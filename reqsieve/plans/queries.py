@@ -1331,7 +1331,7 @@ def w4_detect_stream(spark, sf):
     """Lines to records and log; the batch comes twice, as after a crash, and adds nothing."""
     out = scratch_dir(spark, "detected")
     store, models = RecordStore(spark, out + "/store"), out + "/models"
-    static = parse.light_requests_json_or_quoted(views.log_lines(spark, sf))
+    static = parse.light_requests_json_or_quoted(jobs.spread(views.log_lines(spark, sf)))
     model_store.save_model(scoring.fit_unigram(normalize.with_training_text(static), vocab_size=VOCAB), models)
     for attempt in ("first", "second"):
         lines = views.log_lines_of(event_stream(spark, sf))

@@ -22,6 +22,12 @@ from reqsieve.sources.tail import TailSource
 BATCH_INTERVAL_SECONDS = 300
 
 
+def spread(lines: DataFrame, key: str = "line_id") -> DataFrame:
+    """The lines dealt over all cores by their id. Files are split by bytes, but parsing costs far
+    more than reading, and few large files would leave most cores idle."""
+    return lines.repartition(2 * lines.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def follow_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Lines of closed files put into a folder. ``max_files`` per batch is the throttle.
 
@@ -111,23 +117,29 @@ def detect_stream(
         spark = batch.sparkSession
         if "line_id" not in batch.columns:
             batch = batch.withColumn("line_id", F.monotonically_increasing_id())
-        if "client" not in batch.columns:
-            batch = with_line_client(batch)
         if "ts" not in batch.columns:
             batch = batch.withColumn("ts", F.current_timestamp())
         version = model_store.current_version(spark, model) if isinstance(model, str) else model_version
         scorer = model_store.load_model(spark, model, version) if isinstance(model, str) else model
-        columns = batch.select("line_id", "client", "ts", "value")
+        known = ["client"] if "client" in batch.columns else []
+        columns = spread(batch.select("line_id", *known, "ts", "value"))
+        if not known:
+            columns = with_line_client(columns)
         parsed = with_training_text(light_requests_json_or_quoted(columns)).persist()
-        # Several uses: the text for the score, the fields for record and log.
+        # Several uses: the text for the score, the fields for record and log. The two sides of a
+        # join start together and would both parse, so the rows are parsed before.
+        scored = None
         try:
+            parsed.count()
             scores = score_requests(parsed, scorer, "line_id", threshold, max_length=max_length)
             rid = F.concat(F.lit(f"b{batch_id}-"), F.col("line_id").cast("string"))
-            scored = parsed.drop("text").join(scores, "line_id").withColumn("request_id", rid)
+            scored = parsed.drop("text").join(scores, "line_id").withColumn("request_id", rid).persist()
             if log is not None:
                 write_jsonl(log_records(scored), f"{log.rstrip('/')}/batch_id={batch_id}")
             store.append(build_records(scored, version or 0, threshold, salt), (stream, batch_id))
         finally:
+            if scored is not None:
+                scored.unpersist()
             parsed.unpersist()
 
     return for_each_batch(lines, run, checkpoint, interval_seconds)

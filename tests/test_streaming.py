@@ -321,3 +321,19 @@ def test_running_counters(spark, tmp_path):
     query.awaitTermination()
     r = spark.table("counters").first()
     assert (r.requests, r.anomalies) == (3, 1)
+
+
+def test_lines_of_one_file_are_parsed_by_many_tasks(spark, sf_dir, tmp_path):
+    """One small file of many lines is not one task's work."""
+    views.log_lines(spark, sf_dir).limit(2000).coalesce(1).write.parquet(str(tmp_path / "in"))
+    tasks = []
+
+    class Store:
+        def append(self, records, batch):
+            tasks.append(records.select(F.spark_partition_id()).distinct().count())
+            assert records.select("request_id").distinct().count() == records.count()
+
+    stream = spark.readStream.schema("line_id bigint, value string").parquet(str(tmp_path / "in"))
+    model = scoring.fit_unigram(spark.createDataFrame([("GET /a",)], "text string"))
+    jobs.detect_stream(stream, model, 5.0, Store(), str(tmp_path / "p"), interval_seconds=None).awaitTermination()
+    assert tasks == [2 * spark.sparkContext.defaultParallelism]
